@@ -165,10 +165,10 @@ def with_archive(facts: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
-def result_rows(facts: DataFrame) -> DataFrame:
+def result_rows(facts: DataFrame, *carried: str) -> DataFrame:
     """Published row shape: location key, location status and output names.
 
-    Expects the rows of :func:`with_archive`.
+    Expects the rows of :func:`with_archive`; ``carried`` columns pass through.
     """
     named = F.col("municipality").isNotNull()
     located = F.when(~named, "non_municipal").otherwise(
@@ -207,7 +207,7 @@ def result_rows(facts: DataFrame) -> DataFrame:
     columns = {out: F.col(name) for out, name in sources.items()}
     columns["chiave_comune_tornata"] = key
     columns["stato_localizzazione"] = located
-    return facts.select(*[columns[name].alias(name) for name in fv.RESULT_COLUMNS])
+    return facts.select(*[columns[name].alias(name) for name in fv.RESULT_COLUMNS], *carried)
 
 
 def municipal_output(rows: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from urna.functions.numbers import percentage
 from urna.functions.text import canonical_municipality, geography_key, slug
+from urna.session import spread
 
 _LABELS = (
     "ROMA I", "Roma - Appio", "Milano 10", "Parte di Comune TARANTO",
@@ -43,7 +44,7 @@ SELECT CASE substr(o.o_orderpriority,1,1) WHEN '1' THEN 'camera' WHEN '2' THEN '
        1900 + (l.l_suppkey*101 + year(o.o_orderdate)*307) % 2400 AS valid_votes,
        l.l_suppkey % 100 AS blank_ballots,
        concat(o.o_orderpriority,'-',l.l_returnflag) AS source_file,
-       l.l_orderkey*10 + l.l_linenumber AS source_row,
+       ((l.l_orderkey*10 + l.l_linenumber)*100000 + l.l_partkey)*10000 + l.l_suppkey AS source_row,
        CAST(l.l_linenumber AS BIGINT) AS section
 FROM lineitem l JOIN orders o ON o.o_orderkey=l.l_orderkey
 JOIN supplier s ON s.s_suppkey=l.l_suppkey
@@ -84,7 +85,12 @@ def _election_date() -> Column:
 
 def election_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view of ``ELECTION_SQL``, one row per published subject."""
-    lineitem = table(spark, sf_dir, "lineitem")
+    lineitem = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
+            "l_linestatus",
+        )
+    )
     supplier = (
         table(spark, sf_dir, "supplier")
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -130,7 +136,11 @@ def election_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (1900 + turnout).alias("valid_votes"),
         (unit % 100).alias("blank_ballots"),
         F.concat_ws("-", "o_orderpriority", "l_returnflag").alias("source_file"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_row"),
+        # Unique per row, so that "first row" is well defined.
+        (
+            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000
+            + unit
+        ).alias("source_row"),
         F.col("l_linenumber").cast("bigint").alias("section"),
     )
 

@@ -94,9 +94,7 @@ _ORDER_SQL = (
 
 @query(
     sql_facts()
-    + f"SELECT *, row_number() OVER (ORDER BY n) AS position FROM (SELECT q.*, row_number() OVER () AS n FROM ({_RESULT_SELECT} {_ORDER_SQL} LIMIT 1000 OFFSET 500) q)".replace(
-        "SELECT *, row_number() OVER (ORDER BY n) AS position FROM", "SELECT * EXCLUDE (n), n AS position FROM"
-    )
+    + f"SELECT q.*, row_number() OVER () AS position FROM ({_RESULT_SELECT} {_ORDER_SQL} LIMIT 1000 OFFSET 500) q"
 )
 def history_page(spark, sf_dir):
     page = reads.page(facts(spark, sf_dir), reads.RESULT_ORDER, limit=1000, offset=500)
@@ -106,10 +104,7 @@ def history_page(spark, sf_dir):
         F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in reads.RESULT_ORDER])),
     )
     rows = reads.with_archive(numbered, archives(spark, sf_dir))
-    positions = rows.select(F.col("source_row").alias("fonte_riga"), "position")
-    return _in_ppm(reads.result_rows(rows)).join(positions, "fonte_riga").withColumn(
-        "position", F.col("position").cast("bigint")
-    )
+    return _in_ppm(reads.result_rows(rows, "position"))
 
 
 @query(sql_facts() + "SELECT count(*) AS total FROM f WHERE category IN ('camera','senato') AND year(election_date)=1997")
