@@ -17,7 +17,7 @@ def _number_text(column: str, kind: T.DataType):
     return c.cast("string") if not isinstance(kind, T.DateType) else F.date_format(c, "yyyy-MM-dd")
 
 
-def export_lines(rows: DataFrame, columns: tuple[str, ...], renamed: dict[str, str] | None = None) -> DataFrame:
+def export_lines(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """The export as one text column, quoted only where a field needs it."""
     kinds = {f.name: f.dataType for f in rows.schema.fields}
 
@@ -72,4 +72,4 @@ def write_coverage(rows: DataFrame, path: str) -> None:
 
 def write_municipal(rows: DataFrame, path: str, *, detailed: bool = False) -> None:
     columns = fv.MUNICIPAL_COLUMNS if detailed else fv.MUNICIPAL_COMPACT_COLUMNS
-    write_csv(ordered(rows, MUNICIPAL_SORT), path, columns)
+    write_csv(rows, path, columns, MUNICIPAL_SORT)
