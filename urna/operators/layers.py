@@ -9,19 +9,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urna.functions.text import ascii_lower, canonical_municipality, geography_key, slug
+from urna.functions.text import ascii_lower, canonical_municipality, place_key, slug
 
 LAYER = ("archive", "category", "election_date", "source_file", "result_type", "round")
 _UNIT = ("label", "college", "constituency")
 
 
-def with_place(facts: DataFrame) -> DataFrame:
-    """Add ``place``: the geography key of the row's canonical municipality."""
-    canonical = canonical_municipality(F.col("municipality"))
-    return facts.withColumn(
-        "place",
-        geography_key(canonical, F.col("province"), F.col("region"), F.col("constituency")),
-    )
+def with_keys(facts: DataFrame) -> DataFrame:
+    """Add ``canonical_key`` and ``place``, the keys of the canonical municipality.
+
+    A fact table stores both; they are computed only where they are missing.
+    """
+    out = facts
+    if "canonical_key" not in out.columns:
+        out = out.withColumn("canonical_key", slug(canonical_municipality(F.col("municipality"))))
+    if "place" not in out.columns:
+        out = out.withColumn(
+            "place",
+            place_key(
+                F.col("canonical_key"), F.col("province"), F.col("region"), F.col("constituency")
+            ),
+        )
+    return out
 
 
 def fragment_units(facts: DataFrame, *keys: str) -> DataFrame:
@@ -47,9 +56,7 @@ def fragment_units(facts: DataFrame, *keys: str) -> DataFrame:
 
 def geography_units(facts: DataFrame) -> DataFrame:
     """Units kept apart by province and region, ready to meet any request."""
-    keyed = facts.withColumn(
-        "canonical_key", slug(canonical_municipality(F.col("municipality")))
-    )
+    keyed = with_keys(facts)
     return (
         keyed.where(F.col("canonical_key").isNotNull())
         .withColumn("label", F.col("municipality"))
@@ -201,10 +208,7 @@ def subject_totals(units: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def requested_subject_units(facts: DataFrame, requests: DataFrame) -> DataFrame:
     """Subject units for a table of requests, by the same scope rule as units."""
-    keyed = facts.withColumn(
-        "canonical_key", slug(canonical_municipality(F.col("municipality")))
-    )
-    reduced = subject_units(keyed, "canonical_key", "province", "region", "constituency")
+    reduced = subject_units(with_keys(facts), "canonical_key", "province", "region", "constituency")
     named = [c for c in ("category", "election_date") if c in requests.columns]
     asked = requests.select(
         "place",

@@ -54,6 +54,15 @@ def first_int(*names: str) -> Column:
     return F.try_element_at(F.filter(read, lambda v: v.isNotNull()), F.lit(1))
 
 
+def row_order() -> Column:
+    """Position of a row in its archive: member, then row.
+
+    A single decimal, not a struct: aggregates over it stay hash-based.
+    """
+    member = F.col("member_index").cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")
+    return (member + F.col("row_number").cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def _given(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(""))
 
@@ -117,7 +126,7 @@ def read_columns(raw: DataFrame) -> DataFrame:
             "municipality_key", F.coalesce(_given("municipality_key"), slug(F.col("municipality")))
         )
         .withColumn("turnout_percentage", percentage(F.col("voters"), F.col("electors")))
-        .withColumn("order", F.struct("member_index", "file_name", "row_number"))
+        .withColumn("order", row_order())
     )
 
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urna import fixed_values as fv
 from urna.functions.numbers import parts_per_million
-from urna.functions.text import canonical_municipality, slug
+from urna.functions.text import canonical_municipality
 from urna.operators import audit, layers
-from urna.plans.election_view import facts, sql_facts
+from urna.plans.election_view import facts, sql_facts, stored_facts
 from urna.plans.facts_queries import SQL_MAPS
 from urna.plans.shape import plain, sql_ppm
+from urna.session import stage
 
 QUERIES, ORACLE = {}, {}
 
@@ -26,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def place_layers(spark, sf_dir) -> DataFrame:
-    return layers.layers(layers.fragment_units(layers.with_place(facts(spark, sf_dir))))
+    return layers.layers(layers.fragment_units(layers.with_keys(facts(spark, sf_dir))))
 
 
 UNITS_SQL = """
@@ -57,7 +59,7 @@ _LAYER = (
 SELECT place, category, CAST(election_date AS VARCHAR) AS election_date, source_file, result_type,
        round, label, college, constituency, electors, voters, votes FROM u""")
 def fragment_units(spark, sf_dir):
-    return plain(layers.fragment_units(layers.with_place(facts(spark, sf_dir))).drop("archive"))
+    return plain(layers.fragment_units(layers.with_keys(facts(spark, sf_dir))).drop("archive"))
 
 
 @query(sql_facts("," + UNITS_SQL) + _LAYER + "l")
@@ -89,7 +91,7 @@ t AS (SELECT f.place, f.category, f.election_date, f.source_file, f.result_type,
 SELECT place, category, CAST(election_date AS VARCHAR) AS election_date, source_file, result_type,
        layer_round, subject_key, votes, parts, subject FROM t""")
 def subject_totals(spark, sf_dir):
-    placed = layers.with_place(facts(spark, sf_dir))
+    placed = stored_facts(spark, sf_dir)
     chosen = layers.verification_layer(layers.layers(layers.fragment_units(placed)))
     return plain(layers.subject_totals(layers.subject_units(placed), chosen))
 
@@ -151,13 +153,10 @@ def stored_verifications(best: DataFrame) -> DataFrame:
 
 
 def audited(spark, sf_dir) -> DataFrame:
-    rows = facts(spark, sf_dir)
-    placed = layers.with_place(rows)
-    best = layers.best_layer(layers.layers(layers.fragment_units(placed)))
+    placed = stored_facts(spark, sf_dir).where(F.col("category").isin(*fv.AUDIT_CATEGORIES))
+    best = stage(layers.best_layer(layers.layers(layers.fragment_units(placed))))
     places = placed.where(F.col("municipality").isNotNull()).select(
-        "place",
-        slug(canonical_municipality(F.col("municipality"))).alias("municipality_key"),
-        "province", "region",
+        "place", "municipality_key", "province", "region",
         F.when(F.col("place").startswith("c:"), F.col("constituency")).alias("constituency"),
     ).distinct()
     newest = audit.newest_verification(places, stored_verifications(best))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urna.functions.numbers import percentage
-from urna.functions.text import canonical_municipality, geography_key, slug
-from urna.session import spread
+from urna.functions.text import canonical_municipality, place_key, slug
+from urna.session import spread, stage
 
 _LABELS = (
     "ROMA I", "Roma - Appio", "Milano 10", "Parte di Comune TARANTO",
@@ -44,7 +44,7 @@ SELECT CASE substr(o.o_orderpriority,1,1) WHEN '1' THEN 'camera' WHEN '2' THEN '
        1900 + (l.l_suppkey*101 + year(o.o_orderdate)*307) % 2400 AS valid_votes,
        l.l_suppkey % 100 AS blank_ballots,
        concat(o.o_orderpriority,'-',l.l_returnflag) AS source_file,
-       ((l.l_orderkey*10 + l.l_linenumber)*100000 + l.l_partkey)*10000 + l.l_suppkey AS source_row,
+       ((l.l_orderkey*10 + l.l_linenumber)*100000 + l.l_partkey % 100000)*10000 + l.l_suppkey % 10000 AS source_row,
        CAST(l.l_linenumber AS BIGINT) AS section
 FROM lineitem l JOIN orders o ON o.o_orderkey=l.l_orderkey
 JOIN supplier s ON s.s_suppkey=l.l_suppkey
@@ -138,8 +138,12 @@ def election_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", "o_orderpriority", "l_returnflag").alias("source_file"),
         # Unique per row, so that "first row" is well defined.
         (
-            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 10000
-            + unit
+            (
+                (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000
+                + F.col("l_partkey") % 100000
+            )
+            * 10000
+            + unit % 10000
         ).alias("source_row"),
         F.col("l_linenumber").cast("bigint").alias("section"),
     )
@@ -170,11 +174,13 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = election_rows(spark, sf_dir)
     text, whole = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     is_list = F.col("result_type") == "list"
+    rows = rows.withColumn(
+        "municipality_key", slug(canonical_municipality(F.col("municipality")))
+    )
     return rows.select(
         F.concat_ws("-", "category", F.year("election_date").cast("string")).alias("archive"),
         "category", "election_date", "round", "region", "constituency", "province", "municipality",
-        slug(canonical_municipality(F.col("municipality"))).alias("municipality_key"),
-        "country", "college", "question_number", text.alias("question"),
+        "municipality_key", "country", "college", "question_number", text.alias("question"),
         "result_type", "subject", slug(F.col("subject")).alias("subject_key"),
         F.when(is_list, F.col("subject")).alias("party"),
         F.when(~is_list, F.col("subject")).alias("candidate"),
@@ -188,10 +194,20 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def place(df: DataFrame) -> Column:
-    """Geography key of the canonical municipality of a fact row."""
-    return geography_key(
-        canonical_municipality(df["municipality"]), df["province"], df["region"], df["constituency"]
+def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table as an import leaves it: written once, keys included.
+
+    For queries that pass over the facts several times.
+    """
+    return stage(
+        facts(spark, sf_dir)
+        .withColumn("canonical_key", F.col("municipality_key"))
+        .withColumn(
+            "place",
+            place_key(
+                F.col("municipality_key"), F.col("province"), F.col("region"), F.col("constituency")
+            ),
+        )
     )
 
 

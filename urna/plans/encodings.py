@@ -75,7 +75,10 @@ def raw_rows(er: DataFrame, *, sections: bool = False) -> DataFrame:
     return er.select(
         F.concat_ws("-", "category", F.year("election_date").cast("string")).alias("archive"),
         "category", "election_date",
-        F.lit(0).alias("member_index"),
+        # Members in the order of their names.
+        (
+            F.substring("source_file", 1, 1).cast("int") * 100 + F.ascii(F.substring("source_file", -1, 1))
+        ).alias("member_index"),
         F.col("source_file").alias("file_name"),
         F.col("source_row").alias("row_number"),
         "region", "constituency", "province",

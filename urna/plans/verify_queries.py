@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from urna.functions.text import canonical_municipality, slug
 from urna.operators import closure, layers, verify
 from urna.plans.audit_queries import TOTALS_SQL, UNITS_SQL
-from urna.plans.election_view import facts, sql_facts
+from urna.plans.election_view import facts, sql_facts, stored_facts
 from urna.plans.shape import plain
 from urna.session import stage
 
@@ -31,7 +31,7 @@ def official_pages(rows: DataFrame) -> DataFrame:
 
     Some subjects gain a vote and some are left out; the camera prints totals.
     """
-    placed = layers.with_place(rows)
+    placed = layers.with_keys(rows)
     chosen = layers.verification_layer(layers.layers(layers.fragment_units(placed)))
     totals = layers.subject_totals(layers.subject_units(placed), chosen)
     changed = totals.where(F.col("votes") % 29 != 0).withColumn(
@@ -182,7 +182,7 @@ _VERIFY = sql_facts("," + UNITS_SQL + "," + TOTALS_SQL + "," + _LOCAL)
 
 def _parts(spark, sf_dir):
     # Pages are a stored table; layers and totals serve several comparisons.
-    rows = facts(spark, sf_dir)
+    rows = stored_facts(spark, sf_dir)
     sets = stage(verify.page_sets(official_pages(rows)))
     summaries = stage(verify.set_summaries(sets))
     chosen, local = verify.local_layers(rows, summaries)
@@ -273,7 +273,7 @@ def _tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ).withColumn(
         "parent_url", F.concat_ws("/", "category", F.col("election_date").cast("string"), "region")
     ).withColumn(
-        "url", F.concat_ws("/", "parent_url", F.coalesce("province", F.lit("-")), slug(canonical_municipality(F.col("municipality"))))
+        "url", F.concat_ws("/", "parent_url", F.coalesce("province", F.lit("-")), "municipality_key")
     )
     by_subject = named.groupBy("category", "election_date", "parent_url", "url", "subject").agg(
         F.sum("votes").alias("votes")
@@ -352,14 +352,14 @@ SELECT * EXCLUDE (missing), CASE WHEN missing THEN 'parent_missing'
        WHEN parent_electors IS NULL OR child_electors IS NULL THEN 'incomplete' ELSE 'closed' END AS status
 FROM cs""")
 def parent_closure(spark, sf_dir):
-    return plain(closure.parent_closures(*_tree(facts(spark, sf_dir)))[0])
+    return plain(closure.parent_closures(*_tree(stored_facts(spark, sf_dir)))[0])
 
 
 @query(sql_facts() + _TREE + """
 SELECT parent_url, concat('list:',subject_key) AS subject, parent_votes, child_votes FROM pv
 WHERE parent_votes<>child_votes AND NOT (category='comunali' AND year(election_date)%2=1)""")
 def closure_mismatches(spark, sf_dir):
-    return plain(closure.parent_closures(*_tree(facts(spark, sf_dir)))[1])
+    return plain(closure.parent_closures(*_tree(stored_facts(spark, sf_dir)))[1])
 
 
 # Legal pieces and completeness ---------------------------------------------
@@ -383,7 +383,7 @@ def _registry(rows: DataFrame) -> DataFrame:
 
 
 def _college_pages(rows: DataFrame) -> DataFrame:
-    placed = layers.with_place(rows).where(
+    placed = layers.with_keys(rows).where(
         F.col("municipality").isNotNull() & F.col("category").isin("camera", "senato", "europee")
     )
     return placed.groupBy("place", "category", "election_date", "college").agg(

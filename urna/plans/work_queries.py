@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from urna import fixed_values as fv
 from urna.operators import colleges, coverage, facts as reads, layers, queue, upsert
 from urna.plans.audit_queries import TOTALS_SQL, UNITS_SQL, place_layers, stored_verifications
-from urna.plans.election_view import archives, facts, sql_facts, table
+from urna.plans.election_view import archives, facts, sql_facts, stored_facts, table
 from urna.plans.shape import plain
 from urna.sinks import exports, manifest as digests
 
@@ -145,7 +145,7 @@ SELECT place, category, CAST(election_date AS VARCHAR) AS election_date, subject
        CASE WHEN (length(place)+year(election_date))%3=0 THEN 'official_municipality_pages' ELSE 'open_data' END AS fonte
 FROM t""")
 def best_available(spark, sf_dir):
-    placed = layers.with_place(facts(spark, sf_dir))
+    placed = stored_facts(spark, sf_dir)
     chosen = layers.verification_layer(layers.layers(layers.fragment_units(placed)))
     rows = layers.subject_totals(layers.subject_units(placed), chosen).select(
         "place", "category", "election_date", "subject_key", "votes"

@@ -201,8 +201,8 @@ def _column(reference: str) -> int:
     return index - 1
 
 
-def workbook_rows(raw: bytes, file_name: str) -> Iterator[tuple[str, int, dict, dict]]:
-    """Records of every sheet as (member#sheet, row number, payload, numbers)."""
+def workbook_rows(raw: bytes, file_name: str) -> Iterator[tuple[int, str, int, dict, dict]]:
+    """Records as (sheet position, member#sheet, row number, payload, numbers)."""
     with zipfile.ZipFile(io.BytesIO(raw)) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
@@ -213,7 +213,8 @@ def workbook_rows(raw: bytes, file_name: str) -> Iterator[tuple[str, int, dict,
             r.get("Id"): r.get("Target")
             for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
         }
-        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_XL}sheet"):
+        sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_XL}sheet")
+        for place, sheet in enumerate(sheets):
             target = targets[sheet.get(f"{_REL}id")]
             path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             headers: dict[int, str] | None = None
@@ -235,6 +236,7 @@ def workbook_rows(raw: bytes, file_name: str) -> Iterator[tuple[str, int, dict,
                     present = {h: cells.get(i, ("", None)) for i, h in headers.items()}
                     if any(text.strip() for text, _ in present.values()):
                         yield (
+                            place,
                             f"{file_name}#{sheet.get('name')}",
                             number,
                             {h: text for h, (text, _) in present.items()},
@@ -247,7 +249,7 @@ def _rows_of(member: str, raw: bytes) -> Iterator[tuple]:
         yield from workbook_rows(raw, member)
     else:
         for number, payload, numbers in delimited_rows(raw, member):
-            yield member, number, payload, numbers
+            yield 0, member, number, payload, numbers
 
 
 def read_members(members: DataFrame) -> DataFrame:
@@ -263,12 +265,13 @@ def read_members(members: DataFrame) -> DataFrame:
                 try:
                     raw = zlib.decompress(data, -15) if method == zipfile.ZIP_DEFLATED else data
                     for row in _rows_of(member, raw):
-                        held.append((path, index, *row, None))
+                        place, *rest = row
+                        held.append((path, index * 1000 + place, *rest, None))
                         if len(held) == _BATCH:
                             yield pd.DataFrame(held, columns=columns)
                             held = []
                 except Exception as error:
-                    held.append((path, index, member, None, None, None, str(error)))
+                    held.append((path, index * 1000, member, None, None, None, str(error)))
                 if held:
                     yield pd.DataFrame(held, columns=columns).astype({"row_number": "Int64"})
 
