@@ -86,6 +86,15 @@ def slug(value: Column) -> Column:
     return F.trim(words, F.lit("_"))
 
 
+def text_key(text: str) -> str:
+    """The search key of one Python string: a filter value or a header cell.
+
+    As a literal it can be pushed into a scan, which the column form cannot.
+    """
+    kept = (c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    return re.sub("[^a-z0-9]+", "_", "".join(kept).casefold()).strip("_")
+
+
 def ascii_lower(value: Column) -> Column:
     """Lower-case A-Z only, as an ASCII-only case-insensitive comparison needs."""
     return F.translate(value, string.ascii_uppercase, string.ascii_lowercase)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urna import fixed_values as fv
-from urna.functions.text import same_nocase, slug
+from urna.functions.text import same_nocase, slug, text_key
 
 RESULT_ORDER = (
     "election_date", "category", "region", "province", "municipality",
@@ -59,11 +59,11 @@ def filter_results(
     if province:
         out = out.where(same_nocase(F.col("province"), F.lit(province)))
     if municipality:
-        out = out.where(F.col("municipality_key") == slug(F.lit(municipality)))
+        out = out.where(F.col("municipality_key") == text_key(municipality))
     if result_type:
         out = out.where(F.col("result_type") == result_type)
     if subject:
-        out = out.where(F.col("subject_key") == slug(F.lit(subject)))
+        out = out.where(F.col("subject_key") == text_key(subject))
     if round_number is not None:
         out = out.where(F.col("round") == round_number)
     return out
@@ -92,7 +92,7 @@ def filter_municipal(
         out, year=year, election_date=election_date, municipality=municipality, province=province
     )
     if party:
-        out = out.where(slug(F.col("party")) == slug(F.lit(party)))
+        out = out.where(F.col("subject_key") == text_key(party))
     if round_number == 1:
         out = out.where((F.col("round") == 1) | F.col("round").isNull())
     elif round_number is not None:
@@ -121,7 +121,7 @@ def filter_raw(
     """Raw rows of one archive, payload kept, provenance in ``_meta``."""
     out = raw.where((F.col("category") == category) & (F.col("election_date") == F.lit(election_date)))
     if municipality:
-        out = out.where(F.col("municipality_key") == slug(F.lit(municipality)))
+        out = out.where(F.col("municipality_key") == text_key(municipality))
     if province:
         out = out.where(same_nocase(F.col("province"), F.lit(province)))
     return raw_with_provenance(out)

@@ -13,7 +13,6 @@ import io
 import posixpath
 import re
 import struct
-import unicodedata
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urna import fixed_values as fv
-from urna.functions.text import clean_text
+from urna.functions.text import clean_text, text_key
 from urna.operators.normalise import with_raw_geography
 from urna.session import stage
 
@@ -38,12 +37,6 @@ _ROWS = (
 )
 
 
-def header_key(text: str) -> str:
-    """Slug of one header cell (the column form lives in ``functions.text``)."""
-    kept = (c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return re.sub("[^a-z0-9]+", "_", "".join(kept).casefold()).strip("_")
-
-
 # Members ---------------------------------------------------------------------
 
 
@@ -71,7 +64,7 @@ def _members(content: bytes, cap: int, municipality_level: bool) -> Iterator[tup
             and posixpath.splitext(info.filename)[1].casefold() in (".txt", ".csv", ".xlsx")
             and not (
                 municipality_level
-                and any(m in header_key(info.filename) for m in fv.NOT_MUNICIPALITY_LEVEL)
+                and any(m in text_key(info.filename) for m in fv.NOT_MUNICIPALITY_LEVEL)
             )
         ]
         if not kept:
@@ -121,7 +114,7 @@ def _encoding(raw: bytes) -> str:
 
 
 def _headerless(file_name: str, count: int) -> tuple[str, ...] | None:
-    key = header_key(file_name)
+    key = text_key(file_name)
     for (kind, columns), names in fv.HEADERLESS.items():
         if kind in key and columns == count:
             return names
@@ -140,7 +133,7 @@ def delimited_rows(raw: bytes, file_name: str) -> Iterator[tuple[int, dict, dict
     first = next(reader, None)
     if not first:
         return
-    headers = [header_key(cell) for cell in first]
+    headers = [text_key(cell) for cell in first]
     number = 2
     inferred = _headerless(file_name, len(first))
     if inferred and sum(h in fv.KNOWN_HEADERS for h in headers) < 2:
@@ -230,7 +223,7 @@ def workbook_rows(raw: bytes, file_name: str) -> Iterator[tuple[int, str, int, d
                         cells[where] = _cell(c, shared, dated)
                     row.clear()
                     if headers is None:
-                        keys = {i: header_key(t) for i, (t, _) in cells.items() if header_key(t)}
+                        keys = {i: text_key(t) for i, (t, _) in cells.items() if text_key(t)}
                         headers = keys if len(keys) >= 2 else None
                         continue
                     present = {h: cells.get(i, ("", None)) for i, h in headers.items()}

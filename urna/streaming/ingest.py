@@ -28,6 +28,7 @@ def ingest_archives(
     """Import every archive of a folder not imported before; returns the query."""
     files = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("pathGlobFilter", "*.zip")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
