@@ -6,11 +6,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table_manifest(name: str, df: DataFrame) -> DataFrame:
     """Row count and an order-free digest of one table, in one pass."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    row = F.xxhash64(
+        *[
+            # Maps have no order of their own, hence no hash.
+            F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
+            for f in df.schema.fields
+        ]
+    )
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest_sum"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from urna.operators.upsert import merge
 from urna.session import stage
@@ -12,8 +13,13 @@ PARTITIONS = ("category", "election_date")
 
 
 def _replace(df: DataFrame, path: str, partitions: tuple[str, ...]) -> None:
+    plain = [
+        f.name
+        for f in df.schema.fields
+        if f.name not in partitions and isinstance(f.dataType, T.AtomicType)
+    ]
     (
-        df.repartition(*partitions, F.pmod(F.xxhash64(*[c for c in df.columns if c not in partitions]), F.lit(16)))
+        df.repartition(*partitions, F.pmod(F.xxhash64(*plain), F.lit(16)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
