@@ -45,13 +45,14 @@ def first_text(*names: str) -> Column:
 
 def first_int(*names: str) -> Column:
     """First alias that reads as an integer; unreadable ones fall through."""
-    read = F.transform(
-        F.array(*[F.lit(n) for n in names]),
-        lambda n: as_int(
-            F.try_element_at("payload", n), F.try_element_at("numbers", n)
-        ),
+    return F.coalesce(*[_cell_int(n) for n in names])
+
+
+def _cell_int(name: str) -> Column:
+    text = F.try_element_at("payload", F.lit(name))
+    return F.when(
+        text.isNotNull(), as_int(text, F.try_element_at("numbers", F.lit(name)))
     )
-    return F.try_element_at(F.filter(read, lambda v: v.isNotNull()), F.lit(1))
 
 
 def row_order() -> Column:
@@ -194,10 +195,15 @@ def _share() -> Column:
     )
 
 
+_CONTEXT = ("context_hash", "context_key")
+
+
 def _with_context_key(rows: DataFrame) -> DataFrame:
     # One struct instead of eleven columns: structs compare NULL fields as equal,
     # and a single join key keeps the optimiser's inferred constraints few.
-    return rows.withColumn("context_key", F.struct(*ARCHIVE, *SUMMARY_KEY))
+    # The hash goes first, so that sorting for the join seldom compares structs.
+    keys = (*ARCHIVE, *SUMMARY_KEY)
+    return rows.withColumns({"context_hash": F.xxhash64(*keys), "context_key": F.struct(*keys)})
 
 
 def fill_summaries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -208,11 +214,11 @@ def fill_summaries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     carried = (*MEASURES, "turnout_percentage")
     keyed = _with_context_key(rows)
-    summaries = keyed.groupBy("context_key").agg(
+    summaries = keyed.groupBy(*_CONTEXT).agg(
         *[_first_known(m) for m in carried], F.max("yields_result").alias("yields_result")
     )
     filled = keyed.drop(*carried, "yields_result").join(
-        summaries.drop("yields_result"), "context_key"
+        summaries.drop("yields_result"), list(_CONTEXT)
     )
     return filled, summaries
 
@@ -247,8 +253,8 @@ def section_results(rows: DataFrame) -> DataFrame:
     sections = _with_context_key(
         rows.where(F.col("section").isNotNull() & ~_file_marked(fv.NOT_RESULTS))
     )
-    known = sections.groupBy("context_key", "section").agg(*[_first_known(m) for m in MEASURES])
-    totals = known.groupBy("context_key").agg(*[F.sum(m).alias(m) for m in MEASURES])
+    known = sections.groupBy(*_CONTEXT, "section").agg(*[_first_known(m) for m in MEASURES])
+    totals = known.groupBy(*_CONTEXT).agg(*[F.sum(m).alias(m) for m in MEASURES])
 
     expanded = _derive_no(sections).withColumn("spec", F.explode(_specs()))
     grouped = (
@@ -259,7 +265,7 @@ def section_results(rows: DataFrame) -> DataFrame:
             }
         )
         .withColumn("subject_slug", slug(F.col("subject")))
-        .groupBy("context_key", "result_type", "subject_slug", "candidate", "option")
+        .groupBy(*_CONTEXT, "result_type", "subject_slug", "candidate", "option")
         .agg(
             F.sum("votes").alias("votes"),
             F.min_by(
@@ -269,16 +275,16 @@ def section_results(rows: DataFrame) -> DataFrame:
     )
     lists = (
         grouped.where(F.col("result_type") == "list")
-        .groupBy("context_key")
+        .groupBy(*_CONTEXT)
         .agg(F.sum("votes").alias("list_votes"))
     )
     figures = (
-        totals.join(lists, "context_key", "left")
+        totals.join(lists, list(_CONTEXT), "left")
         .withColumn("valid_list_votes", F.coalesce("valid_list_votes", "list_votes"))
         .withColumn("turnout_percentage", percentage(F.col("voters"), F.col("electors")))
         .drop("list_votes")
     )
-    joined = grouped.join(figures, "context_key").select("*", "context_key.*")
+    joined = grouped.join(figures, list(_CONTEXT)).select("*", "context_key.*")
     return _finish(
         joined.withColumns(
             {c: F.col(f"first.{c}") for c in ("municipality", "question", "subject", "party", "seats")}
