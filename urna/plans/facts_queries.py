@@ -247,15 +247,12 @@ def canonical_places(spark, sf_dir):
 @query(f"""
 WITH w AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
 SELECT count(*) AS lines, count(DISTINCT k) AS keys, sum(length(k))::BIGINT AS chars FROM (
-  SELECT {sql_slug("strip_accents(line)")} AS k FROM w WHERE regexp_full_match(line, '[\\x00-\\x7fàèéìòùáíóúâêîôûäëïöüñçÀÈÉÌÒÙÁÍÓÚÂÊÎÔÛÄËÏÖÜÑÇ]*'))""")
+  SELECT {sql_slug("strip_accents(replace(line, 'ß', 'ss'))")} AS k FROM w)""")
 def text_keys(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select(
         F.explode(F.split("text", "\n")).alias("line")
     )
-    plain_lines = lines.where(
-        F.col("line").rlike(r"^(?s)[\x00-\x7fàèéìòùáíóúâêîôûäëïöüñçÀÈÉÌÒÙÁÍÓÚÂÊÎÔÛÄËÏÖÜÑÇ]*$")
-    )
-    keys = plain_lines.select(slug(F.col("line")).alias("k"))
+    keys = lines.select(slug(F.col("line")).alias("k"))
     grouped = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     return grouped.agg(
         F.sum("n").alias("lines"),
