@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from urna.functions.numbers import percentage
 from urna.functions.text import canonical_municipality, place_key, slug
-from urna.session import spread, stage
+from urna.session import stage
 
 _LABELS = (
     "ROMA I", "Roma - Appio", "Milano 10", "Parte di Comune TARANTO",
@@ -85,11 +85,9 @@ def _election_date() -> Column:
 
 def election_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view of ``ELECTION_SQL``, one row per published subject."""
-    lineitem = spread(
-        table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
-            "l_linestatus",
-        )
+    lineitem = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
+        "l_linestatus",
     )
     supplier = (
         table(spark, sf_dir, "supplier")
