@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urna.llm import bpe, quality, simhash
+from urna.llm import bpe, mixing, quality, simhash, substring
 from urna.llm.common import read
 
 #: Path of the rank file; a parameter of the operator.
@@ -18,6 +18,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(read(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -27,14 +31,41 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_context_mixing": op9_context_mixing,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D ]+'), lambda x: x <> '')"
+
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": f"""
+        WITH doc AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+        win AS (
+            SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS k
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM doc)
+        ),
+        early AS (SELECT k, min(doc_id) AS f FROM win GROUP BY k HAVING min(doc_id) < max(doc_id)),
+        gone AS (
+            SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS p
+            FROM win JOIN early USING (k) WHERE doc_id > f
+        ),
+        cut AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+        whole AS (SELECT doc.doc_id, words, coalesce(ps, []) AS ps FROM doc LEFT JOIN cut USING (doc_id))
+        SELECT doc_id, len(words) AS n_words, len(ps) AS n_removed,
+               sha256(array_to_string(
+                   list_filter(words, lambda x, i: NOT list_contains(ps, i)), ' ')) AS kept_sha256
+        FROM whole
+    """,
+}
