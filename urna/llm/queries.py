@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urna.llm import bpe, mixing, quality, simhash, substring
+from urna.llm import bpe, decontaminate, mixing, quality, simhash, substring
 from urna.llm.common import read
 
 #: Path of the rank file; a parameter of the operator.
@@ -27,6 +27,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), *vocabulary())
 
@@ -42,6 +46,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_quality_classifier": op5_quality_classifier,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_context_mixing": op9_context_mixing,
     "op10_simhash": op10_simhash,
