@@ -38,6 +38,8 @@ SAMPLE = 24_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
 #: A text's features of one kind sum to this.
 SCALE = 12.0
+#: Scores from here on are of label 1.
+THRESHOLD = 0.3
 
 _SHAPE = bytes(
     ord("a") if chr(b).islower() and b < 128 or b >= 128 else ord("A") if chr(b).isupper() else ord("0") if chr(b).isdigit() else b
@@ -99,7 +101,6 @@ def _learn(frame: pd.DataFrame, bits: int) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, bits: int = BITS) -> np.ndarray:
     """Weights learnt from the labelled rows whose crc32(doc_id as text) mod 5 is not 0."""
-    spark = docs.sparkSession
     chosen = (
         labels.select(F.col("doc_id"), F.col(label).cast("double").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (crc_mod("doc_id", 5) != 0))
@@ -122,35 +123,44 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     out = np.zeros((1 << bits) + 1)
     for r in learnt:
         out += np.frombuffer(r.weights, np.float32) * (r.n / total)
-    del spark
     return out.astype(np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, keep: tuple = ()) -> DataFrame:
-    """Every text's score; ``keep`` names further columns that stay."""
+def _scores(texts, weights: np.ndarray) -> np.ndarray:
+    """Sparse dot products of whole texts with the weights, as probabilities."""
     bits = (len(weights) - 1).bit_length() - 1
+    total = np.full(len(texts), weights[-1], dtype=np.float64)
+    for i, text in enumerate(texts):
+        slots, values = features(text, bits)
+        total[i] += (weights[slots] * values).sum()
+    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
+def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    columns = ["doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = shared.value
         for frame in frames:
-            total = np.full(len(frame), w[-1], dtype=np.float64)
-            for i, text in enumerate(frame["text"]):
-                slots, values = features(text, bits)
-                total[i] += (w[slots] * values).sum()
-            yield frame.assign(score=1 / (1 + np.exp(-np.clip(total, -35, 35))))
-
-    picked = docs.select(*columns)
-    scored = picked.mapInPandas(run, _with(picked, "score double"))
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": _scores(frame["text"], shared.value)})
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
-    return scored.withColumn("held_out", held_out).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score ``threshold`` or more, all columns unchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
 
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series(_scores(texts, shared.value) >= threshold)
 
-def _with(df: DataFrame, more: str) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + more
+    return docs.where(good("text"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: tuple = ()) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels and score every document."""
-    return score(docs, fit(docs, labels), keep=keep)
+    return score(docs, fit(docs, labels))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urna.llm import bpe, decontaminate, mixing, quality, simhash, substring
-from urna.llm.common import read
+from urna.llm import bpe, decontaminate, extract, mixing, neighbours, quality, shards, simhash, substring, warc
+from urna.llm.common import new_folder, read
 
 #: Path of the rank file; a parameter of the operator.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -22,9 +22,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(read(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(read(spark, sf_dir, "documents"))
+
+
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "held_out", "score", "predicted")
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(read(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    return warc.read(archives, payloads=False).drop("payload", "url")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +61,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_sharding": op3_sharding,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_warc": op6_warc,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_context_mixing": op9_context_mixing,

@@ -279,3 +279,29 @@ def _deduplicate(docs, size, rows, cell_bits, keep, digest):
     )
     done = done.withColumn("doc_id", F.nullif("doc_id", F.lit(int(LAST))))
     return done.select(*names[:4], *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
+
+
+def trimmed(docs: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The documents without repeated passages, columns and their order unchanged.
+
+    A text that loses nothing stays as it is, line breaks included; of others the
+    kept words are joined by one space and ``n_chars``, if there, follows.
+    """
+    others = tuple(c for c in docs.columns if c != "doc_id")
+    done = _deduplicate(docs, size, ROWS, CELL_BITS, others, False)
+    # The operator's own columns come first; further ones by place, as names may clash.
+    names = ["doc_id", "words_", "removed_", "kept_", *[f"own_{i}" for i in range(len(others))]]
+    done = done.toDF(*names)
+    place = {c: f"own_{i}" for i, c in enumerate(others)}
+    columns = []
+    for c in docs.columns:
+        kind = docs.schema[c].dataType
+        if c == "doc_id":
+            columns.append(F.col("doc_id").cast(kind).alias(c))
+        elif c == "text":
+            columns.append(F.when(F.col("removed_") > 0, F.col("kept_")).otherwise(F.col(place[c])).alias(c))
+        elif c == "n_chars":
+            columns.append(F.when(F.col("removed_") > 0, F.char_length("kept_")).otherwise(F.col(place[c])).cast(kind).alias(c))
+        else:
+            columns.append(F.col(place[c]).alias(c))
+    return done.select(*columns)
