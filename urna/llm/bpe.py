@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 #: Upper byte lengths of the matrix buckets.
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 LONGEST = BUCKETS[-1]
-#: Rows of one matrix, and matches remembered by one task: bounds of memory, not of the work.
-MATRIX_ROWS, REMEMBERED = 1 << 16, 1 << 20
+#: Rows of one matrix, runs remembered by one task, characters encoded together: bounds of memory, not of the work.
+MATRIX_ROWS, REMEMBERED, BLOCK_CHARS = 1 << 15, 1 << 19, 1 << 23
 
 NONE = np.int32(2**31 - 1)
 
@@ -209,7 +209,7 @@ class TextCoder:
         for text in texts:
             block.append(self._runs(text) if text else [])
             size += len(text)
-            if size > 1 << 24:
+            if size > BLOCK_CHARS:
                 yield from self._flush(block)
                 block, size = [], 0
         yield from self._flush(block)
