@@ -40,7 +40,7 @@ from urna.llm.common import mix, ship, words
 
 WINDOW = 13
 #: The sketch: rows, cells of a row, and slices of a row that are merged apart.
-ROWS, CELL_BITS, SLICE_BITS = 2, 28, 20
+ROWS, CELL_BITS, SLICE_BITS = 2, 29, 20
 #: Bytes of text in one batch, on average.
 BATCH_BYTES = 24_000_000
 #: A doc_id after all others, for null.
@@ -136,7 +136,7 @@ def sketch(docs: DataFrame, size: int = WINDOW, rows: int = ROWS, cell_bits: int
                 if len(low):
                     held.append(np.unique(low))
                     windows += len(held[-1])
-                if windows > 8_000_000:
+                if windows > 4_000_000:
                     yield from send()
                     held, windows = [], 0
         if held:
@@ -144,29 +144,33 @@ def sketch(docs: DataFrame, size: int = WINDOW, rows: int = ROWS, cell_bits: int
         yield pd.DataFrame({"slice": [-1], "once": [b""], "twice": [b""], "bytes": [length]})
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # One pass over a partition's pieces; a slice needs two bits a cell, whatever it receives.
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        length = 0
+        # Pieces come sorted by slice, so a task holds one slice, whatever it receives.
+        number, length = -1, 0
+        one = two = np.zeros(0, bool)
+
+        def done():
+            if two.any():
+                yield pd.DataFrame({"slice": [number], "bits": [np.packbits(two, bitorder="little").tobytes()], "bytes": [0]})
+
         for frame in frames:
-            for number, once, twice, more in zip(frame["slice"], frame["once"], frame["twice"], frame["bytes"], strict=True):
+            for own, once, twice, more in zip(frame["slice"], frame["once"], frame["twice"], frame["bytes"], strict=True):
                 length += more
-                if number < 0:
+                if own < 0:
                     continue
-                if number not in seen:
-                    seen[number] = (np.zeros(1 << slice_bits, bool), np.zeros(1 << slice_bits, bool))
-                one, two = seen[number]
+                if own != number:
+                    yield from done()
+                    number = own
+                    one, two = np.zeros(1 << slice_bits, bool), np.zeros(1 << slice_bits, bool)
                 cells = _unpack(once)
                 two[cells[one[cells]]] = True
                 one[cells] = True
                 if len(twice):
                     two[_unpack(twice)] = True
-        for number, (_, two) in seen.items():
-            if two.any():
-                yield pd.DataFrame({"slice": [number], "bits": [np.packbits(two, bitorder="little").tobytes()], "bytes": [0]})
+        yield from done()
         yield pd.DataFrame({"slice": [-1], "bits": [b""], "bytes": [length]})
 
     pieces = docs.select("text").mapInPandas(count, "slice int, once binary, twice binary, bytes bigint")
-    merged = pieces.repartition("slice").mapInPandas(merge, "slice int, bits binary, bytes bigint")
+    merged = pieces.repartition("slice").sortWithinPartitions("slice").mapInPandas(merge, "slice int, bits binary, bytes bigint")
     out, length = Sketch(rows, cell_bits), 0
     width = (1 << slice_bits) // 8
     for r in merged.toLocalIterator():
@@ -178,23 +182,22 @@ def sketch(docs: DataFrame, size: int = WINDOW, rows: int = ROWS, cell_bits: int
 
 
 def _windows_of(frame: pd.DataFrame, size: int, shared):
-    """Of a batch: its documents in order, their words, and the candidate windows.
+    """Of a batch: its documents in order and the windows estimated to repeat.
 
-    Returns the sorted frame, words by document, and arrays (document, place, low,
-    high, doc_id) of the windows estimated to repeat.
+    Returns the sorted frame, arrays (document, place, low, high) of the windows, and
+    the documents' doc_ids.
     """
-    frame = frame.assign(text=[t if isinstance(t, str) else "" for t in frame["text"]])
+    frame = frame.assign(own=frame["text"], text=[t if isinstance(t, str) else "" for t in frame["text"]])
     frame = frame.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
     ids = frame["doc_id"].to_numpy(np.int64)
-    own = [words(t) for t in frame["text"]]
     sketch_ = shared.value
     parts = []
-    for i, w in enumerate(own):
-        low, high = window_hashes(w, size)
+    for i, text in enumerate(frame["text"]):
+        low, high = window_hashes(words(text), size)
         at = np.flatnonzero(sketch_.repeated(low)) if len(low) else np.zeros(0, np.int64)
         parts.append((np.full(len(at), i), at, low[at], high[at]))
     document, place, low, high = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    return frame, own, document.astype(np.int64), place, low, high, ids
+    return frame, document.astype(np.int64), place, low, high, ids
 
 
 def _keys(low: np.ndarray, high: np.ndarray):
@@ -209,45 +212,49 @@ def _keys(low: np.ndarray, high: np.ndarray):
 
 def deduplicate(docs: DataFrame, size: int = WINDOW, rows: int = ROWS, cell_bits: int = CELL_BITS, keep: tuple = ()) -> DataFrame:
     """Every document's kept words: doc_id, n_words, n_removed, kept, and the columns of ``keep``."""
-    return _deduplicate(docs, size, rows, cell_bits, keep, False)
+    return _deduplicate(docs, size, rows, cell_bits, keep, "kept")
 
 
 def digests(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``deduplicate`` with the kept words as a digest."""
-    return _deduplicate(docs, size, ROWS, CELL_BITS, (), True)
+    return _deduplicate(docs, size, ROWS, CELL_BITS, (), "kept_sha256")
 
 
-def _deduplicate(docs, size, rows, cell_bits, keep, digest):
+def _deduplicate(docs, size, rows, cell_bits, keep, result):
+    """``result``: kept (words), kept_sha256, or text (the text itself where nothing goes)."""
     spark = docs.sparkSession
     ship(spark)
     merged, length = sketch(docs, size, rows, cell_bits)
     shared = spark.sparkContext.broadcast(merged)
     batches = max(1, -(-length // BATCH_BYTES))
-    kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
+    others = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     # Rows without doc_id are dealt by their text.
     place = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")), F.lit(7))
     dealt = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(LAST))).alias("doc_id"), "text", *kept,
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(LAST))).alias("doc_id"), "text", *others,
         F.pmod(place, F.lit(batches)).alias("batch"),
     )
 
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        _, _, document, _, low, high, ids = _windows_of(frame[["doc_id", "text", "batch"]], size, shared)
+        _, document, _, low, high, ids = _windows_of(frame[["doc_id", "text", "batch"]], size, shared)
         a, b, number = _keys(low, high)
         first = np.full(len(a), LAST)
         np.minimum.at(first, number, ids[document])
         return pd.DataFrame(
-            {"low": a.view(np.int64), "high": b.view(np.int32), "batch": int(frame["batch"].iloc[0]), "idx": np.arange(len(a), dtype=np.int32), "first": first}
+            # A window's place: its batch, and its number there. Both in one column, as rows are many.
+            {"low": a.view(np.int64), "high": b.view(np.int32), "place": (int(frame["batch"].iloc[0]) << 32) + np.arange(len(a)), "first": first}
         )
 
-    asked = dealt.groupBy("batch").applyInPandas(ask, "low bigint, high int, batch bigint, idx int, first bigint")
+    asked = dealt.groupBy("batch").applyInPandas(ask, "low bigint, high int, place bigint, first bigint")
     earlier = F.min("first").over(Window.partitionBy("low", "high"))
-    answers = asked.withColumn("earlier", earlier).where("earlier < first").select("batch", "idx", "earlier")
+    answers = asked.withColumn("earlier", earlier).where("earlier < first").select(
+        F.shiftright("place", 32).alias("batch"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("idx"), "earlier"
+    )
 
     def apply(frame: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame(columns=names)
-        frame, own, document, place, low, high, ids = _windows_of(frame, size, shared)
+        frame, document, place, low, high, ids = _windows_of(frame, size, shared)
         a, _, number = _keys(low, high)
         first = np.full(len(a), LAST)
         np.minimum.at(first, number, ids[document])
@@ -255,23 +262,28 @@ def _deduplicate(docs, size, rows, cell_bits, keep, digest):
         first[at] = np.minimum(first[at], answer["earlier"].to_numpy(np.int64))
         gone = first[number] < ids[document]
         document, place = document[gone], place[gone]
-        edges = np.searchsorted(document, np.arange(len(own) + 1))
+        edges = np.searchsorted(document, np.arange(len(frame) + 1))
         out = []
-        for i, w in enumerate(own):
+        for i, text in enumerate(frame["text"]):
+            w = words(text)
             covered = np.zeros(len(w) + 1, np.int64)
             starts = place[edges[i] : edges[i + 1]]
             np.add.at(covered, starts, 1)
             np.add.at(covered, starts + size, -1)
             stay = np.cumsum(covered[:-1]) == 0
-            text = b" ".join([w[j] for j in np.flatnonzero(stay)]) if len(starts) else b" ".join(w)
-            out.append((len(w), int((~stay).sum()), hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8")))
+            kept = b" ".join([w[j] for j in np.flatnonzero(stay)] if len(starts) else w)
+            if result == "kept_sha256":
+                kept = hashlib.sha256(kept).hexdigest()
+            else:
+                kept = kept.decode("utf-8") if result == "kept" or len(starts) else frame["own"].iat[i]
+            out.append((len(w), int((~stay).sum()), kept))
         done = pd.DataFrame(out, columns=names[1:4])
         done.insert(0, "doc_id", frame["doc_id"].values)
         for name in names[4:]:
             done[name] = frame[name].values
         return done
 
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept", *[f"kept_{i}" for i in range(len(keep))]]
+    names = ["doc_id", "n_words", "n_removed", result, *[f"kept_{i}" for i in range(len(keep))]]
     kinds = ["bigint", "bigint", "bigint", "string", *[docs.schema[c].dataType.simpleString() for c in keep]]
     done = (
         dealt.groupBy("batch").cogroup(answers.groupBy("batch"))
@@ -287,21 +299,16 @@ def trimmed(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     A text that loses nothing stays as it is, line breaks included; of others the
     kept words are joined by one space and ``n_chars``, if there, follows.
     """
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    done = _deduplicate(docs, size, ROWS, CELL_BITS, others, False)
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     # The operator's own columns come first; further ones by place, as names may clash.
-    names = ["doc_id", "words_", "removed_", "kept_", *[f"own_{i}" for i in range(len(others))]]
-    done = done.toDF(*names)
-    place = {c: f"own_{i}" for i, c in enumerate(others)}
-    columns = []
-    for c in docs.columns:
-        kind = docs.schema[c].dataType
-        if c == "doc_id":
-            columns.append(F.col("doc_id").cast(kind).alias(c))
-        elif c == "text":
-            columns.append(F.when(F.col("removed_") > 0, F.col("kept_")).otherwise(F.col(place[c])).alias(c))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("removed_") > 0, F.char_length("kept_")).otherwise(F.col(place[c])).cast(kind).alias(c))
-        else:
-            columns.append(F.col(place[c]).alias(c))
-    return done.select(*columns)
+    done = _deduplicate(docs, size, ROWS, CELL_BITS, others, "text")
+    done = done.toDF("doc_id", "words_", "removed_", "text", *[f"own_{i}" for i in range(len(others))])
+    place = {"doc_id": "doc_id", "text": "text", **{c: f"own_{i}" for i, c in enumerate(others)}}
+
+    def column(c: str):
+        own = F.col(place[c])
+        if c == "n_chars":
+            own = F.when(F.col("removed_") > 0, F.char_length("text")).otherwise(own)
+        return own.cast(docs.schema[c].dataType).alias(c)
+
+    return done.select(*[column(c) for c in docs.columns])
