@@ -164,18 +164,25 @@ def scan_key(value: Column) -> Column:
 
 
 def clean_scanned_name(value: Column) -> Column:
-    """Strip brackets, quotes and scan noise from a printed name."""
-    text = F.regexp_replace(value, r"[\(\)\{\}\[\]€<>|*\"“”]", " ")
-    text = F.translate(text, "’‘`", "'''")
-    text = F.regexp_replace(text, _BLANKS + r"[23Iìèî?>.,;:]+\s*$", "")
-    return F.regexp_replace(F.regexp_replace(text, _BLANKS, " "), r"^[ .,;:-]+|[ .,;:-]+$", "")
+    """A printed name without the marks around it.
+
+    Brackets, quotes and stars are blanks, typographic apostrophes plain ones; a
+    last word that holds nothing but what a column rule or page number is read as
+    goes; marks at either end go.
+    """
+    around, rule, ends = "(){}[]€<>|*\"“”", "23Iìèî?>.,;:", " .,;:-"
+    text = F.translate(F.translate(value, around, " " * len(around)), "’‘`", "'''")
+    words = F.filter(F.split(text, _BLANKS), lambda w: w != "")
+    said = F.transform(words, lambda w: F.translate(w, rule, ""))
+    stray = (F.size(words) > 1) & (F.element_at(said, -1) == "")
+    kept = F.when(stray, F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1)))).otherwise(words)
+    return F.btrim(F.array_join(kept, " "), F.lit(ends))
 
 
 def mostly_upper(value: Column) -> Column:
-    """More than four fifths of the letters are capitals."""
-    letters = F.length(F.regexp_replace(value, r"\P{L}", ""))
-    capitals = F.length(F.regexp_replace(value, r"\P{Lu}", ""))
-    return (letters > 0) & (capitals * 5 > letters * 4)
+    """Of five letters more than four are capitals."""
+    capitals, letters = (F.regexp_count(value, F.lit(kind)) for kind in (r"\p{Lu}", r"\p{L}"))
+    return (letters > 0) & (capitals > 0.8 * letters)
 
 
 def edit_similarity(left: Column, right: Column) -> Column:

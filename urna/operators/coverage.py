@@ -36,10 +36,7 @@ def national_coverage(facts: DataFrame, catalogue: DataFrame) -> DataFrame:
         F.max("voters").alias("voters"),
         F.max("valid_votes").alias("valid_votes"),
     )
-    joined = grouped.join(
-        catalogue.select("category", "election_date", "download_url", "sha256"),
-        ["category", "election_date"],
-    )
+    joined = grouped.join(catalogue.select("archive", "download_url", "sha256"), "archive")
     level = (
         F.when(F.col("municipality") != "", "comune")
         .when(F.col("province") != "", "provincia")
@@ -68,10 +65,11 @@ def municipality_coverage(
 
     ``requests`` holds (region, municipality).  Relevant are the archives of the
     national categories and those with rows of the region or the municipality.
-    The facts are reduced to one small row per (archive, region, municipality)
-    once; requests meet archives through equi-joins only.
+    An election may have several archives, each reported on its own.  The facts
+    are reduced to one small row per (archive, region, municipality) once; requests
+    meet archives through equi-joins only.
     """
-    archive = ["category", "election_date"]
+    archive = ["category", "election_date", "archive"]
     reduced = (
         facts.groupBy(*archive, "region", "municipality_key")
         .agg(

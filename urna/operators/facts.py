@@ -158,11 +158,11 @@ def in_scope(
 
 
 def with_archive(facts: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Add download address and digest of the archive each row came from."""
-    return facts.join(
-        catalogue.select("category", "election_date", "download_url", "sha256"),
-        ["category", "election_date"],
-    )
+    """Add download address and digest of the archive each row came from.
+
+    An election may have several archives, so the archive itself is the key.
+    """
+    return facts.join(catalogue.select("archive", "download_url", "sha256"), "archive")
 
 
 def result_rows(facts: DataFrame, *carried: str) -> DataFrame:

@@ -40,7 +40,7 @@ def with_map_version(elections: DataFrame, date_column: str = "election_date") -
 def map_sources(versions: DataFrame, laws: DataFrame) -> DataFrame:
     """Citations and addresses of each map version's laws, in the listed order."""
     exploded = versions.select(
-        "position", "id", "category", "start_year", "end_year", "geography_level", "notes",
+        "position", "id", "category", "start_year", "end_year", "geography_level",
         F.posexplode("source_ids").alias("place", "source_id"),
     )
     cited = exploded.join(
@@ -52,7 +52,7 @@ def map_sources(versions: DataFrame, laws: DataFrame) -> DataFrame:
     )
     return (
         cited.groupBy(
-            "position", "id", "category", "start_year", "end_year", "geography_level", "notes"
+            "position", "id", "category", "start_year", "end_year", "geography_level"
         )
         .agg(in_order.alias("s"))
         .select(
@@ -60,7 +60,6 @@ def map_sources(versions: DataFrame, laws: DataFrame) -> DataFrame:
             F.col("s.source_id").alias("source_ids"),
             F.col("s.citation").alias("source_citations"),
             F.col("s.source_url").alias("source_urls"),
-            "notes",
         )
     )
 

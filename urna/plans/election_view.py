@@ -158,6 +158,7 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             "category",
             "election_date",
+            name.alias("archive"),
             filename.alias("filename"),
             F.concat(
                 F.lit("https://dait.interno.gov.it/documenti/opendata/"), "category", F.lit("/"), filename

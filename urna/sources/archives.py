@@ -27,8 +27,8 @@ from urna.functions.text import clean_text, text_key
 from urna.operators.normalise import with_raw_geography
 from urna.session import stage
 
-MAX_ARCHIVE_BYTES = 250 * 1024 * 1024
-MAX_UNCOMPRESSED_BYTES = 2 * 1024 * 1024 * 1024
+#: Longest content that one row can hold.
+LONGEST_CONTENT = 2**31 - 1
 _BATCH = 5000
 _MEMBERS = "path string, member_index int, member string, method int, data binary, error string"
 _ROWS = (
@@ -46,7 +46,7 @@ def _compressed(content: bytes, info: zipfile.ZipInfo) -> bytes:
     return content[start : start + info.compress_size]
 
 
-def _members(content: bytes, cap: int, municipality_level: bool) -> Iterator[tuple]:
+def _members(content: bytes, cap: int | None, municipality_level: bool) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         infos = archive.infolist()
         unpacked = 0
@@ -55,7 +55,7 @@ def _members(content: bytes, cap: int, municipality_level: bool) -> Iterator[tup
             if path.startswith("/") or ".." in path.split("/"):
                 raise ValueError(f"unsafe path: {info.filename}")
             unpacked += info.file_size
-            if unpacked > cap:
+            if cap is not None and unpacked > cap:
                 raise ValueError("archive exceeds the maximum extracted size")
         kept = [
             (i, info)
@@ -79,7 +79,7 @@ def _members(content: bytes, cap: int, municipality_level: bool) -> Iterator[tup
 def list_members(
     files: DataFrame,
     *,
-    max_uncompressed_bytes: int = MAX_UNCOMPRESSED_BYTES,
+    max_uncompressed_bytes: int | None = None,
     municipality_level_only: bool = True,
 ) -> DataFrame:
     """(path, content) to one row per supported member, or one row with the error."""
@@ -88,14 +88,18 @@ def list_members(
         columns = ["path", "member_index", "member", "method", "data", "error"]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                try:
-                    listed = list(_members(content, max_uncompressed_bytes, municipality_level_only))
-                    rows = [(path, *m, None) for m in listed]
-                except Exception as error:  # a bad archive must not end the job
-                    rows = [(path, None, None, None, None, str(error))]
-                yield pd.DataFrame(rows, columns=columns).astype(
-                    {"member_index": "Int32", "method": "Int32"}
-                )
+                # A member at a time; one that fails ends its archive with an error row.
+                found = _members(content, max_uncompressed_bytes, municipality_level_only)
+                while True:
+                    try:
+                        member = next(found, None)
+                        row = None if member is None else (path, *member, None)
+                    except Exception as error:  # a bad archive must not end the job
+                        member, row = None, (path, None, None, None, None, str(error))
+                    if row is not None:
+                        yield pd.DataFrame([row], columns=columns).astype({"member_index": "Int32", "method": "Int32"})
+                    if member is None:
+                        break
 
     return files.select("path", "content").mapInPandas(explode, _MEMBERS)
 
@@ -275,7 +279,7 @@ def read_members(members: DataFrame) -> DataFrame:
 def read_archives(
     files: DataFrame,
     *,
-    max_uncompressed_bytes: int = MAX_UNCOMPRESSED_BYTES,
+    max_uncompressed_bytes: int | None = None,
     municipality_level_only: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Raw rows of the readable archives, and (path, error) of the others.
@@ -302,17 +306,44 @@ def read_archives(
     return with_raw_geography(cleaned), rejects
 
 
-def load(spark: SparkSession, pattern: str, *, max_archive_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
-    """ZIP files below a size cap as (path, content, sha256)."""
+def load(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """ZIP files as (path, content, sha256), and (path, error) of files no row can hold.
+
+    The length is known from the listing, so the content of those is never read.
+    """
     files = spark.read.format("binaryFile").load(pattern)
-    return files.where(F.col("length") <= max_archive_bytes).select(
-        "path", "content", F.sha2("content", 256).alias("sha256")
+    held = files.where(F.col("length") <= LONGEST_CONTENT).select("path", "content", F.sha2("content", 256).alias("sha256"))
+    rejects = files.where(F.col("length") > LONGEST_CONTENT).select(
+        "path", F.concat(F.lit("too long for one row: "), F.col("length").cast("string"), F.lit(" bytes")).alias("error")
     )
+    return held, rejects
 
 
-def with_election(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Add archive, category and election date by the file name in the catalogue."""
-    named = catalogue.where(F.col("election_date").isNotNull()).select(
-        F.col("filename").alias("archive"), "category", "election_date"
+def with_election(rows: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Add archive, category and election date, and (path, error) of the archives without them.
+
+    The catalogue's relative path (``archive``) must be the end of the archive's
+    path; without that column its file name stands in.  An archive that matches
+    no dated entry, or entries of several elections, is a reject.
+    """
+    key = "archive" if "archive" in catalogue.columns else "filename"
+    entries = catalogue.select(
+        F.col(key).alias("archive"), F.substring_index(key, "/", -1).alias("file_"), "category", "election_date"
+    ).distinct()
+    paths = rows.select("path").distinct().withColumn("file_", F.substring_index("path", "/", -1))
+    found = paths.join(entries, "file_", "left").withColumn(
+        "fits_",
+        F.col("archive").isNotNull()
+        & ((F.col("path") == F.col("archive")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("archive")))),
+    )
+    fit = F.struct("archive", "category", "election_date")
+    judged = found.groupBy("path").agg(
+        F.count_if("fits_").alias("n_"), F.max(F.when(F.col("fits_"), fit)).alias("fit_")
+    ).withColumn(
+        "error",
+        F.when(F.col("n_") == 0, "not in the catalogue")
+        .when(F.col("n_") > 1, "several elections in the catalogue")
+        .when(F.col("fit_.election_date").isNull(), "no election date in the catalogue"),
     )
-    return rows.withColumn("archive", F.substring_index("path", "/", -1)).join(named, "archive")
+    matched = judged.where(F.col("error").isNull()).select("path", "fit_.*")
+    return rows.join(matched, "path"), judged.where(F.col("error").isNotNull()).select("path", "error")

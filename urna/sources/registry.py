@@ -19,11 +19,19 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=_REGISTRY)
 
 
-def read_words(spark: SparkSession, path: str) -> DataFrame:
-    """Words of scanned pages (tab-separated recogniser output), page from the file name."""
-    table = spark.read.csv(path, sep="\t", header=True, schema=_WORDS, quote="", mode="DROPMALFORMED")
-    page = F.regexp_extract(F.input_file_name(), r"(\d+)\.tsv$", 1).cast("int")
-    return words(table.withColumn("page", page))
+def read_words(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Words of scanned pages (tab-separated recogniser output), page from the file name.
+
+    Also (path, line) of the lines that are no words.
+    """
+    schema = f"{_WORDS}, malformed string"
+    # Every column is parsed whatever is asked for, or a bad line might pass for a good one.
+    table = spark.read.option("columnPruning", False).csv(
+        path, sep="\t", header=True, schema=schema, quote="", mode="PERMISSIVE", columnNameOfCorruptRecord="malformed"
+    ).withColumn("path", F.input_file_name())
+    page = F.regexp_extract("path", r"(\d+)\.tsv$", 1).cast("int")
+    read = table.where(F.col("malformed").isNull()).withColumn("page", page).drop("malformed", "path")
+    return words(read), table.where(F.col("malformed").isNotNull()).select("path", F.coalesce("malformed", "text").alias("line"))
 
 
 def words(table: DataFrame) -> DataFrame:

@@ -35,11 +35,23 @@ def ingest_archives(
         .select("path", "content")
     )
 
-    def load(batch: DataFrame, _: int) -> None:
-        rows, rejects = read_archives(batch)
-        raw = stage(with_election(rows, catalogue))
-        replace_archives({"archive_rows": raw, "election_results": normalise(raw)}, tables)
-        rejects.withColumn("seen_at", F.current_timestamp()).write.mode("append").parquet(f"{tables}/rejects")
+    def load(batch: DataFrame, number: int) -> None:
+        rows, unreadable = read_archives(batch)
+        digests = stage(batch.select("path", F.sha2("content", 256).alias("sha256")))
+        read = stage(rows)
+        matched, unknown = with_election(read, catalogue)
+        raw = stage(matched)
+        # Archives without a row are imported too: their old rows must go.
+        entries, _ = with_election(digests.join(unreadable.select("path"), "path", "left_anti"), catalogue)
+        entries = stage(entries)
+        counts = raw.groupBy("path").agg(F.count("*").alias("rows"))
+        listed = entries.join(counts, "path", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+        replace_archives(
+            {"archive_rows": raw, "election_results": normalise(raw), "catalogue": listed}, tables, entries
+        )
+        # One folder a batch: a retried batch replaces its own rejects.
+        rejects = unreadable.unionByName(unknown).withColumn("seen_at", F.current_timestamp())
+        rejects.write.mode("overwrite").parquet(f"{tables}/rejects/batch_id={number}")
 
     return (
         files.writeStream.foreachBatch(load)
