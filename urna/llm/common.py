@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from urna.session import shared_folder, ship, stage
 
 __all__ = [
-    "as_bytes", "components", "crc_mod", "mix", "new_folder", "only", "read", "ship", "split_words", "stage", "words",
+    "as_bytes", "components", "crc_mod", "file_system", "mix", "new_folder", "only", "read", "ship", "split_words", "stage", "words",
 ]
 
 
@@ -26,6 +27,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(uri: str):
+    """A file system and path for an address in shared storage; s3a is s3 here."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", uri) if ":" in uri else f"file://{uri}")
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, whatever else the table brings."""
     return df.select(*[F.col(n) for n in names])

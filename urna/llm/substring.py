@@ -16,7 +16,7 @@ that covers it also starts in a document with a smaller doc_id.
 
 A window that every document holds is one row a batch, so no group exceeds the
 number of batches. The sketch has a fixed size (``ROWS`` x 2**``CELL_BITS`` bits
-once merged), which is what bounds its broadcast; when the corpus outgrows it
+once merged), which each Python worker reads from shared storage; when the corpus outgrows it
 more windows reach step 2, with the same result.
 
 Defined cases: null, empty and short texts lose nothing; a window that repeats
@@ -36,11 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urna.llm.common import mix, ship, words
+from urna.llm.common import file_system, mix, new_folder, ship, words
 
 WINDOW = 13
 #: The sketch: rows, cells of a row, and slices of a row that are merged apart.
-ROWS, CELL_BITS, SLICE_BITS = 2, 29, 20
+ROWS, CELL_BITS, SLICE_BITS = 2, 28, 20
 #: Bytes of text in one batch, on average.
 BATCH_BYTES = 24_000_000
 #: A doc_id after all others, for null.
@@ -99,6 +99,37 @@ class Sketch:
         return found
 
 
+class Stored:
+    """A sketch in shared storage, read once by every Python worker that asks.
+
+    One file is less than a copy on every executor's disk, as a broadcast would be.
+    """
+
+    _held: dict[str, Sketch] = {}
+
+    def __init__(self, merged: Sketch, folder: str):
+        self.path, self.rows, self.cell_bits = f"{folder}/sketch", len(merged.bits), merged.cell_bits
+        files, root = file_system(folder)
+        files.create_dir(root, recursive=True)
+        with files.open_output_stream(f"{root}/sketch", compression=None) as out:
+            out.write(merged.bits.tobytes())
+
+    @property
+    def value(self) -> Sketch:
+        if self.path not in self._held:
+            self._held.clear()
+            files, own = file_system(self.path)
+            read = Sketch(0, self.cell_bits)
+            if files.type_name == "local":
+                # A mounted folder: the machine's workers share its pages.
+                read.bits = np.memmap(own, np.uint8, "r").reshape(self.rows, -1)
+            else:
+                with files.open_input_file(own) as source:
+                    read.bits = np.frombuffer(source.read(), np.uint8).reshape(self.rows, -1)
+            self._held[self.path] = read
+        return self._held[self.path]
+
+
 def sketch(docs: DataFrame, size: int = WINDOW, rows: int = ROWS, cell_bits: int = CELL_BITS) -> tuple[Sketch, int]:
     """The merged sketch of all texts and their number of bytes.
 
@@ -225,7 +256,8 @@ def _deduplicate(docs, size, rows, cell_bits, keep, result):
     spark = docs.sparkSession
     ship(spark)
     merged, length = sketch(docs, size, rows, cell_bits)
-    shared = spark.sparkContext.broadcast(merged)
+    shared = Stored(merged, new_folder(spark, "sketch"))
+    del merged
     batches = max(1, -(-length // BATCH_BYTES))
     others = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     # Rows without doc_id are dealt by their text.

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urna.llm.common import stage
+from urna.llm.common import file_system, stage
 
 #: Bytes of a range.
 SPLIT = 16 << 20
@@ -43,13 +43,6 @@ PROBE = 4096
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _files(uri: str):
-    """A file system and path for a folder's address; s3a is s3 here."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", uri) if ":" in uri else f"file://{uri}")
-
-
 def _line(text) -> str:
     """A header value: no line ends inside."""
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", text or "")
@@ -82,7 +75,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, level: int = 4) -> Data
     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, root = _files(folder)
+        files, root = file_system(folder)
         files.create_dir(root, recursive=True)
         name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         records = length = 0
@@ -182,7 +175,7 @@ def read(archives: DataFrame, split: int = SPLIT, payloads: bool = True) -> Data
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, length, start in zip(frame["path"], frame["length"], frame["start"], strict=True):
-                files, own = _files(path)
+                files, own = file_system(path)
                 rows, held = [], 0
                 with files.open_input_file(own) as source:
                     for head, block in records_in(source, start, min(start + split, length), length):
