@@ -18,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 LONGEST = BUCKETS[-1]
 #: Rows of one matrix, runs remembered by one task, characters encoded together: bounds of memory, not of the work.
-MATRIX_ROWS, REMEMBERED, BLOCK_CHARS = 1 << 15, 1 << 19, 1 << 23
+MATRIX_ROWS, REMEMBERED, BLOCK_CHARS = 1 << 14, 1 << 17, 1 << 22
 
 NONE = np.int32(2**31 - 1)
 
@@ -195,6 +195,10 @@ class TextCoder:
     def learn(self, runs: set[str]) -> None:
         """Encode what is new among ``runs``; ids as text, their number, and decoded bytes."""
         new = [r for r in runs if r not in self.known]
+        for start in range(0, len(new), MATRIX_ROWS):
+            self._learn(new[start : start + MATRIX_ROWS])
+
+    def _learn(self, new: list[str]) -> None:
         cut = [self.pattern.findall(r) for r in new]
         pieces = list({p for c in cut for p in c})
         ids = dict(zip(pieces, self.vocabulary.encode_pieces([p.encode("utf-8") for p in pieces]), strict=True))
@@ -203,7 +207,7 @@ class TextCoder:
             own = [i for p in parts for i in ids[p].tolist()]
             self.known[run] = (",".join(map(str, own)), len(own), decode(own))
 
-    def encode(self, texts: list[str]) -> Iterator[list[tuple[str, int, bytes]]]:
+    def encode(self, texts: Iterable[str]) -> Iterator[list[tuple[str, int, bytes]]]:
         """For each text its runs' ids (as text), number of ids, and decoded bytes."""
         block, size = [], 0
         for text in texts:
@@ -227,7 +231,7 @@ def _batches(ranks: bytes, pattern: str, id_column: str, with_ids: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = TextCoder(ranks, pattern)
         for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame["text"]]
+            texts = (t if isinstance(t, str) else "" for t in frame["text"])
             rows = []
             for parts in coder.encode(texts):
                 joined = ",".join([p[0] for p in parts])
