@@ -29,7 +29,9 @@ def test_query_equals_its_sql(spark, small, con, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    from urna.plans import registry
+
+    assert set(registry.QUERIES) == set(registry.ORACLE)
 
 
 def test_no_plan_holds_a_cross_join(spark, small):
