@@ -97,8 +97,8 @@ def subject_totals(spark, sf_dir):
 
 
 @query(sql_facts() + """
-, req AS (SELECT DISTINCT concat('q:', canonical, '|', region) AS place, mkey, region, constituency
-          FROM f WHERE region IS NOT NULL AND canonical IS NOT NULL AND constituency LIKE '% 1'),
+, req AS (SELECT DISTINCT concat('q:', canonical, '|', region, '|', constituency) AS place, mkey, region, constituency
+          FROM f WHERE region IS NOT NULL AND canonical IS NOT NULL),
 m AS (SELECT req.place, f.category, f.election_date, f.source_file, f.result_type, f.round,
              f.municipality AS label, f.college, f.constituency, max(electors) AS electors,
              max(voters) AS voters, sum(votes)::BIGINT AS votes
@@ -113,10 +113,9 @@ def requested_layers(spark, sf_dir):
     rows = facts(spark, sf_dir)
     canonical = canonical_municipality(F.col("municipality"))
     requests = (
-        rows.where(F.col("region").isNotNull() & F.col("constituency").endswith(" 1"))
-        .where(F.col("municipality").isNotNull())
+        rows.where(F.col("region").isNotNull() & F.col("municipality").isNotNull())
         .select(
-            F.concat(F.lit("q:"), canonical, F.lit("|"), "region").alias("place"),
+            F.concat(F.lit("q:"), canonical, F.lit("|"), "region", F.lit("|"), "constituency").alias("place"),
             canonical.alias("municipality"),
             F.lit(None).cast("string").alias("province"),
             "region",

@@ -238,9 +238,11 @@ def verify_status(spark, sf_dir):
 
 
 @query(sql_facts() + """
-, p AS (SELECT DISTINCT concat(mkey,'|',coalesce(province,'-')) AS set_id, category, election_date, mkey, province,
-               region, constituency FROM f WHERE mkey IS NOT NULL AND category IN ('camera','comunali')
-               AND year(election_date) IN (1996, 1997) AND (category='camera') = (province IS NOT NULL)),
+, p AS (SELECT DISTINCT concat_ws('|', mkey, coalesce(province,'-'), category,
+                 CASE WHEN category='europee' THEN year(election_date)//2 ELSE year(election_date) END,
+                 CASE WHEN category='senato' THEN region END, CASE WHEN category='comunali' THEN constituency END) AS set_id,
+               CASE WHEN category='referendum' AND region='ASIA' THEN 'altro' ELSE category END AS category,
+               election_date, mkey, province, region, constituency FROM f WHERE mkey IS NOT NULL),
 g AS (SELECT set_id, count(DISTINCT category) AS c, count(DISTINCT election_date) AS d,
              count(DISTINCT coalesce(province,'')) AS p, count(DISTINCT coalesce(region,'')) AS r,
              count(DISTINCT constituency) AS k FROM p GROUP BY ALL)
@@ -248,16 +250,18 @@ SELECT set_id, CASE WHEN c>1 THEN 'different_chamber' WHEN d>1 THEN 'different_e
        WHEN p>1 THEN 'different_province' WHEN r>1 THEN 'different_region'
        WHEN k>1 THEN 'different_constituency' END AS reason FROM g WHERE c>1 OR d>1 OR p>1 OR r>1 OR k>1""")
 def page_set_rejects(spark, sf_dir):
-    rows = facts(spark, sf_dir).where(
-        F.col("municipality").isNotNull()
-        & F.col("category").isin("camera", "comunali")
-        & F.year("election_date").isin(1996, 1997)
-        & ((F.col("category") == "camera") == F.col("province").isNotNull())
-    )
+    """Sets over all pages; each category's sets are cut so that another rule strikes."""
+    rows = facts(spark, sf_dir).where(F.col("municipality").isNotNull())
+    kind, year = F.col("category"), F.year("election_date")
     canonical = canonical_municipality(F.col("municipality"))
     pages = rows.select(
-        F.concat(slug(canonical), F.lit("|"), F.coalesce("province", F.lit("-"))).alias("set_id"),
-        "category", "election_date", "municipality", "province", "region", "constituency",
+        F.concat_ws(
+            "|", slug(canonical), F.coalesce("province", F.lit("-")), "category",
+            F.when(kind == "europee", F.floor(year / 2)).otherwise(year).cast("string"),
+            F.when(kind == "senato", F.col("region")), F.when(kind == "comunali", F.col("constituency")),
+        ).alias("set_id"),
+        F.when((kind == "referendum") & (F.col("region") == "ASIA"), "altro").otherwise(kind).alias("category"),
+         "election_date", "municipality", "province", "region", "constituency",
     ).distinct()
     return verify.page_set_rejects(pages)
 
@@ -383,9 +387,7 @@ def _registry(rows: DataFrame) -> DataFrame:
 
 
 def _college_pages(rows: DataFrame) -> DataFrame:
-    placed = layers.with_keys(rows).where(
-        F.col("municipality").isNotNull() & F.col("category").isin("camera", "senato", "europee")
-    )
+    placed = layers.with_keys(rows).where(F.col("municipality").isNotNull())
     return placed.groupBy("place", "category", "election_date", "college").agg(
         F.max(canonical_municipality(F.col("municipality"))).alias("municipality"),
         F.max("constituency").alias("constituency"),
@@ -396,7 +398,7 @@ def _college_pages(rows: DataFrame) -> DataFrame:
 _LEGAL = """
 , pg AS (SELECT place, category, election_date, college, max(mkey) AS mkey, max(constituency) AS constituency,
                 max(region) AS region, CAST(right(college,1) AS INTEGER) AS code
-         FROM f WHERE mkey IS NOT NULL AND category IN ('camera','senato','europee') GROUP BY ALL),
+         FROM f WHERE mkey IS NOT NULL GROUP BY ALL),
 sg AS (SELECT place, category, election_date, count(*) AS pagine, max(mkey) AS mkey,
               CASE WHEN category='camera' THEN max(constituency) ELSE max(region) END AS geography,
               list_sort(list(DISTINCT code)) AS web FROM pg GROUP BY place, category, election_date),

@@ -250,7 +250,7 @@ r AS (SELECT geography, text, arg_max(name, (score, key)) AS name, max(score) AS
       (list(score ORDER BY score DESC))[2] AS rival FROM p GROUP BY ALL)
 SELECT e.geography, e.text, CASE WHEN exact IS NOT NULL THEN exact
          WHEN r.score >= 0.75 AND coalesce(r.score - rival >= 0.05, true) THEN r.name END AS municipality,
-       CASE WHEN exact IS NOT NULL THEN 1000 WHEN r.score >= 0.699999 THEN CAST(floor(r.score*1000 + 0.001) AS BIGINT) END AS score_permille
+       CASE WHEN exact IS NOT NULL THEN 1000 WHEN r.score >= 0.549999 THEN CAST(floor(r.score*1000 + 0.001) AS BIGINT) END AS score_permille
 FROM e JOIN r ON r.geography=e.geography AND r.text=e.text""")
 def fuzzy_names(spark, sf_dir):
     part = table(spark, sf_dir, "part")

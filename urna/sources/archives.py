@@ -128,12 +128,10 @@ def _headerless(file_name: str, count: int) -> tuple[str, ...] | None:
 def delimited_rows(raw: bytes, file_name: str) -> Iterator[tuple[int, dict, dict]]:
     """Records of a delimited member as (row number, payload, numbers)."""
     stream = io.TextIOWrapper(io.BytesIO(raw), encoding=_encoding(raw), newline="\n")
-    sample = stream.read(8192)
+    header = re.sub(r'"[^"]*"', "", stream.readline())
     stream.seek(0)
-    try:
-        reader = csv.reader(stream, csv.Sniffer().sniff(sample, delimiters=fv.DELIMITERS))
-    except csv.Error:
-        reader = csv.reader(stream, delimiter=";")
+    # The header record decides: its most frequent separator, the semicolon where none occurs.
+    reader = csv.reader(stream, delimiter=max(fv.DELIMITERS, key=header.count))
     first = next(reader, None)
     if not first:
         return
