@@ -3,6 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from urna.functions.text import text_key
 from urna.operators.verify import page_sets
 from urna.plans.encodings import workbook_bytes
 from urna.sources import archives, catalogue, pages
@@ -138,3 +139,13 @@ def test_catalogue(spark):
     assert rows[0]["download_url"].endswith("/opendata/camera/a.zip") and rows[0]["identifier"] == "19480418"
     assert catalogue.select_entries(entries, category="camera", year=1948).count() == 1
     assert catalogue.import_candidates(entries, categories=["camera", "senato"]).count() == 1
+
+
+def test_separator_is_that_of_the_header_record():
+    wide = ";".join(f"COLONNA {i}" for i in range(2000))
+    assert len(wide) > 8192
+    raw = (wide + "\n" + ";".join(f"{i},5" for i in range(2000)) + "\n").encode()
+    ((number, payload, _),) = list(archives.delimited_rows(raw, "voti.txt"))
+    assert number == 2 and len(payload) == 2000 and payload[text_key("COLONNA 1999")] == "1999,5"
+    ((_, payload, _),) = list(archives.delimited_rows(b'"A;B;C;D","E"\n1,2\n', "voti.csv"))
+    assert len(payload) == 2
