@@ -201,13 +201,8 @@ def shard_stars(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return routed.groupBy("shard").applyInPandas(search, "fp bigint, star bigint")
 
 
-def classes(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component): the smallest ``first`` reachable from each distinct fingerprint."""
-    nodes = stage(nodes)
-    stars = stage(shard_stars(nodes, radius))
-    if stars.isEmpty():
-        return nodes.select("fp", F.col("first").alias("component"))
-    label = stage(nodes.join(stars.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("first").alias("component")))
+def settle(stars: DataFrame, label: DataFrame) -> DataFrame:
+    """(fp, component): the smallest label reachable over the stars, both written tables."""
     while True:
         # Both joins read written tables on both sides, so a large class is a
         # skewed join that can be split; the sums combine before their shuffle.
@@ -222,7 +217,16 @@ def classes(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         ).isEmpty()
         label = new
         if settled:
-            break
+            return label
+
+
+def classes(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component): the smallest ``first`` reachable from each distinct fingerprint."""
+    nodes = stage(nodes)
+    stars = stage(shard_stars(nodes, radius))
+    if stars.isEmpty():
+        return nodes.select("fp", F.col("first").alias("component"))
+    label = settle(stars, stage(nodes.join(stars.select("fp").distinct(), "fp", "left_semi").select("fp", F.col("first").alias("component"))))
     found = label.withColumnRenamed("component", "found")
     return nodes.join(found, "fp", "left").select("fp", F.coalesce("found", "first").alias("component"))
 
