@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from urna.llm import resemblance
+from urna.llm import resemblance, simhash
 from urna.llm.common import components, read
 
 
@@ -60,3 +60,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted({r.doc_id for r in kept.collect()}) == _brute(rows)
     assert kept.where("doc_id = 13").count() == 2
     assert resemblance.representatives(no_docs).count() == 0
+
+
+def test_rows_without_doc_id_stay_once_a_class(spark, odd_docs, small):
+    """One row of a class without ids stays, and none where a row of the class has an id."""
+    texts = ["a text without a number that has some words in it"] * 3 + ["another one that nobody else has written before"] + ["One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen."]
+    more = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string")
+    docs = odd_docs.select("doc_id", "text").unionByName(more)
+    for kept in (corpus_pipeline.near_duplicate_stage(spark, docs, small), simhash.representatives(docs)):
+        assert sorted(r.text for r in kept.where("doc_id is null").collect()) == sorted({texts[0], texts[3]})
+        assert {r.doc_id for r in kept.collect()} >= {0, 4, 8, 9}

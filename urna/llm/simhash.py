@@ -31,9 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from urna.llm.common import components, split_words, stage
 
@@ -243,10 +245,30 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
     )
 
 
+def one_each(rows: DataFrame, label: DataFrame, node: str) -> DataFrame:
+    """Of each class the rows with its smallest doc_id, or one row where none has a doc_id.
+
+    ``rows``: a written table with a column ``node``; ``label``: (fp, component) of its linked nodes.
+    """
+    label = label.select(F.col("fp").alias(node), F.col("component").alias("_component"))
+    nodes = rows.groupBy(node).agg(F.min("doc_id").alias("first")).join(label, node, "left").withColumn("_component", F.coalesce("_component", node))
+    groups = stage(nodes.groupBy("_component").agg(F.min("first").alias("first"), F.min(node).alias(node)))
+    kept = rows.join(groups.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    nameless = rows.where(F.col("doc_id").isNull()).join(groups.where(F.col("first").isNull()), node, "left_semi")
+    return kept.unionByName(nameless.dropDuplicates([node]))
+
+
 def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents with the smallest doc_id of their class; columns unchanged.
+    """Of each class the rows with its smallest doc_id, or one row where none has a doc_id; columns unchanged.
 
-    Rows that share that doc_id are one document and all stay.
+    Rows that share a doc_id are one document and all stay.
     """
-    kept = near_duplicates(docs.select("doc_id", "text"), radius).where(F.col("doc_id") == F.col("component_id"))
-    return docs.join(stage(kept.select("doc_id").distinct()), "doc_id", "left_semi").select(*docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = pa.array([fingerprint(t) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*batch.schema.names, "_fp"])
+
+    rows = stage(docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("_fp", LongType())))
+    nodes = rows.select(F.col("_fp").alias("fp"), F.col("_fp").alias("first")).distinct()
+    return one_each(rows, classes(nodes, radius), "_fp").select(*docs.columns)
