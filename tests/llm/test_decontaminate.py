@@ -88,3 +88,21 @@ def test_whole_table_equals_brute_force(spark, small):
         for j in range(len(w) - 7):
             want |= {(d, i) for i in where.get(tuple(w[j : j + 8]), ())}
     assert want and set(found) == want
+
+
+AGAIN = [
+    # Names of two words.
+    ("a train leaves New York at 7:15 and drives 80 miles to Los Angeles, then it drives back to New York within 2 hours. How far did it go in all?", {1}),
+    # Words put in: no diagonal covers 13 tokens.
+    ("A train leaves Rome at 7:15 and drives about 80 miles to Milan, then it drives back all the way to Rome within 2 hours. How far did it really go in all?", {1}),
+    # Different values that meet the same one.
+    ("when Carla has 7 apples and gives Dario 7 of them, how many apples does Carla keep for her own dinner?", {5, 6}),
+    # Paris meets two towns, of one word and of two.
+    ("a train leaves New York at 7:15 and drives 80 miles to Los Angeles, then it drives back to Boston within 2 hours. How far did it go in all?", set()),
+]
+
+
+def test_questions_asked_again_with_other_values(spark, cases):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(AGAIN)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs, cases[1]).collect()}
+    assert got == {(i, j): "reparameterised" for i, (_, js) in enumerate(AGAIN) for j in js}

@@ -1,15 +1,17 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-A text becomes tokens. Numbers, units after a number, and capitalised words inside
-a sentence are replaced by a placeholder of their kind, everything else is lower
-case without marks. Windows of ``WINDOW`` template tokens of the benchmark meet the
+A text becomes tokens. Numbers, units after a number, and runs of capitalised words
+inside a sentence are replaced by a placeholder of their kind, everything else is
+lower case without marks. Windows of ``WINDOW`` template tokens of the benchmark meet the
 same windows of the documents in a hash join. Windows of one document and item
 that lie on one diagonal (document place minus item place) belong together; they
-cover some of the item's tokens. A pair counts as a leak if a diagonal covers
-``enough`` tokens and its slots are consistent: within it, equal values of the
-item always meet equal values of the document and different ones different ones.
-So a question with other numbers or names is caught, and a text that merely has
-the same shape with unrelated values is not.
+cover some of the item's tokens. So do neighbouring diagonals, each at most ``GAP``
+from the next, as words put in or left out shift the rest; an item place that
+several of them cover counts once, on the diagonal that covers most. A pair counts
+as a leak if a diagonal or such a run covers ``enough`` tokens and its slots are
+consistent: within it, equal values of the item always meet equal values of the
+document. So a question with other numbers or names is caught, and a text that
+merely has the same shape with unrelated values is not.
 
 Benchmark windows that are mostly placeholders say nothing and are left out.
 Items shorter than a window are compared whole. The benchmark's windows are
@@ -23,11 +25,13 @@ reported; empty tables give no pairs; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Template tokens of a window, and tokens a diagonal covers at most to count.
 WINDOW, ENOUGH = 6, 13
+#: Tokens between neighbouring diagonals.
+GAP = 3
 #: Checked size below which the benchmark's windows are broadcast (some 40 bytes each).
 BROADCAST_WINDOWS = 500_000
 
@@ -48,7 +52,9 @@ def _marked(text: Column) -> Column:
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     x = F.coalesce(text, F.lit(""))
     x = F.regexp_replace(x, "[-]", " ")
-    x = F.regexp_replace(x, r"\p{Lu}(?<=[\p{Ll}\p{N},;] .)\p{Ll}+(?![\p{L}\p{N}])", NAME + "$0")
+    x = F.regexp_replace(x, r"\p{Lu}(?<=[\p{Ll}\p{N},;] .)\p{Ll}+(?![\p{L}\p{N}])", NAME + "$0" + INNER)
+    # Names a blank apart are one.
+    x = F.regexp_replace(F.replace(x, F.lit(f"{INNER} {NAME}"), F.lit(INNER)), rf"{INNER}(?!\p{{Lu}})", "")
     x = F.regexp_replace(x, r"[.,:/](?<=\p{N}.)(?=\p{N})", INNER)
     x = F.regexp_replace(x, rf"(\p{{N}}) ?((?i:{units}))(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     x = F.regexp_replace(x, rf"\p{{N}}(?<![\p{{L}}\p{{N}}{INNER}].)[\p{{N}}{INNER}]*(?![\p{{L}}])", NUMBER + "$0")
@@ -141,29 +147,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = F.array_sort(F.array_distinct(F.flatten(
         F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1))
     )))
-    likely = (
+    in_turn = Window.partitionBy("doc_id", "item_id").orderBy("diagonal")
+    runs = (
         found.select("doc_id", "item_id", "diagonal", "n_tokens", covered.alias("cover"))
-        .withColumn("covered", F.size("cover")).where(F.col("covered") >= enough(F.col("n_tokens")))
+        .withColumn("apart", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(in_turn), F.lit(0)) > GAP).cast("int"))
+        .withColumn("run", F.sum("apart").over(in_turn))
+        .groupBy("doc_id", "item_id", "n_tokens", "run")
+        .agg(F.collect_list(F.struct(F.size("cover").alias("n"), (-F.col("diagonal")).alias("back"), "diagonal", "cover")).alias("parts"))
+        .withColumn("places", F.array_distinct(F.flatten("parts.cover"))).where(F.size("places") >= enough(F.col("n_tokens")))
     )
-    # Values of the slots, read only where a diagonal is long enough.
+
+    def cell(place: Column, diagonal: Column) -> Column:
+        return F.struct(place.alias("place"), (place + diagonal).alias("at"))
+
+    def longest(place: Column) -> Column:
+        return F.array_max(F.filter("parts", lambda x: F.array_contains(x["cover"], place)))["diagonal"]
+
+    one = F.transform(
+        F.filter("parts", lambda x: x["n"] >= enough(F.col("n_tokens"))), lambda x: F.transform(x["cover"], lambda p: cell(p, x["diagonal"]))
+    )
+    several = F.when(F.size("parts") > 1, F.array(F.transform("places", lambda p: cell(p, longest(p))))).otherwise(F.slice(one, 1, 0))
+    likely = runs.select("doc_id", "item_id", "n_tokens", F.explode(F.concat(one, several)).alias("cells")).withColumn("covered", F.size("cells"))
+    # Values of the slots, read only where enough is covered.
     items = benchmark.select("item_id", _marked(F.col("text")).alias("item"))
     both = likely.join(items, "item_id").join(docs, "doc_id").withColumn("marked", _marked(F.col("text"))).drop("text")
-    def pairs(cover: Column, item: Column, doc: Column) -> Column:
+    def pairs(cells: Column, item: Column, doc: Column) -> Column:
         return F.array_distinct(F.transform(
-            F.filter(cover, lambda p: F.get(item, p - 1).rlike(f"^[{NAME}-{UNIT}]")),
-            lambda p: F.struct(F.get(item, p - 1).alias("a"), F.get(doc, p + F.col("diagonal") - 1).alias("b")),
+            F.filter(cells, lambda c: F.get(item, c["place"] - 1).rlike(f"^[{NAME}-{UNIT}]")),
+            lambda c: F.struct(F.get(item, c["place"] - 1).alias("a"), F.get(doc, c["at"] - 1).alias("b")),
         ))
 
-    slots = _let(F.col("cover"), lambda c: _let(_tokens(F.col("item")), lambda i: _let(_tokens(F.col("marked")), lambda d: pairs(c, i, d))))
+    slots = _let(F.col("cells"), lambda c: _let(_tokens(F.col("item")), lambda i: _let(_tokens(F.col("marked")), lambda d: pairs(c, i, d))))
     checked = (
-        both.withColumn("slots", slots).drop("marked", "item", "cover")
-        .where(
-            (F.size(F.array_distinct(F.col("slots.a"))) == F.size("slots"))
-            & (F.size(F.array_distinct(F.col("slots.b"))) == F.size("slots"))
-        )
+        both.withColumn("slots", slots).drop("marked", "item", "cells")
+        .where(F.size(F.array_distinct(F.col("slots.a"))) == F.size("slots"))
         .withColumn("kind", F.when(F.forall("slots", lambda s: s.a.eqNullSafe(s.b)), "verbatim").otherwise("reparameterised"))
     )
-    # Of several diagonals of a pair the longest, a verbatim one first.
+    # Of several diagonals and runs of a pair the longest, a verbatim one first.
     best = F.max(F.struct("covered", "kind"))
     return checked.groupBy("doc_id", "item_id", "n_tokens").agg(best.alias("best")).select(
         "doc_id", "item_id", F.col("best.covered").alias("covered"), "n_tokens", F.col("best.kind").alias("kind")
