@@ -106,3 +106,17 @@ def test_questions_asked_again_with_other_values(spark, cases):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(AGAIN)], "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(docs, cases[1]).collect()}
     assert got == {(i, j): "reparameterised" for i, (_, js) in enumerate(AGAIN) for j in js}
+
+
+def test_items_of_numbers_and_names_are_found_verbatim(spark):
+    items = spark.createDataFrame([
+        (1, "What is 12 + 45 * 3 - 7?"), (2, "1931 1944 1958 1967 1972 1980 1991 2003 2015"), (3, "from Rome, Milan, Turin, Genoa, Bari, Parma, Siena, Lecce"),
+    ], "item_id bigint, text string")
+    docs = spark.createDataFrame([
+        (0, "He asked: what is 12 + 45 * 3 - 7? Nobody knew."), (1, "he asked: what is 13 + 46 * 4 - 8? Nobody knew."),
+        (2, "Years: 1931, 1944, 1958, 1967, 1972, 1980, 1991, 2003, 2015."), (3, "Years: 1932, 1945, 1959, 1968, 1973, 1981, 1992, 2004, 2016."),
+        (4, "we went from Rome, Milan, Turin, Genoa, Bari, Parma, Siena, Lecce to the sea"),
+        (5, "we went from Oslo, Bergen, Malmo, Turku, Riga, Narva, Kiel, Lund to the sea"),
+    ], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(0, 1, "verbatim"), (2, 2, "verbatim"), (4, 3, "verbatim")}

@@ -13,8 +13,9 @@ consistent: within it, equal values of the item always meet equal values of the
 document. So a question with other numbers or names is caught, and a text that
 merely has the same shape with unrelated values is not.
 
-Benchmark windows that are mostly placeholders say nothing and are left out.
-Items shorter than a window are compared whole. The benchmark's windows are
+Windows that are mostly placeholders say nothing as templates: on both sides their
+key is made of the tokens with their values, so number- or name-heavy items are
+found where they are copied verbatim. Items shorter than a window are compared whole. The benchmark's windows are
 broadcast if there are at most ``BROADCAST_WINDOWS`` of them, else joined by shuffle.
 
 Defined cases: null and empty texts have no tokens and no leaks; items without
@@ -80,44 +81,54 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _windows(tokens: Column, size: int) -> Column:
-    """Hash of every window; none if there are fewer tokens."""
+def _literal(token: Column) -> Column:
+    return (token < NAME) | (token >= INNER)
 
-    def hashes(h: Column) -> Column:
-        last = F.size(h) - size + 1
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, size))))
 
-    return _let(F.transform(tokens, lambda w: F.xxhash64(w)), hashes)
+def _key(size: int | Column, start: Column, templates: Column, values: Column, literal: Column) -> Column:
+    """Hash of a window's templates, or of its values if fewer than half of its tokens are literal."""
+    telling = 2 * F.size(F.array_remove(F.slice(literal, start, size), 0)) >= size
+    return F.when(telling, F.xxhash64(F.slice(templates, start, size))).otherwise(F.xxhash64(F.slice(values, start, size)))
+
+
+def _windows(marked: Column, size: int | Column) -> Column:
+    """Key of every window; none if there are fewer tokens."""
+
+    def keys(templates: Column, values: Column, literal: Column) -> Column:
+        last = F.size(values) - size + 1
+        return F.when(last >= 1, F.transform(
+            F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: _key(size, i, templates, values, literal)
+        ))
+
+    def hashes(tokens: Column) -> Column:
+        return F.transform(tokens, lambda w: F.xxhash64(w))
+
+    return _let(hashes(_tokens(_template(marked))), lambda t: _let(_tokens(marked), lambda m: _let(
+        hashes(m), lambda v: _let(F.transform(m, lambda w: _literal(w).cast("int")), lambda n: keys(t, v, n))
+    )))
 
 
 def _benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(size, key, item_id, item_place, n_tokens) of every telling window."""
+    """(size, key, item_id, item_place, n_tokens) of every window."""
     items = (
         benchmark.where(F.col("item_id").isNotNull())
         .select("item_id", _marked(F.col("text")).alias("marked"))
-        .select("item_id", _tokens(_template(F.col("marked"))).alias("tokens"))
-        .withColumn("n_tokens", F.size("tokens")).where("n_tokens > 0")
+        .withColumn("n_tokens", F.size(_tokens(F.col("marked")))).where("n_tokens > 0")
         .withColumn("size", F.least(F.col("n_tokens"), F.lit(WINDOW)))
     )
-    placed = items.select(
-        "item_id", "n_tokens", "size", "tokens",
-        F.explode(F.sequence(F.lit(1), F.col("n_tokens") - F.col("size") + 1)).alias("item_place"),
-    ).withColumn("own", F.slice("tokens", F.col("item_place"), F.col("size")))
-    literal = F.size(F.filter("own", lambda w: ~w.rlike(f"^[{NAME}-{UNIT}]")))
-    return (
-        placed.where(2 * literal >= F.col("size"))
-        .select("size", F.xxhash64(F.transform("own", lambda w: F.xxhash64(w))).alias("key"), "item_id", "item_place", "n_tokens")
-    )
+    return items.select(
+        "size", "item_id", "n_tokens", F.posexplode(_windows(F.col("marked"), F.col("size"))).alias("item_place", "key")
+    ).withColumn("item_place", F.col("item_place") + 1)
 
 
 def _matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, item_id, diagonal, ...) with the item places that meet there."""
     sizes = [r.size for r in windows.select("size").distinct().collect()]  # WINDOW values at most
     small = windows.count() <= BROADCAST_WINDOWS
-    tokens = docs.select("doc_id", _tokens(_template(_marked(F.col("text")))).alias("tokens"))
+    marked = docs.select("doc_id", _marked(F.col("text")).alias("marked"))
     found = None
     for size in sizes:
-        placed = tokens.select("doc_id", F.posexplode(_windows(F.col("tokens"), size)).alias("doc_place", "key"))
+        placed = marked.select("doc_id", F.posexplode(_windows(F.col("marked"), size)).alias("doc_place", "key"))
         own = windows.where(F.col("size") == size)
         met = placed.join(F.broadcast(own) if small else own, "key")
         found = met if found is None else found.unionByName(met)
