@@ -78,3 +78,10 @@ def test_whole_table_equals_a_plain_reading(spark, small):
         want[r.page_id] = "\n".join(b for b in (" ".join(entities.unescape(x).split()) for x in parts) if b)
     got = {r.page_id: r.text for r in queries.op2_html_extraction(spark, small).collect()}
     assert got == want
+
+
+def test_a_section_box_of_a_large_host_goes(spark):
+    """On 6 of 1,200 pages: 0.5 %."""
+    rows = [(i, f"http://big.example/{i}", f"<body>{'<div><b>Call us</b></div>' if i < 6 else ''}<div>story {i}</div></body>") for i in range(1200)]
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"story {i}" for i in range(1200)}

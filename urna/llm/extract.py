@@ -3,8 +3,7 @@
 A page is read into a flat list of elements in document order. Every element's
 subtree is hashed (tag, class and id, texts and subtrees inside). Spark counts, per
 host, on how many different pages a subtree occurs; what recurs on at least
-``LEAST`` pages and ``SHARE`` of the host's pages is its template and is deleted,
-along with elements that say by tag, role or class that they are menus, headers,
+``LEAST`` pages, however many the host has, is its template and is deleted, along with elements that say by tag, role or class that they are menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or reader comments.
 What is left of the article (else the main element, else the body) is the text.
 
@@ -37,8 +36,8 @@ from pyspark.sql import functions as F
 
 from urna.llm.common import stage
 
-#: A template is on at least so many pages of a host, and on so large a share of them.
-LEAST, SHARE = 5, 0.01
+#: A template is on at least so many different pages of a host.
+LEAST = 5
 BROADCAST_TEMPLATES = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -250,7 +249,7 @@ def _signed(values) -> np.ndarray:
     return np.array(list(values), dtype=np.uint64).view(np.int64)
 
 
-def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def templates(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(host, key) of every template, as a written table; ``pages`` has host and html."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,29 +260,25 @@ def templates(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> Dat
                     continue
                 page = Page(source)
                 whole = next((h for h, t in zip(page.hashes, page.tags, strict=True) if t in ("article", "main", "body")), page.hashes[0])
-                # A page is one row of its own (key null): the host's number of pages.
-                found.add((host, None, whole))
                 found |= {(host, _host_key(host, h), whole) for h in page.countable()}
             rows = list(found)
             yield pd.DataFrame(
                 {
-                    "host": [r[0] for r in rows], "key": pd.array([None if r[1] is None else r[1] - (r[1] >> 63 << 64) for r in rows], dtype="Int64"),
+                    "host": [r[0] for r in rows], "key": _signed(r[1] for r in rows),
                     "page": _signed(r[2] for r in rows),
                 }
             )
 
     seen = pages.select("host", "html").mapInPandas(run, "host string, key bigint, page bigint")
-    counted = stage(seen.distinct().groupBy("host", "key").agg(F.count("*").alias("n")))
-    hosts = counted.where(F.col("key").isNull()).select("host", F.col("n").alias("pages"))
-    many = counted.where(F.col("key").isNotNull() & (F.col("n") >= least))
-    return stage(many.join(hosts, "host").where(F.col("n") >= F.col("pages") * share).select("host", "key"))
+    counted = seen.distinct().groupBy("host", "key").agg(F.count("*").alias("n"))
+    return stage(counted.where(F.col("n") >= least).select("host", "key"))
 
 
-def extract(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     read = pages.select("page_id", "url", "html", host.alias("host"))
-    found = templates(read, least, share)
+    found = templates(read, least)
     small = found.count() <= BROADCAST_TEMPLATES
     if small:
         keys = np.sort(found.select("key").toPandas()["key"].to_numpy(np.int64))
