@@ -52,7 +52,20 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.stage_path = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove stages whose last reader has been written itself; others are left alone."""
+    for df in staged:
+        path = getattr(df, "stage_path", None)
+        if path is not None:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            df.stage_path = None
 
 
 def ship(spark: SparkSession) -> None:
