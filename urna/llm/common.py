@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urna.session import shared_folder, ship, stage
+from urna.session import discard, shared_folder, ship, stage
 
 __all__ = [
-    "as_bytes", "components", "crc_mod", "file_system", "mix", "new_folder", "only", "read", "ship", "split_words", "stage", "words",
+    "as_bytes", "components", "crc_mod", "discard", "file_system", "mix", "new_folder", "only", "read", "ship", "split_words", "stage", "words",
 ]
 
 
