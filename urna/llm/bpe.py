@@ -23,12 +23,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from urna.llm.common import ship
 
 #: Upper byte lengths of the matrix buckets.
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 LONGEST = BUCKETS[-1]
-#: Rows of one matrix, runs remembered by one task, characters encoded together: bounds of memory, not of the work.
-MATRIX_ROWS, REMEMBERED, BLOCK_CHARS = 1 << 14, 1 << 17, 1 << 22
+#: Rows of one matrix, bytes that a worker remembers, characters encoded together: bounds of memory, not of the work.
+MATRIX_ROWS, REMEMBERED, BLOCK_CHARS = 1 << 14, 1 << 26, 1 << 22
 
 NONE = np.int32(2**31 - 1)
 
@@ -180,15 +183,17 @@ class TextCoder:
         self.vocabulary, self.pattern = Vocabulary(ranks), regex.compile(pattern)
         self.odd_space = regex.compile(r"\s ")
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.held = 0
 
     def _runs(self, text: str) -> list[str]:
         """Parts of a text whose matches are those of the text.
 
         A single space before anything else opens a match, so a text whose spaces all
-        follow a non-space can be cut there; other texts are one part.
+        follow a non-space can be cut there; other texts are cut into their matches,
+        each of which is one match by itself as well.
         """
         if self.odd_space.search(text) or text.endswith(" "):
-            return [text]
+            return self.pattern.findall(text)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
@@ -205,7 +210,9 @@ class TextCoder:
         decode = self.vocabulary.decode
         for run, parts in zip(new, cut, strict=True):
             own = [i for p in parts for i in ids[p].tolist()]
-            self.known[run] = (",".join(map(str, own)), len(own), decode(own))
+            self.known[run] = made = (",".join(map(str, own)), len(own), decode(own))
+            # Four bytes a character at most, and what the objects themselves take.
+            self.held += 4 * len(run) + len(made[0]) + len(made[2]) + 300
 
     def encode(self, texts: Iterable[str]) -> Iterator[list[tuple[str, int, bytes]]]:
         """For each text its runs' ids (as text), number of ids, and decoded bytes."""
@@ -219,19 +226,35 @@ class TextCoder:
         yield from self._flush(block)
 
     def _flush(self, block):
-        if len(self.known) > REMEMBERED:
-            self.known = {}
+        if self.held > REMEMBERED:
+            self.known, self.held = {}, 0
         self.learn({r for runs in block for r in runs})
         known = self.known
         for runs in block:
             yield [known[r] for r in runs]
 
 
-def _batches(ranks: bytes, pattern: str, id_column: str, with_ids: bool):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = TextCoder(ranks, pattern)
-        for frame in frames:
-            texts = (t if isinstance(t, str) else "" for t in frame["text"])
+#: The coder a worker process uses, and of what it was made: building one takes half a second.
+_HELD: dict[tuple[bytes, str], TextCoder] = {}
+
+
+def coder_of(ranks: bytes, pattern: str) -> TextCoder:
+    key = (hashlib.sha256(ranks).digest(), pattern)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = TextCoder(ranks, pattern)
+    return _HELD[key]
+
+
+def _coded(ranks: bytes, pattern: str, with_ids: bool):
+    """A function of texts, as a column; ids of rows stay in Spark, as pandas would make floats of them beside a null."""
+    kind = "token_ids array<int>, decoded binary" if with_ids else "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+
+    @F.pandas_udf(kind)
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        coder = coder_of(ranks, pattern)
+        for column in columns:
+            texts = (t if isinstance(t, str) else "" for t in column)
             rows = []
             for parts in coder.encode(texts):
                 joined = ",".join([p[0] for p in parts])
@@ -242,9 +265,7 @@ def _batches(ranks: bytes, pattern: str, id_column: str, with_ids: bool):
                 else:
                     rows.append((count, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             names = ["token_ids", "decoded"] if with_ids else ["n_tokens", "ids_sha256", "decoded_sha256"]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, id_column, frame[id_column].values)
-            yield out
+            yield pd.DataFrame(rows, columns=names)
 
     return run
 
@@ -260,28 +281,27 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_column: str = "doc
     ``vocabulary`` is the path of a rank file on the driver; its content, a fixed
     size, travels with the tasks.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
-    run = _batches(_vocabulary_bytes(vocabulary), pattern, id_column, True)
-    return docs.select(id_column, "text").mapInPandas(run, f"{id_column} {kind}, token_ids array<int>, decoded binary")
+    ship(docs.sparkSession)
+    run = _coded(_vocabulary_bytes(vocabulary), pattern, True)
+    return docs.select(id_column, run("text").alias("coded")).select(id_column, "coded.*")
 
 
 def digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """``encode`` with ids and decoded bytes as digests: nothing large leaves the tasks."""
-    run = _batches(_vocabulary_bytes(vocabulary), pattern, "doc_id", False)
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
+    ship(docs.sparkSession)
+    run = _coded(_vocabulary_bytes(vocabulary), pattern, False)
+    return docs.select("doc_id", run("text").alias("coded")).select("doc_id", "coded.*")
 
 
 def decode(tokens: DataFrame, vocabulary: str, id_column: str = "doc_id") -> DataFrame:
     """Bytes of every sequence of ids in ``token_ids``; null decodes to no bytes."""
+    ship(tokens.sparkSession)
     ranks = _vocabulary_bytes(vocabulary)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = Vocabulary(ranks)
-        for frame in frames:
-            own = [known.decode(x if x is not None else ()) for x in frame["token_ids"]]
-            yield pd.DataFrame({id_column: frame[id_column].values, "decoded": pd.Series(own, dtype=object)})
+        for column in columns:
+            yield pd.Series([known.decode(x if x is not None else ()) for x in column], dtype=object)
 
-    kind = tokens.schema[id_column].dataType.simpleString()
-    return tokens.select(id_column, "token_ids").mapInPandas(run, f"{id_column} {kind}, decoded binary")
+    return tokens.select(id_column, run("token_ids").alias("decoded"))

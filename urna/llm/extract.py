@@ -262,6 +262,8 @@ def templates(pages: DataFrame, least: int = LEAST) -> DataFrame:
                 whole = next((h for h, t in zip(page.hashes, page.tags, strict=True) if t in ("article", "main", "body")), page.hashes[0])
                 found |= {(host, _host_key(host, h), whole) for h in page.countable()}
             rows = list(found)
+            if not rows:  # nothing but null, empty or plain pages
+                continue
             yield pd.DataFrame(
                 {
                     "host": [r[0] for r in rows], "key": _signed(r[1] for r in rows),
@@ -288,11 +290,12 @@ def extract(pages: DataFrame, least: int = LEAST) -> DataFrame:
         shared = None
         ready = read.join(found.groupBy("host").agg(F.collect_list("key").alias("templates")), "host", "left")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def main_text(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         known = set(shared.value.tolist()) if shared is not None else None
-        for frame in frames:
+        for hosts, sources, templates_ in columns:
             texts = []
-            for host_, source, own in zip(frame["host"], frame["html"], frame["templates"], strict=True):
+            for host_, source, own in zip(hosts, sources, templates_, strict=True):
                 if not isinstance(source, str) or not source:
                     texts.append("")
                     continue
@@ -304,7 +307,8 @@ def extract(pages: DataFrame, least: int = LEAST) -> DataFrame:
                     if key - (key >> 63 << 64) in keys_:
                         hit.add(h)
                 texts.append(page.text(hit))
-            yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.Series(texts, dtype=object)
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return ready.select("page_id", "url", "host", "html", "templates").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    # Ids and urls stay in Spark: beside a null, pandas would make floats of ids.
+    done = ready.select("page_id", "url", main_text("host", "html", "templates").alias("text"))
+    return done.withColumn("n_chars", F.char_length("text").cast("bigint"))

@@ -40,6 +40,8 @@ SPLIT = 16 << 20
 MAGIC = b"\x1f\x8b\x08"
 #: Bytes of a member that are inflated to judge it, at first.
 PROBE = 4096
+#: Tasks that read ranges, at most; each takes its share of them.
+READERS = 20_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -169,7 +171,9 @@ def read(archives: DataFrame, split: int = SPLIT, payloads: bool = True) -> Data
     ranges = archives.select(
         "path", "length",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("bigint"))).alias("start"),
-    ).repartition(F.col("path"), F.col("start"))
+    )
+    # A number, or adaptive execution would put these few small rows into one task.
+    ranges = ranges.repartition(max(1, min(READERS, ranges.count())), "path", "start")
     number = re.compile(r"<urn:page:(-?\d*)>")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
