@@ -20,20 +20,12 @@ SET = ("place", "category", "election_date")
 _TOTALS = ("total", "coalition_total")
 
 
-def page_sets(pages: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def page_sets(pages: DataFrame) -> DataFrame:
     """Assign municipality pages to sets by geography key and date.
 
-    With ``edges`` (category, election_date, child_url) only elections whose
-    traversal is complete count: every edge must have led to a page.
+    Which elections' pages may be used is up to ``traversal.complete_leaves``.
     """
     leaves = pages.where(canonical_municipality(F.col("municipality")).isNotNull())
-    if edges is not None:
-        unread = (
-            edges.join(pages.select(F.col("url").alias("child_url")), "child_url", "left_anti")
-            .select("category", "election_date")
-            .distinct()
-        )
-        leaves = leaves.join(unread, ["category", "election_date"], "left_anti")
     return leaves.withColumn(
         "place",
         geography_key(

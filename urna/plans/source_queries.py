@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from urna.functions.numbers import as_int
 from urna.functions.text import canonical_municipality
 from urna.functions.urls import query_code, url_policy
+from urna.operators import traversal, verify
 from urna.plans.election_view import archives, election_rows, facts, sql_facts, table
 from urna.plans.encodings import archive_files, dotted
 from urna.plans.shape import plain
@@ -78,83 +79,104 @@ def _code():
         F.when(F.col("category") == "camera", "C")
         .when(F.col("category") == "senato", "S")
         .when(F.col("category") == "europee", "E")
+        .when(F.col("category") == "referendum", "F")
         .otherwise("G")
     )
 
 
-def rendered_pages(rows: DataFrame) -> DataFrame:
-    """(url, html) of one result page per region, province and municipality."""
-    canonical = canonical_municipality(F.col("municipality"))
-    named = rows.where(
-        (F.col("category") != "referendum") & F.col("region").isNotNull()
-        & F.col("province").isNotNull() & canonical.isNotNull() & (F.col("result_type") == "list")
-    ).withColumn("city", canonical)
-    keys = ["category", "election_date", "region", "province", "city"]
-    votes = named.groupBy(*keys, "subject").agg(
+def _printed(label: str, column: str):
+    """A level of the heading, nothing where the view has none."""
+    return F.coalesce(F.concat(F.lit(f" <i></i> {label} "), F.col(column)), F.lit(""))
+
+
+_PAGE = ["category", "election_date", "region", "province", "city"]
+
+
+def _query_value(column: str):
+    return F.replace(F.coalesce(F.col(column), F.lit("")), F.lit(" "), F.lit("+"))
+
+
+def page_bodies(rows: DataFrame, *keys: str) -> DataFrame:
+    """One result page per value of ``keys``: (keys..., html); lists, candidates and options of every round."""
+    kind = F.when(F.col("category") == "referendum", "option").otherwise(F.col("result_type")).alias("kind")
+    page = F.struct(*keys).alias("page")
+    votes = rows.groupBy(page, kind, "subject").agg(
         F.sum(F.when(F.col("round").isNull() | (F.col("round") == 1), F.col("votes"))).alias("first"),
         F.sum(F.when(F.col("round") == 2, F.col("votes"))).alias("second"),
     )
-    runoff = F.col("category") == "comunali"
+    runoff = F.col("page.category") == "comunali"
+    number = F.regexp_extract("subject", r"(\d+)$", 1)
+    own = F.when(F.col("kind") == "candidate", F.concat(F.lit("candidato"), number)).otherwise("lista")
+
+    def cell(header: str, value):
+        return F.coalesce(F.concat(F.lit(f'<td headers="{header} '), own, F.lit('">'), dotted(value), F.lit("</td>")), F.lit(""))
+
+    head = (
+        F.when(F.col("kind") == "candidate", F.concat(
+            F.lit('<tr class="leader"><td class="nome" id="'), own, F.lit('">'), F.col("subject"), F.lit('</td><td class="text-left">Eletto</td>')))
+        .when(F.col("kind") == "option", F.concat(F.lit("<tr><th>"), F.col("subject"), F.lit("</th>")))
+        .otherwise(F.concat(
+            F.lit('<tr><td><img src="/simboli/'), F.col("subject"), F.lit('.png"></td><th class="candidato" id="lista">'),
+            F.col("subject"), F.lit("</th>")))
+    )
     line = F.concat(
-        F.lit('<tr><td><img src="/simboli/'), F.col("subject"), F.lit('.png"></td><th class="candidato" id="lista">'),
-        F.col("subject"), F.lit("</th>"),
-        F.coalesce(F.concat(F.lit('<td headers="hvoti lista">'), dotted(F.col("first")), F.lit("</td>")), F.lit("")),
-        F.coalesce(
-            F.when(runoff, F.concat(F.lit('<td headers="hvoti2 lista">'), dotted(F.col("second")), F.lit("</td>"))),
-            F.lit(""),
-        ),
-        F.lit("</tr>\n"),
+        head, cell("hvoti", F.col("first")),
+        F.when(runoff, cell("hvoti2", F.col("second"))).otherwise(""), F.lit("</tr>\n"),
     )
     # One line per subject of a page.
-    bodies = votes.groupBy(*keys).agg(
-        F.array_join(F.sort_array(F.collect_list(line)), "").alias("body"),
-        F.max(runoff).alias("runoff"),
-    )
-    measures = named.groupBy(*keys).agg(
-        F.max("electors").alias("electors"), F.max("voters").alias("voters")
-    )
+    bodies = votes.groupBy("page").agg(F.array_join(F.sort_array(F.collect_list(line)), "").alias("body"))
+    measures = rows.groupBy(page).agg(F.max("electors").alias("electors"), F.max("voters").alias("voters"))
+    levels = [(label, key) for label, key in (("Regione", "region"), ("Provincia", "province"), ("Comune", "city")) if key in keys]
     html = F.concat(
         F.lit('<html><body><div id="headEnti"><h3>'), F.initcap("category"), F.lit(" "),
-        F.date_format("election_date", "dd/MM/yyyy"),
-        F.lit(" <i></i> Area ITALIA <i></i> Regione "), F.col("region"),
-        F.lit(" <i></i> Provincia "), F.col("province"), F.lit(" <i></i> Comune "), F.col("city"),
+        F.date_format("election_date", "dd/MM/yyyy"), F.lit(" <i></i> Area ITALIA"),
+        *[_printed(label, key) for label, key in levels],
         F.lit('</h3></div><table class="dati_riepilogo"><tr><th>Affluenza</th></tr>'),
         F.coalesce(F.concat(F.lit("<tr><th>Elettori</th><td>"), dotted(F.col("electors")), F.lit("</td></tr>")), F.lit("")),
         F.lit("<tr><th>Votanti</th><td>"), dotted(F.col("voters")),
         F.lit('</td><td class="percentuale">75,15 %</td></tr></table>'),
         F.lit('<table summary="Risultati elezione"><thead><tr><th id="hvoti">Voti</th>'),
-        F.when(F.col("runoff"), F.lit('<th id="hvoti2">Voti II</th>')).otherwise(""),
+        F.when(runoff, F.lit('<th id="hvoti2">Voti II</th>')).otherwise(""),
         F.lit("</tr></thead><tbody>\n"), F.col("body"), F.lit("</tbody></table></body></html>"),
     )
+    # A struct as key: pages without region, province or city are pages as well.
+    both = bodies.join(measures, "page").select("page", "body", "electors", "voters", "page.*")
+    return both.select(*keys, html.alias("html"))
+
+
+def rendered_pages(rows: DataFrame) -> DataFrame:
+    """(url, html) of one result page per region, province and municipality, all rows of the view."""
+    named = rows.withColumn("city", canonical_municipality(F.col("municipality")))
     url = F.concat(
         F.lit(f"{_SITE}?tpel="), _code(), F.lit("&dtel="), F.date_format("election_date", "yyyyMMdd"),
-        F.lit("&lev1="), F.col("region"), F.lit("&lev2="), F.col("province"), F.lit("&lev3="), F.col("city"),
+        F.lit("&lev1="), _query_value("region"), F.lit("&lev2="), _query_value("province"), F.lit("&lev3="), _query_value("city"),
     )
-    return bodies.join(measures, keys).select(url.alias("url"), html.alias("html"))
+    return page_bodies(named, *_PAGE).select(url.alias("url"), "html")
 
 
 @query(sql_facts() + """
-, n AS (SELECT * FROM f WHERE category<>'referendum' AND region IS NOT NULL AND province IS NOT NULL
-        AND canonical IS NOT NULL AND result_type='list'),
-m AS (SELECT category, election_date, region, province, canonical, max(electors) AS electors, max(voters) AS voters FROM n GROUP BY ALL),
-v AS (SELECT category, election_date, region, province, canonical, subject,
-      sum(votes) FILTER (round IS NULL OR round=1)::BIGINT AS v1, sum(votes) FILTER (round=2)::BIGINT AS v2 FROM n GROUP BY ALL),
-o AS (SELECT *, max(v2 IS NOT NULL) OVER (PARTITION BY category, election_date, region, province, canonical) AS any2 FROM v)
-SELECT category, CAST(election_date AS VARCHAR) AS election_date, region, province, canonical AS municipality,
-       electors, voters, 'list' AS record_type, subject AS name, r.rd AS round, r.v AS votes,
-       concat('https://elezionistorico.interno.gov.it/simboli/', split_part(subject,'#',1)) AS symbol
-FROM (SELECT o.*, m.electors, m.voters, unnest(CASE WHEN category='comunali' THEN
+, n AS (SELECT *, CASE WHEN category='referendum' THEN 'option' ELSE result_type END AS kind,
+        concat_ws('|', category, CAST(election_date AS VARCHAR), coalesce(region,'~'), coalesce(province,'~'), coalesce(canonical,'~')) AS page FROM f),
+m AS (SELECT page, max(electors) AS electors, max(voters) AS voters FROM n GROUP BY page),
+v AS (SELECT page, category, election_date, region, province, canonical, kind, subject,
+      sum(votes) FILTER (round IS NULL OR round=1)::BIGINT AS v1, sum(votes) FILTER (round=2)::BIGINT AS v2 FROM n GROUP BY ALL)
+SELECT CASE WHEN category<>'referendum' THEN category END AS category, concat(upper(category[1]), category[2:]) AS election_name,
+       CAST(election_date AS VARCHAR) AS election_date, region, province, canonical AS municipality,
+       electors, voters, kind AS record_type, CASE kind WHEN 'candidate' THEN concat('candidato', regexp_extract(subject,'([0-9]+)$',1)) WHEN 'list' THEN 'lista' END AS record_id,
+       CASE kind WHEN 'candidate' THEN 'Eletto' END AS status, subject AS name, r.rd AS round, r.v AS votes,
+       CASE kind WHEN 'list' THEN concat('https://elezionistorico.interno.gov.it/simboli/', split_part(subject,'#',1)) END AS symbol
+FROM (SELECT v.*, m.electors, m.voters, unnest(CASE WHEN category='comunali' THEN
         CASE WHEN v2 IS NOT NULL THEN [{'rd':1,'v':v1},{'rd':2,'v':v2}] ELSE [{'rd':1,'v':v1}] END
         ELSE [{'rd':NULL,'v':v1}] END) AS r
-      FROM o JOIN m USING (category, election_date, region, province, canonical))""")
+      FROM v JOIN m USING (page))""")
 def page_extract(spark, sf_dir):
     parsed = pages.read_pages(rendered_pages(facts(spark, sf_dir)))
+    places = ["category", "election_date", "region", "province", "municipality", "electors", "voters"]
     read = pages.municipality_pages(parsed)
     return plain(
-        read.select("category", "election_date", "region", "province", "municipality", "electors", "voters", F.explode("records").alias("r"))
+        read.select(*places, "election_name", F.explode("records").alias("r"))
         .select(
-            "category", "election_date", "region", "province", "municipality", "electors", "voters",
-            "r.record_type", "r.name", "r.round", "r.votes",
+            *places, "election_name", "r.record_type", "r.record_id", "r.status", "r.name", "r.round", "r.votes",
             F.substring_index("r.symbol_url", "#", 1).alias("symbol"),
         )
     )
@@ -178,13 +200,11 @@ def page_rejects(spark, sf_dir):
 
 def selector_pages(rows: DataFrame) -> DataFrame:
     """(url, html) of one selector page per election and region, options per municipality."""
-    named = rows.where(
-        (F.col("category") != "referendum") & F.col("region").isNotNull() & F.col("municipality_key").isNotNull()
-    )
-    options = named.groupBy("category", "election_date", "region", "municipality_key").agg(
+    options = rows.groupBy("category", "election_date", "region", "municipality_key").agg(
         F.count(F.lit(1)).alias("n")
     )
     code = F.crc32(F.col("municipality_key").cast("binary")).cast("string")
+    # A row without municipality opens nothing.
     option = F.concat(
         F.lit('<option value="'), code, F.lit("-lev3"), code, F.lit('">'), F.col("municipality_key"), F.lit("</option>")
     )
@@ -196,7 +216,7 @@ def selector_pages(rows: DataFrame) -> DataFrame:
         "category", "election_date",
         F.concat(
             F.lit(f"{_SITE}?tpel="), _code(), F.lit("&dtel="), F.date_format("election_date", "yyyyMMdd"),
-            F.lit("&tpe=A&lev0=0&lev2="), F.regexp_replace("region", " ", "+"),
+            F.lit("&tpe=A&lev0=0&lev2="), _query_value("region"),
         ).alias("url"),
         F.concat(
             F.lit('<div id="headEnti"><h3>'), F.initcap("category"), F.lit(" "),
@@ -211,10 +231,9 @@ def selector_pages(rows: DataFrame) -> DataFrame:
 
 
 @query(sql_facts() + """
-SELECT category, CAST(election_date AS VARCHAR) AS election_date, region, count(*) AS children,
+SELECT category, CAST(election_date AS VARCHAR) AS election_date, region, count(DISTINCT mkey) AS children,
        3 AS level, 'P' AS page_type
-FROM (SELECT DISTINCT category, election_date, region, mkey FROM f
-      WHERE category<>'referendum' AND region IS NOT NULL AND mkey IS NOT NULL) GROUP BY ALL""")
+FROM f GROUP BY category, election_date, region HAVING count(DISTINCT mkey) > 0""")
 def page_edges(spark, sf_dir):
     asked = selector_pages(facts(spark, sf_dir))
     edges = pages.page_edges(pages.read_pages(asked))
@@ -233,8 +252,7 @@ def page_edges(spark, sf_dir):
 @query(sql_facts() + """
 SELECT category, CAST(election_date AS VARCHAR) AS election_date,
        CASE WHEN year(election_date)%4=0 THEN 'unavailable' ELSE 'available' END AS availability, count(*) AS pages
-FROM (SELECT DISTINCT category, election_date, region FROM f
-      WHERE category<>'referendum' AND region IS NOT NULL AND mkey IS NOT NULL) GROUP BY ALL""")
+FROM (SELECT DISTINCT category, election_date, region FROM f) GROUP BY ALL""")
 def page_headings(spark, sf_dir):
     asked = selector_pages(facts(spark, sf_dir))
     checked = pages.rendered_election(
@@ -245,6 +263,124 @@ def page_headings(spark, sf_dir):
     )
 
 
+# Traversal -------------------------------------------------------------------------
+
+
+def _site_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(url, html) of a site of three levels, and the first pages of its elections.
+
+    An election opens regions, a region municipalities. Pages are missing at both
+    depths: every fifth year the region pages of one region, and in odd years the
+    municipality pages of some names; every sixth year the site renders another date.
+    """
+    named = rows.withColumn("city", canonical_municipality(F.col("municipality")))
+    year = F.year("election_date")
+    code = lambda c: F.crc32(F.coalesce(F.col(c), F.lit("-")).cast("binary")).cast("string")
+    election = F.concat(F.lit(f"{_SITE}?tpel="), _code(), F.lit("&dtel="), F.date_format("election_date", "yyyyMMdd"))
+    root = F.concat(election, F.lit("&tpe=A&lev0=0"))
+
+    def opened(level: int, number):
+        return F.concat(F.lit(f"&lev{level}="), number, F.lit(f"&levsut{level}={level}&ne{level}=1&es{level}=S"))
+
+    region_url = F.concat(election, F.lit("&tpe=R&lev0=0"), opened(1, code("region")))
+    city_url = F.concat(election, F.lit("&tpe=C&lev0=0"), opened(1, code("region")), opened(2, code("city")))
+    heading = F.concat(
+        F.lit('<div id="headEnti"><h3>'), F.initcap("category"), F.lit(" "),
+        F.when(year % 6 == 0, "31/12/1999").otherwise(F.date_format("election_date", "dd/MM/yyyy")), F.lit(" | Area ITALIA</h3></div>"),
+    )
+
+    def selector(level: int, prompt: str, inner: str):
+        option = F.concat(F.lit(f'<option value="1-lev{level}'), code(inner), F.lit('">'), F.coalesce(inner, F.lit("-")), F.lit("</option>"))
+        listed = F.array_join(F.sort_array(F.collect_set(option)), "")
+        return F.concat(F.lit(f'<select name="sel_sezione{level}"><option value="0">{prompt}</option>'), listed, F.lit("</select>"))
+
+    first = named.groupBy("category", "election_date").agg(selector(1, "Scegli Regione", "region").alias("inside")).select(
+        "category", "election_date", root.alias("url"), F.concat(heading, "inside").alias("html")
+    )
+    regions = named.where("city IS NOT NULL").groupBy("category", "election_date", "region").agg(
+        selector(2, "Scegli Comune", "city").alias("inside")
+    ).where(~((year % 5 == 0) & F.coalesce(F.col("region") == "ASIA", F.lit(False)))).select(
+        region_url.alias("url"), F.concat(heading, "inside").alias("html")
+    )
+    leaves = page_bodies(named.where("city IS NOT NULL"), "category", "election_date", "region", "city").where(
+        ~((year % 2 == 1) & ((F.length(F.coalesce("region", F.lit("-"))) + F.length("city")) % 5 == 2))
+    ).select(city_url.alias("url"), "html")
+    site = stage(first.select("url", "html").unionByName(regions).unionByName(leaves))
+    return site, first.select("url", "category", "election_date")
+
+
+def _traversed(spark, sf_dir):
+    site, roots = _site_tree(facts(spark, sf_dir))
+    parsed = stage(pages.read_pages(site))
+    read = pages.municipality_pages(parsed)
+    # Selector pages have no results and so no municipality: they are pages all the same.
+    known = parsed.select("url", F.col("comune").alias("municipality"))
+    found = traversal.traverse(known, pages.page_edges(parsed), roots)
+    checked = pages.rendered_election(parsed, roots)
+    elections = stage(traversal.election_completeness(found, checked))
+    return found, elections, read
+
+
+#: The site in SQL: regions and municipality pages of every election, and which of them are there.
+_SITE_SQL = """
+, ct AS (SELECT category, election_date, region, canonical AS city, max(electors) AS electors, max(voters) AS voters
+         FROM f WHERE canonical IS NOT NULL GROUP BY ALL),
+ro AS (SELECT category, election_date, region, year(election_date) AS y, count(canonical) > 0
+              AND NOT (year(election_date)%5=0 AND coalesce(region,'-')='ASIA') AS there FROM f
+        GROUP BY category, election_date, region),
+lf AS (SELECT ct.*, NOT (ro.y%2=1 AND (length(coalesce(ct.region,'-')) + length(city))%5=2) AS there
+       FROM ct JOIN ro ON ct.category=ro.category AND ct.election_date=ro.election_date
+        AND ct.region IS NOT DISTINCT FROM ro.region AND ro.there),
+rg AS (SELECT category, election_date, count(*) AS n, count(*) FILTER (NOT there) AS gone FROM ro GROUP BY ALL),
+ci AS (SELECT category, election_date, count(*) AS n, count(*) FILTER (NOT there) AS gone FROM lf GROUP BY ALL),
+el AS (SELECT rg.category, rg.election_date, year(rg.election_date)%6<>0 AS available, rg.n AS regions, rg.gone AS no_region,
+              coalesce(ci.n,0) AS cities, coalesce(ci.gone,0) AS no_city
+       FROM rg LEFT JOIN ci ON ci.category=rg.category AND ci.election_date=rg.election_date)
+"""
+
+
+@query(sql_facts() + _SITE_SQL + """
+SELECT category, CAST(election_date AS VARCHAR) AS election_date, CAST(available AS VARCHAR) AS available,
+       CASE WHEN available THEN 1+regions+cities ELSE 0 END AS pages,
+       CASE WHEN available THEN cities-no_city ELSE 0 END AS municipality_pages,
+       CASE WHEN available THEN no_region+no_city ELSE 0 END AS unread,
+       CASE WHEN available THEN CASE WHEN cities>0 THEN 2 ELSE 1 END END AS depth,
+       CAST(NOT available OR no_region+no_city=0 AS VARCHAR) AS complete FROM el""")
+def tree_completeness(spark, sf_dir):
+    """Every election's traversal: what was reached, what is missing at any depth, whether it is complete."""
+    _, elections, _ = _traversed(spark, sf_dir)
+    return plain(elections.drop("root_url"))
+
+
+@query(sql_facts() + _SITE_SQL + """
+SELECT category, CAST(election_date AS VARCHAR) AS election_date, depth, pages, read, unread FROM (
+  SELECT category, election_date, 0 AS depth, 1 AS pages, 1 AS read, no_region+no_city AS unread FROM el
+  UNION ALL SELECT category, election_date, 1, regions, regions-no_region, no_region+no_city FROM el
+  UNION ALL SELECT category, election_date, 2, cities, cities-no_city, no_city FROM el WHERE cities>0)""")
+def tree_levels(spark, sf_dir):
+    """Pages of every level of every tree, and how many are missing at or below them."""
+    found, elections, _ = _traversed(spark, sf_dir)
+    counted = found.groupBy("root_url", "depth").agg(
+        F.count(F.lit(1)).alias("pages"), F.sum(F.col("read").cast("bigint")).alias("read"), F.sum("unread").alias("unread")
+    )
+    return plain(counted.join(elections.select("root_url", "category", "election_date"), "root_url").drop("root_url"))
+
+
+@query(sql_facts() + _SITE_SQL + """
+SELECT category, CAST(election_date AS VARCHAR) AS election_date, region, city AS municipality, 1 AS pages,
+       electors AS official_electors, voters AS official_voters
+FROM lf JOIN el USING (category, election_date)
+WHERE available AND no_region+no_city=0""")
+def tree_page_sets(spark, sf_dir):
+    """Page sets of the elections whose traversal is complete."""
+    found, elections, read = _traversed(spark, sf_dir)
+    sets = verify.page_sets(traversal.complete_leaves(read, found, elections))
+    summaries = verify.set_summaries(sets)
+    return plain(summaries.select(
+        "category", "election_date", "region", "municipality", "pages", "official_electors", "official_voters"
+    ))
+
+
 # Catalogue and URLs ----------------------------------------------------------------
 
 
