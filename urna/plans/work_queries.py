@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urna import fixed_values as fv
-from urna.operators import colleges, coverage, facts as reads, layers, queue, upsert
+from urna.operators import colleges, coverage, facts as reads, layers, queue, registry_build, upsert
 from urna.plans.audit_queries import TOTALS_SQL, UNITS_SQL, place_layers, stored_verifications
 from urna.plans.election_view import archives, facts, sql_facts, stored_facts, table
 from urna.plans.shape import plain
@@ -383,6 +383,124 @@ def entry_classify(spark, sf_dir):
     return colleges.line_entries(lines, "college").drop("raw")
 
 
+def _decree(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Decree lines of every kind from all parts, and the names open data would hold."""
+    part = table(spark, sf_dir, "part")
+    key, kind = F.col("p_partkey"), F.col("p_partkey") % 11
+    plain_name = F.upper(F.concat(F.replace("p_name", F.lit(" ")), F.col("p_type")))
+    name = (
+        F.when((key % 13 == 0) & F.col("p_type").isin("LARGE", "ECONOMY"), "ROMA")
+        .when((key % 13 == 1) & F.col("p_type").isin("MEDIUM", "LARGE"), "BOLOGNA")
+        .when((key % 13 == 2) & (F.col("p_type") == "SMALL"), "PADOVA")
+        .when((key % 13 == 2) & (F.col("p_type") == "PROMO"), "PRATO")
+        .otherwise(plain_name)
+    )
+    named = part.withColumn("n", name).withColumn("zone", F.concat(F.lit("ZONA "), F.char((F.col("p_size") % 8 + 65).cast("bigint"))))
+    typo = F.concat(F.substring("n", 1, 2), F.col("n").substr(F.lit(4), F.length("n")))
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    line = (
+        F.when(kind == 0, say("( RM-", F.col("zone"), " )"))
+        .when(kind == 1, say(F.col("n"), "-", F.replace("zone", F.lit(" "), F.lit("."))))
+        .when(kind == 2, F.col("n"))
+        .when(kind == 3, typo)
+        .when(kind == 4, say("( ", F.col("zone"), " )"))
+        .when(kind == 5, say("PO-", F.col("zone")))
+        .when(kind == 6, say("Comprende parte del territorio del comune di ", F.col("n"), ", delimitata"))
+        .when(kind == 7, say(typo, "-", F.replace("zone", F.lit(" "), F.lit("."))))
+        .when(kind == 8, say("Comprende i seguenti comuni: ", F.lower("n"), " e ", F.lower(plain_name), "."))
+        .when(kind == 9, say("Comprende il comune di ", typo, ", intero"))
+        .otherwise(say("B0-", F.col("zone")))
+    )
+    version = F.when(key % 2 == 0, "camera-1993").otherwise("senato-1993").alias("map_version")
+    lines = named.select(
+        version, (F.ascii("p_type") * 10 + F.col("p_size") % 5).alias("section"), (key % 7 % 3 + 1).cast("int").alias("college"),
+        F.floor(key / 500).cast("int").alias("page"), key.alias("line_no"), line.alias("line"),
+    )
+    split = ~F.col("p_name").startswith("old") & ~F.col("p_name").startswith("cold") & (F.col("n") != "PRATO")
+    reference = named.select(version, F.col("p_type").alias("geography"), F.col("n").alias("name"), F.when(split, F.col("p_brand")).alias("college"))
+    return lines, reference
+
+
+@query(f"""
+WITH pn AS (SELECT *, upper(concat(replace(p_name,' ',''), p_type)) AS pl FROM part),
+nm AS (SELECT *, CASE WHEN p_partkey%2=0 THEN 'camera-1993' ELSE 'senato-1993' END AS map_version, p_partkey%11 AS kind,
+        CASE WHEN p_partkey%13=0 AND p_type IN ('LARGE','ECONOMY') THEN 'ROMA' WHEN p_partkey%13=1 AND p_type IN ('MEDIUM','LARGE') THEN 'BOLOGNA'
+             WHEN p_partkey%13=2 AND p_type='SMALL' THEN 'PADOVA' WHEN p_partkey%13=2 AND p_type='PROMO' THEN 'PRATO' ELSE pl END AS n,
+        concat('ZONA ', chr(CAST(p_size%8+65 AS INTEGER))) AS zone FROM pn),
+ln AS (SELECT *, ascii(p_type)*10 + p_size%5 AS section, CAST(p_partkey%7%3+1 AS INTEGER) AS college, p_partkey//500 AS page, p_partkey AS line_no,
+        concat(left(n,2), substr(n,4)) AS typo FROM nm),
+tx AS (SELECT *, CASE kind WHEN 0 THEN concat('( RM-',zone,' )') WHEN 1 THEN concat(n,'-',replace(zone,' ','.')) WHEN 2 THEN n WHEN 3 THEN typo
+        WHEN 4 THEN concat('( ',zone,' )') WHEN 5 THEN concat('PO-',zone) WHEN 6 THEN concat('Comprende parte del territorio del comune di ',n,', delimitata')
+        WHEN 7 THEN concat(typo,'-',replace(zone,' ','.')) WHEN 8 THEN concat('Comprende i seguenti comuni: ',lower(n),' e ',lower(pl),'.')
+        WHEN 9 THEN concat('Comprende il comune di ',typo,', intero') ELSE concat('B0-',zone) END AS line FROM ln),
+co AS (SELECT map_version, section, college, string_agg(line,' ' ORDER BY line_no) AS prose, arg_min(page, line_no) AS page FROM tx GROUP BY ALL),
+ws AS (SELECT map_version, section, college, line_no, u.name, u.raw, row_number() OVER (PARTITION BY map_version, section, college ORDER BY line_no, u.i) AS pos
+       FROM tx, LATERAL (SELECT unnest([n, pl]) AS name, unnest([lower(n), lower(pl)]) AS raw, unnest([1,2]) AS i) u WHERE kind=8),
+ds AS (SELECT map_version, section, college, name, arg_min(raw, (pat, line_no)) AS raw, min((pat, line_no)) AS o FROM (
+        SELECT *, CASE kind WHEN 9 THEN 1 ELSE 2 END AS pat, CASE kind WHEN 9 THEN typo ELSE n END AS name,
+               CASE kind WHEN 9 THEN concat('Comprende il comune di ',typo) ELSE concat('parte del territorio del comune di ',n) END AS raw
+        FROM tx WHERE kind IN (6,9)) GROUP BY ALL),
+op AS (SELECT *, max(CASE WHEN kind IN (6,8,9) THEN line_no END) OVER w AS opened,
+              max(CASE WHEN kind NOT IN (0,4,6,8,9) THEN line_no END) OVER w AS broken
+       FROM tx WINDOW w AS (PARTITION BY map_version, section, college ORDER BY line_no)),
+en AS (SELECT map_version, section, college, co.page, 0 AS part, ws.pos AS pos, 'whole' AS kind, ws.name, ws.raw, '' AS description,
+              NULL AS code, NULL AS prefix, NULL AS zone FROM ws JOIN co USING (map_version, section, college)
+       UNION ALL SELECT map_version, section, college, co.page, 1, row_number() OVER (PARTITION BY map_version, section, college ORDER BY o), 'described_part',
+              ds.name, ds.raw, co.prose, NULL, NULL, NULL FROM ds JOIN co USING (map_version, section, college)
+       UNION ALL SELECT map_version, section, college, page, 2, line_no, CASE WHEN kind IN (2,3) THEN 'whole' ELSE 'zone' END,
+              CASE kind WHEN 0 THEN concat('RM-',zone) WHEN 4 THEN zone ELSE line END, line, '',
+              CASE kind WHEN 0 THEN 'RM' WHEN 5 THEN 'PO' WHEN 10 THEN 'B0' END, CASE kind WHEN 1 THEN n WHEN 7 THEN typo END,
+              CASE WHEN kind IN (1,7) THEN replace(zone,' ','.') WHEN kind IN (0,4,5,10) THEN zone END
+       FROM op WHERE kind IN (1,2,3,5,7,10) OR (kind IN (0,4) AND NOT coalesce(opened > coalesce(broken,-1), false))),
+rf AS (SELECT DISTINCT map_version, p_type AS geography, n AS name,
+              CASE WHEN p_name LIKE 'old%' OR p_name LIKE 'cold%' OR n='PRATO' THEN '' ELSE p_brand END AS college FROM nm),
+nn AS (SELECT map_version, geography, name, count(DISTINCT college) > 1 AS split FROM rf GROUP BY ALL),
+vt AS (SELECT map_version, section, geography, count(*) AS v, min((college, part, pos)) AS first FROM en JOIN nn USING (map_version, name) GROUP BY ALL),
+mj AS (SELECT map_version, section, geography FROM vt QUALIFY row_number() OVER (PARTITION BY map_version, section ORDER BY v DESC, first, geography DESC) = 1),
+sc AS (SELECT map_version, section, geography, max(college) AS last, lag(geography) OVER (PARTITION BY map_version ORDER BY section) AS before
+       FROM en JOIN mj USING (map_version, section) GROUP BY map_version, section, geography),
+si AS (SELECT *, sum(CASE WHEN before IS NULL OR before<>geography THEN 1 ELSE 0 END) OVER (PARTITION BY map_version ORDER BY section) AS island FROM sc),
+so AS (SELECT map_version, section, geography, coalesce(sum(last) OVER (PARTITION BY map_version, island ORDER BY section
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS off FROM si),
+pl AS (SELECT en.*, so.geography, so.off, {_sql_key('en.name')} AS tk, {_sql_key('prefix')} AS pk FROM en JOIN so USING (map_version, section)),
+kn AS (SELECT map_version, geography, {_sql_key('name')} AS k, max(name) AS name, split FROM nn GROUP BY ALL),
+lk AS (SELECT map_version, geography, true AS split, k, name FROM kn WHERE split
+       UNION ALL SELECT map_version, geography, false, k, max(name) FROM kn GROUP BY map_version, geography, k),
+tg AS (SELECT DISTINCT map_version, geography, tk AS t FROM pl UNION SELECT DISTINCT map_version, geography, pk FROM pl WHERE pk IS NOT NULL),
+pr AS (SELECT tg.map_version, tg.geography, t, split, name, k, 1.0e0 - levenshtein(t, k)*1.0e0/greatest(length(t), length(k), 1) AS score
+       FROM tg JOIN lk USING (map_version, geography) WHERE t<>''),
+mt AS (SELECT map_version, geography, t, split, max(CASE WHEN t=k THEN name END) AS exact, arg_max(name, (score, k)) AS name, max(score) AS score,
+              (list(score ORDER BY score DESC))[2] AS rival FROM pr WHERE score >= 0.55e0 - 1.0e-9 GROUP BY ALL),
+ms AS (SELECT map_version, geography, t, split, CASE WHEN exact IS NOT NULL THEN exact WHEN coalesce(score - rival >= 0.05e0, true) THEN name END AS name,
+              CASE WHEN exact IS NOT NULL THEN 1.0e0 ELSE score END AS score FROM mt),
+ge AS (SELECT map_version, geography, CASE WHEN count(*)=1 THEN max(name) END AS sole, bool_or(name='PRATO') AS prato FROM nn
+       WHERE split AND name IN ('ROMA','BOLOGNA','PADOVA','PRATO') GROUP BY ALL),
+zc AS (SELECT pl.*, sole, CASE WHEN pl.kind='zone' THEN CASE
+          WHEN prefix IS NOT NULL THEN CASE WHEN sp.score >= 0.95e0 AND sp.name IS NOT NULL THEN sp.name ELSE (SELECT x.name FROM lk x WHERE NOT x.split AND x.map_version=pl.map_version
+               AND x.geography=pl.geography AND x.k=pk) END
+          ELSE (SELECT y.name FROM nn y WHERE y.split AND y.map_version=pl.map_version AND y.geography=pl.geography
+               AND y.name=CASE code WHEN 'RM' THEN 'ROMA' WHEN 'B0' THEN 'BOLOGNA' WHEN 'PO' THEN CASE WHEN coalesce(prato,false) THEN 'PRATO' ELSE 'PADOVA' END END) END END AS direct,
+          CASE WHEN prefix IS NULL THEN true ELSE coalesce(sp.score >= 0.95e0 AND sp.name IS NOT NULL, false) END AS is_split
+       FROM pl LEFT JOIN ge USING (map_version, geography)
+       LEFT JOIN ms sp ON sp.split AND sp.map_version=pl.map_version AND sp.geography=pl.geography AND sp.t=pk),
+cr AS (SELECT *, last_value(CASE WHEN direct IS NOT NULL THEN {{'d': direct, 's': is_split}} END IGNORE NULLS) OVER
+       (PARTITION BY map_version, section, college ORDER BY part, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM zc),
+ct AS (SELECT *, CASE WHEN kind='zone' THEN CASE WHEN prefix IS NOT NULL THEN direct
+              ELSE coalesce(direct, CASE WHEN coalesce(c.s, false) THEN c.d ELSE sole END) END END AS city FROM cr),
+fn AS (SELECT ct.*, CASE WHEN ct.kind='zone' AND city IS NULL THEN 'whole' ELSE ct.kind END AS entry_type, a.name AS an, coalesce(a.score,0) AS ascore,
+              s.name AS sn, s.score AS sscore
+       FROM ct LEFT JOIN ms a ON NOT a.split AND a.map_version=ct.map_version AND a.geography=ct.geography AND a.t=tk
+       LEFT JOIN ms s ON s.split AND s.map_version=ct.map_version AND s.geography=ct.geography AND s.t=tk),
+fs AS (SELECT *, CASE WHEN city IS NOT NULL THEN 1.0e0 WHEN kind='described_part' AND sn IS NOT NULL THEN CASE WHEN sscore >= 0.6e0 THEN 1.0e0 ELSE 0.0e0 END
+              ELSE ascore END AS sco, CASE WHEN city IS NOT NULL THEN city WHEN kind='described_part' AND sn IS NOT NULL THEN sn ELSE an END AS mu FROM fn)
+SELECT map_version, geography, CAST(college + off AS BIGINT) AS college, CASE WHEN sco >= 0.75e0 THEN coalesce(mu,'') ELSE '' END AS municipality, entry_type,
+       CASE WHEN entry_type='zone' THEN coalesce(zone,'') ELSE description END AS entry_text, page AS source_page, trim(raw) AS ocr_text,
+       CAST(floor(sco*1000+0.5) AS BIGINT) AS match_permille FROM fs""")
+def registry_rows(spark, sf_dir):
+    rows = registry_build.registry_rows(*_decree(spark, sf_dir))
+    return plain(rows.withColumn("match_permille", F.round(F.col("match_score") * 1000).cast("bigint")).drop("match_score"))
+
+
 @query("""
 SELECT p_partkey AS college, 'whole' AS kind, unnest([upper(p_name), upper(p_type), 'GAMMA']) AS name FROM part
 UNION ALL SELECT p_partkey, 'described_part', 'BRAND' FROM part""")
