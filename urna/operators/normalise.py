@@ -198,6 +198,11 @@ def _share() -> Column:
 _CONTEXT = ("context_hash", "context_key")
 
 
+#: Bits of the filter of contexts to fill: one megabyte, however many contexts there are.
+_FILTER_BITS = 1 << 23
+_CARRIED = (*MEASURES, "turnout_percentage")
+
+
 def _with_context_key(rows: DataFrame) -> DataFrame:
     # One struct instead of eleven columns: structs compare NULL fields as equal,
     # and a single join key keeps the optimiser's inferred constraints few.
@@ -206,21 +211,64 @@ def _with_context_key(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"context_hash": F.xxhash64(*keys), "context_key": F.struct(*keys)})
 
 
-def fill_summaries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First known figure per context, in row order, and the rows carrying it.
+def _differing_contexts(hashed: DataFrame) -> DataFrame:
+    """(context_hash) of the contexts whose rows do not all publish the same figures.
 
-    The summary side has one row per context; a context with very many rows is
-    split by the adaptive skew-join.
+    Three numbers a row are grouped, no keys: contexts that share a hash only look different.
     """
-    carried = (*MEASURES, "turnout_percentage")
-    keyed = _with_context_key(rows)
-    summaries = keyed.groupBy(*_CONTEXT).agg(
-        *[_first_known(m) for m in carried], F.max("yields_result").alias("yields_result")
+    known = [F.coalesce(F.col(m).cast("string"), F.lit("")) for m in _CARRIED]
+    figures = F.xxhash64(F.concat_ws("|", *known))
+    grouped = hashed.select("context_hash", figures.alias("figures")).groupBy("context_hash")
+    return grouped.agg(F.min("figures").alias("least"), F.max("figures").alias("most")).where("least <> most").select("context_hash")
+
+
+def _bit(position: Column) -> tuple[Column, Column]:
+    """Bucket and bit of a position, counted from 0, in buckets as ``bitmap_construct_agg`` makes them."""
+    size = 1 << 15
+    return F.floor(position / size).cast("int"), F.pmod(position, F.lit(size)).cast("int")
+
+
+def _filter_of(hashes: DataFrame) -> Column:
+    """A Bloom filter of one hash, as an array of bitmaps that Spark hands to the tasks with the plan."""
+    bucket, bit = _bit(F.pmod("context_hash", F.lit(_FILTER_BITS)))
+    built = hashes.select(bucket.alias("bucket"), bit.cast("bigint").alias("bit")).groupBy("bucket").agg(
+        F.bitmap_construct_agg("bit").alias("bits")
     )
-    filled = keyed.drop(*carried, "yields_result").join(
-        summaries.drop("yields_result"), list(_CONTEXT)
+    one = built.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "bits"))).alias("m"))
+    none = F.lit(b"")
+    every = F.transform(F.sequence(F.lit(0), F.lit((_FILTER_BITS >> 15) - 1)), lambda b: F.coalesce(F.try_element_at("m", b), none))
+    return one.select(every.alias("filter")).scalar()
+
+
+def _perhaps_in(bitmaps: Column) -> Column:
+    """Whether a row's context may be in the filter; no context in it is missed."""
+    bucket, bit = _bit(F.pmod("context_hash", F.lit(_FILTER_BITS)))
+    byte = F.conv(F.hex(F.substring(F.get(bitmaps, bucket), F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))
+
+
+def fill_summaries(rows: DataFrame) -> DataFrame:
+    """The rows with the first known figures of their context, in row order.
+
+    Where all rows of a context publish the same figures nothing is to be filled,
+    and such rows are neither shuffled nor joined: a filter of one megabyte tells
+    them from the others. Of the others one row a context is joined on its hash,
+    with its key as the second condition, so that rows do not carry their key
+    twice. A context with very many rows is split by the adaptive skew-join.
+    """
+    keys = (*ARCHIVE, *SUMMARY_KEY)
+    hashed = rows.withColumn("context_hash", F.xxhash64(*keys))
+    differing = stage(_differing_contexts(hashed))
+    perhaps = _perhaps_in(_filter_of(differing))
+    open_rows = hashed.where(perhaps)
+    summaries = stage(
+        open_rows.withColumn("context_key", F.struct(*keys)).groupBy(*_CONTEXT).agg(*[_first_known(m) for m in _CARRIED])
+        .withColumnRenamed("context_hash", "summary_hash")
     )
-    return filled, summaries
+    same = (F.col("context_hash") == F.col("summary_hash")) & (F.struct(*keys) == F.col("context_key"))
+    filled = open_rows.drop(*_CARRIED).join(summaries, same).drop("summary_hash", "context_key")
+    settled = hashed.where(~perhaps)
+    return filled.select(*settled.columns).unionByName(settled).drop("context_hash", "yields_result")
 
 
 def _finish(results: DataFrame) -> DataFrame:
@@ -302,14 +350,9 @@ def normalise(raw: DataFrame) -> DataFrame:
     """
     rows = stage(read_columns(raw).withColumn("yields_result", _yields_result()))
     usable = rows.where(~_file_marked(fv.NOT_AGGREGATE) & F.col("section").isNull())
-    filled, summaries = fill_summaries(usable)
-    served = (
-        summaries.groupBy(*[F.col(f"context_key.{c}").alias(c) for c in ARCHIVE])
-        .agg(F.max("yields_result").alias("served"))
-        .where("served")
-    )
+    served = usable.groupBy(*ARCHIVE).agg(F.max("yields_result").alias("served")).where("served")
     unserved = rows.join(served.select(*ARCHIVE), list(ARCHIVE), "left_anti")
-    return aggregate_results(filled).unionByName(section_results(unserved))
+    return aggregate_results(fill_summaries(usable)).unionByName(section_results(unserved))
 
 
 def municipal_only(raw: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def referendum_options(spark, sf_dir):
 
 _SECTION_SQL = f"""
 k AS (SELECT *, concat(category,'-',CAST(year(election_date) AS VARCHAR)) AS archive,
-             question_number AS qn FROM f WHERE category IN ('camera','senato','comunali')),
+             CASE WHEN category='referendum' THEN coalesce(question_number,'1') ELSE question_number END AS qn FROM f),
 g1 AS (SELECT {_KEYS}, section,
         arg_min(electors, (source_file, source_row)) FILTER (electors IS NOT NULL) AS electors,
         arg_min(voters, (source_file, source_row)) AS voters,
@@ -109,11 +109,18 @@ g1 AS (SELECT {_KEYS}, section,
 g2 AS (SELECT {_KEYS}, sum(electors)::BIGINT AS electors, sum(voters)::BIGINT AS voters,
         sum(valid_votes)::BIGINT AS valid_votes, sum(blank_ballots)::BIGINT AS blank_ballots
       FROM g1 GROUP BY ALL),
-v AS (SELECT archive, canonical, {_KEYS}, result_type, subject, sum(votes)::BIGINT AS votes,
+x AS (SELECT archive, canonical, {_KEYS}, result_type, CASE WHEN result_type='list' THEN subject ELSE replace(subject,'#',' ') END AS subject,
+             votes, seats, source_file, source_row FROM k WHERE category<>'referendum'
+      UNION ALL
+      -- NO is derived row by row from the row's own valid votes.
+      SELECT archive, canonical, {_KEYS}, 'option', o.option, o.v, seats, source_file, source_row
+      FROM (SELECT *, unnest([{{'option':'SI','v':votes}}, {{'option':'NO','v':valid_votes-votes}}]) AS o FROM k WHERE category='referendum')
+      WHERE o.v >= 0),
+v AS (SELECT archive, arg_min(canonical, (source_file, source_row)) AS canonical, {_KEYS}, result_type, subject, sum(votes)::BIGINT AS votes,
         arg_min(seats, (source_file, source_row)) AS seats,
         arg_min(source_file, (source_file, source_row)) AS source_file
-      FROM k GROUP BY ALL),
-lt AS (SELECT {_KEYS}, sum(votes)::BIGINT AS list_votes FROM k WHERE result_type='list' GROUP BY ALL),
+      FROM x GROUP BY archive, {_KEYS}, result_type, subject),
+lt AS (SELECT {_KEYS}, sum(votes)::BIGINT AS list_votes FROM x WHERE result_type='list' GROUP BY ALL),
 j AS (SELECT v.*, g2.electors, g2.voters, g2.valid_votes, g2.blank_ballots, lt.list_votes
       FROM v JOIN g2 ON v.category=g2.category AND v.election_date=g2.election_date
       AND v.region IS NOT DISTINCT FROM g2.region AND v.constituency IS NOT DISTINCT FROM g2.constituency
@@ -130,20 +137,18 @@ j AS (SELECT v.*, g2.electors, g2.voters, g2.valid_votes, g2.blank_ballots, lt.l
 
 @query(sql_facts("," + _SECTION_SQL) + f"""
 SELECT archive, round, region, constituency, province, canonical AS municipality,
-       mkey AS municipality_key, country, college, qn AS question_number, result_type,
-       CASE WHEN result_type='list' THEN subject ELSE replace(subject,'#',' ') END AS subject,
+       mkey AS municipality_key, country, college, qn AS question_number, result_type, subject,
        {sql_slug('subject')} AS subject_key,
        CASE WHEN result_type='list' THEN subject END AS party,
-       CASE WHEN result_type<>'list' THEN replace(subject,'#',' ') END AS candidate,
-       CAST(NULL AS VARCHAR) AS option, votes,
+       CASE WHEN result_type='candidate' THEN subject END AS candidate,
+       CASE WHEN result_type='option' THEN subject END AS option, votes,
        {sql_ppm('votes','coalesce(nullif(list_votes,0),valid_votes)')} AS percentage_ppm, seats,
        electors, voters, {sql_ppm('voters','electors')} AS turnout_ppm, valid_votes,
        list_votes AS valid_list_votes, blank_ballots,
        concat(source_file,'#municipality-aggregate') AS source_file, CAST(0 AS BIGINT) AS source_row
 FROM j""")
 def normalise_sections(spark, sf_dir):
-    er = election_rows(spark, sf_dir).where(F.col("category").isin("camera", "senato", "comunali"))
-    return _in_ppm(normalise.normalise(raw_rows(er, sections=True)))
+    return _in_ppm(normalise.normalise(raw_rows(election_rows(spark, sf_dir), sections=True)))
 
 
 @query(sql_facts() + """
