@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 
 from urna.llm import queries, substring
 
@@ -44,22 +45,47 @@ def test_odd_texts_in_many_batches(spark, odd_docs, no_docs, monkeypatch):
     assert substring.digests(no_docs).count() == 0
 
 
-def test_a_crowded_sketch_changes_nothing(spark, small):
+def test_a_crowded_sketch_changes_nothing(spark, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet")
+    monkeypatch.setattr(substring, "BATCH_BYTES", 100_000)
     full = substring.deduplicate(docs).toPandas().sort_values("doc_id", ignore_index=True)
-    crowded = substring.deduplicate(docs, cell_bits=8).toPandas().sort_values("doc_id", ignore_index=True)
-    assert full.equals(crowded)
+    for bits in ((8, 0), (12, 5), (30, 8)):
+        other = substring.deduplicate(docs, bits=bits).toPandas().sort_values("doc_id", ignore_index=True)
+        assert full.equals(other)
 
 
 def test_merged_counts_never_fall_short(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").repartition(5)
-    merged, length = substring.sketch(docs, cell_bits=22)
-    texts = [r.text for r in docs.select("text").collect()]
-    assert length == sum(len(t.encode()) for t in texts)
-    each = [np.unique(substring.window_hashes(substring.words(t), 13)[0]) for t in texts]
-    keys, times = np.unique(np.concatenate(each), return_counts=True)
-    found = merged.repeated(keys)
-    assert found[times > 1].all() and found[times == 1].mean() < 0.2
+    """Every batch hears of all its windows that repeat, and of few that do not."""
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
+    frames = [pd.DataFrame({"doc_id": range(b, len(texts), 5), "text": texts[b::5]}) for b in range(5)]
+    cells, slices = 22, 4
+    batches = [substring.Windows(f, 13) for f in frames]
+    by_slice = {}
+    for b, own in enumerate(batches):
+        for s, once, twice in substring.pieces(own.distinct(), cells, slices):
+            by_slice.setdefault(s, []).append((b, once, twice))
+    heard = {b: [] for b in range(5)}
+    for s, parts in by_slice.items():
+        for b, found in substring.merged(parts, cells - slices):
+            heard[b].append((s, found))
+    keys, times = np.unique(np.concatenate([b.distinct() for b in batches]), return_counts=True)
+    single = 0
+    for b, own in enumerate(batches):
+        said = substring._heard(pd.DataFrame(heard[b], columns=["slice", "cells"]), slices, cells)
+        found = own.low[own.repeated(said, cells)]
+        repeats = times[np.searchsorted(keys, own.low)] > 1
+        assert repeats.any() and np.isin(own.low[repeats], found).all()
+        single += (~np.isin(own.low[~repeats], found)).mean()
+    assert single / 5 > 0.8
+
+
+def test_the_sketch_grows_with_the_corpus():
+    before = 0
+    for length in (0, 1, 10**6, 10**8, 10**10, 4 * 10**11):
+        cells, slices = substring.sketch_bits(length)
+        assert cells >= before and 1 << cells >= length // substring.WINDOW_BYTES * 4 and cells - slices <= substring.MOST_BITS
+        before = cells
+    assert substring.sketch_bits(10**14)[1] <= 14
 
 
 def test_columns_that_stay(spark, odd_docs):

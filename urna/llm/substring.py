@@ -3,21 +3,26 @@
 A window is ``WINDOW`` consecutive words of one document. A word goes if a window
 that covers it also starts in a document with a smaller doc_id.
 
-1. Every task counts its windows into a count-min sketch and sends it in slices;
-   slices are merged, cell by cell. A merged cell never counts too little, so a
-   window that repeats has at least two in each of its cells.
-2. A second pass over the texts looks every window up in the merged sketch and
-   hands on only those whose estimate is two or more, one row for each different
-   window of a batch of documents. These are grouped exactly, by 96 bits of a
-   multilinear hash of 128-bit word hashes (at 1.6e13 windows, 100 TB, fewer than
-   0.002 false meetings are expected in all). Windows that were overestimated turn
-   out to be alone there; none that repeats is lost.
+1. Documents are dealt into batches by hash. Every batch counts its windows into a
+   count-min sketch, kept as the sorted cells it touches, and sends it in slices.
+   A slice's pieces are merged, cell by cell, and every batch is answered with those
+   of its own cells that the merged sketch counts twice or more. A merged cell never
+   counts too little, so a window that repeats has both its cells in the answers.
+2. A second pass over the batches looks every window up in its answers and hands on
+   only those whose estimate is two or more, one row for each different window of a
+   batch. These are grouped exactly, by 96 bits of a multilinear hash of 128-bit word
+   hashes (at 1.6e13 windows, 100 TB, fewer than 0.002 false meetings are expected in
+   all). Windows that were overestimated turn out to be alone there; none that
+   repeats is lost.
 3. What earlier documents hold goes back to the batch, which applies it.
 
-A window that every document holds is one row a batch, so no group exceeds the
-number of batches. The sketch has a fixed size (``ROWS`` x 2**``CELL_BITS`` bits
-once merged), which each Python worker reads from shared storage; when the corpus outgrows it
-more windows reach step 2, with the same result.
+The sketch has as many cells as the corpus asks for (about ``CELLS`` for each window)
+and is nowhere whole: a task holds one slice, a batch its own answers, the driver
+three numbers. A window that every document holds is one row and two cells a batch, so
+no group exceeds the number of batches. Slices are ``MOST_SLICES`` at most, so that a
+batch's pieces stay larger than their rows' overhead, and 2**``MOST_BITS`` cells each:
+beyond some 450 GB of text cells fill up, more windows reach the exact grouping, and
+the result stays the same.
 
 Defined cases: null, empty and short texts lose nothing; a window that repeats
 within one document only, or among rows of the same doc_id, does not count; a
@@ -36,11 +41,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urna.llm.common import file_system, mix, new_folder, ship, words
+from urna.llm.common import mix, ship, stage, words
 
 WINDOW = 13
-#: The sketch: rows, cells of a row, and slices of a row that are merged apart.
-ROWS, CELL_BITS, SLICE_BITS = 2, 28, 20
+#: The sketch: rows, cells for each window of the corpus, and bytes of text a window stands for.
+ROWS, CELLS, WINDOW_BYTES = 2, 8, 6
+#: Slices of a row that are merged apart: windows each should hold, their number, and bits of the cells in one.
+SLICE_WINDOWS, MOST_SLICES, MOST_BITS = 1 << 17, 1 << 13, 26
 #: Bytes of text in one batch, on average.
 BATCH_BYTES = 24_000_000
 #: A doc_id after all others, for null.
@@ -66,15 +73,23 @@ def window_hashes(own: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(low), (mix(high) >> np.uint64(32)).astype(np.uint32)
 
 
+def sketch_bits(length: int) -> tuple[int, int]:
+    """(bits of a row's cells, bits of its slices) for a corpus of so many bytes."""
+    windows = max(1, length // WINDOW_BYTES)
+    slices = max(0, min(MOST_SLICES, windows // SLICE_WINDOWS).bit_length())
+    inside = max(12, (CELLS * windows - 1).bit_length() - slices)
+    return slices + min(MOST_BITS, inside), slices
+
+
 def _cells(low: np.ndarray, row: int, cell_bits: int) -> np.ndarray:
     """Cell of each window in a row of the sketch."""
     turned = mix(low + np.uint64(0x9E3779B97F4A7C15 * (row + 1) % 2**64))
-    return (turned >> np.uint64(64 - cell_bits)).astype(np.uint32)
+    return turned >> np.uint64(64 - cell_bits)
 
 
 def _pack(cells: np.ndarray) -> bytes:
     """Sorted numbers as differences, byte planes apart: small ones compress to a byte."""
-    steps = np.diff(cells, prepend=np.uint32(0)).astype("<u4")
+    steps = np.diff(cells, prepend=np.uint64(0)).astype("<u4")
     return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
@@ -83,152 +98,113 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-class Sketch:
-    """The merged sketch as one bit a cell: is its count two or more."""
-
-    def __init__(self, rows: int = ROWS, cell_bits: int = CELL_BITS):
-        self.cell_bits = cell_bits
-        self.bits = np.zeros((rows, (1 << cell_bits) // 8), np.uint8)
-
-    def repeated(self, low: np.ndarray) -> np.ndarray:
-        """Which windows are estimated to occur at least twice."""
-        found = np.ones(len(low), bool)
-        for row in range(len(self.bits)):
-            cells = _cells(low, row, self.cell_bits)
-            found &= (self.bits[row][cells >> np.uint32(3)] >> (cells & np.uint32(7)).astype(np.uint8)) & 1 == 1
-        return found
-
-
-class Stored:
-    """A sketch in shared storage, read once by every Python worker that asks.
-
-    One file is less than a copy on every executor's disk, as a broadcast would be.
-    """
-
-    _held: dict[str, Sketch] = {}
-
-    def __init__(self, merged: Sketch, folder: str):
-        self.path, self.rows, self.cell_bits = f"{folder}/sketch", len(merged.bits), merged.cell_bits
-        files, root = file_system(folder)
-        files.create_dir(root, recursive=True)
-        with files.open_output_stream(f"{root}/sketch", compression=None) as out:
-            out.write(merged.bits.tobytes())
-
-    @property
-    def value(self) -> Sketch:
-        if self.path not in self._held:
-            self._held.clear()
-            files, own = file_system(self.path)
-            read = Sketch(0, self.cell_bits)
-            if files.type_name == "local":
-                # A mounted folder: the machine's workers share its pages.
-                read.bits = np.memmap(own, np.uint8, "r").reshape(self.rows, -1)
-            else:
-                with files.open_input_file(own) as source:
-                    read.bits = np.frombuffer(source.read(), np.uint8).reshape(self.rows, -1)
-            self._held[self.path] = read
-        return self._held[self.path]
-
-
-def sketch(docs: DataFrame, size: int = WINDOW, rows: int = ROWS, cell_bits: int = CELL_BITS) -> tuple[Sketch, int]:
-    """The merged sketch of all texts and their number of bytes.
-
-    A batch of documents counts a window once for each document, at most twice;
-    windows of one document alone need not be found.
-    """
-    slice_bits = min(SLICE_BITS, cell_bits)
-    slices = 1 << (cell_bits - slice_bits)
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, length, windows = [], 0, 0
-
-        def send():
-            low = np.sort(np.concatenate(held))
-            for row in range(rows):
-                cells = np.sort(_cells(low, row, cell_bits))
-                first = np.append(True, cells[1:] != cells[:-1])
-                starts = np.flatnonzero(first)
-                twice = np.diff(np.append(starts, len(cells))) > 1
-                cells = cells[starts]
-                edges = np.searchsorted(cells, np.arange(slices + 1, dtype=np.uint64) << np.uint64(slice_bits))
-                out = []
-                for s in range(slices):
-                    a, b = edges[s], edges[s + 1]
-                    if a < b:
-                        inside = cells[a:b] & np.uint32((1 << slice_bits) - 1)
-                        out.append((row * slices + s, _pack(inside), _pack(inside[twice[a:b]]), 0))
-                yield pd.DataFrame(out, columns=["slice", "once", "twice", "bytes"])
-
-        for frame in frames:
-            for text in frame["text"]:
-                own = words(text)
-                length += len(text.encode()) if isinstance(text, str) else 0
-                low, _ = window_hashes(own, size)
-                if len(low):
-                    held.append(np.unique(low))
-                    windows += len(held[-1])
-                if windows > 4_000_000:
-                    yield from send()
-                    held, windows = [], 0
-        if held:
-            yield from send()
-        yield pd.DataFrame({"slice": [-1], "once": [b""], "twice": [b""], "bytes": [length]})
+class Windows:
+    """A batch: its documents in order, and the hashes of their windows."""
+
+    def __init__(self, frame: pd.DataFrame, size: int):
+        frame = frame.assign(own=frame["text"], text=[t if isinstance(t, str) else "" for t in frame["text"]])
+        self.frame = frame.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
+        self.ids = self.frame["doc_id"].to_numpy(np.int64)
+        parts = [window_hashes(words(t), size) for t in self.frame["text"]]
+        self.edges = np.concatenate([[0], np.cumsum([len(low) for low, _ in parts])])
+        self.low = np.concatenate([np.zeros(0, np.uint64), *[low for low, _ in parts]])
+        self.high = np.concatenate([np.zeros(0, np.uint32), *[high for _, high in parts]])
+
+    def distinct(self) -> np.ndarray:
+        """Each document's different windows, one after the other."""
+        own = [np.unique(self.low[a:b]) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
+        return np.concatenate([np.zeros(0, np.uint64), *own])
+
+    def repeated(self, answers: dict[int, np.ndarray], cell_bits: int) -> np.ndarray:
+        """Numbers of the windows that are estimated to occur at least twice.
+
+        ``answers``: by row of the sketch the batch's cells that count two or more, sorted.
+        """
+        left = np.arange(len(self.low))
+        for row in range(ROWS):
+            known = answers.get(row)
+            if known is None or not len(known):
+                return np.zeros(0, np.int64)
+            # A small bitmap first: few windows need the search.
+            bits = min(cell_bits, 24)
+            mask, seen = np.uint64((1 << bits) - 1), np.zeros(1 << bits, bool)
+            seen[known & mask] = True
+            cells = _cells(self.low[left], row, cell_bits)
+            some = seen[cells & mask]
+            left, cells = left[some], cells[some]
+            at = np.minimum(np.searchsorted(known, cells), len(known) - 1)
+            left = left[known[at] == cells]
+        return left
+
+
+def pieces(low: np.ndarray, cell_bits: int, slice_bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(slice, cells that are touched, those of them touched twice) of a partition's sketch."""
+    inside = np.uint64(cell_bits - slice_bits)
+    for row in range(ROWS):
+        cells, times = np.unique(_cells(low, row, cell_bits), return_counts=True)
+        edges = np.searchsorted(cells >> inside, np.arange((1 << slice_bits) + 1, dtype=np.uint64))
+        local, twice = cells & np.uint64((1 << int(inside)) - 1), times > 1
+        for s in range(1 << slice_bits):
+            a, b = edges[s], edges[s + 1]
+            if a < b:
+                yield (row << slice_bits) + s, _pack(local[a:b]), _pack(local[a:b][twice[a:b]])
+
+
+def merged(parts: list[tuple[int, bytes, bytes]], bits: int) -> Iterator[tuple[int, bytes]]:
+    """(batch, its cells that count two or more) of the pieces (batch, once, twice) of one slice."""
+    one, two = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+    for _, once, twice in parts:
+        cells = _unpack(once)
+        two[cells[one[cells]]] = True
+        one[cells] = True
+        if len(twice):
+            two[_unpack(twice)] = True
+    for batch, once, _ in parts:
+        cells = _unpack(once)
+        found = cells[two[cells]]
+        if len(found):
+            yield batch, _pack(found.astype(np.uint64))
+
+
+def answers(dealt: DataFrame, size: int, cell_bits: int, slice_bits: int) -> DataFrame:
+    """(batch, slice, cells): what the merged sketch says of every batch's own cells."""
+    bits = cell_bits - slice_bits
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        batch = int(frame["batch"].iloc[0])
+        out = [(batch, *p) for p in pieces(Windows(frame, size).distinct(), cell_bits, slice_bits)]
+        return pd.DataFrame(out, columns=["batch", "slice", "once", "twice"])
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Pieces come sorted by slice, so a task holds one slice, whatever it receives.
-        number, length = -1, 0
-        one = two = np.zeros(0, bool)
+        number, parts = -1, []
 
         def done():
-            if two.any():
-                yield pd.DataFrame({"slice": [number], "bits": [np.packbits(two, bitorder="little").tobytes()], "bytes": [0]})
+            out = [(batch, number, cells) for batch, cells in merged(parts, bits)]
+            if out:
+                yield pd.DataFrame(out, columns=["batch", "slice", "cells"])
 
         for frame in frames:
-            for own, once, twice, more in zip(frame["slice"], frame["once"], frame["twice"], frame["bytes"], strict=True):
-                length += more
-                if own < 0:
-                    continue
+            for batch, own, once, twice in zip(frame["batch"], frame["slice"], frame["once"], frame["twice"], strict=True):
                 if own != number:
                     yield from done()
-                    number = own
-                    one, two = np.zeros(1 << slice_bits, bool), np.zeros(1 << slice_bits, bool)
-                cells = _unpack(once)
-                two[cells[one[cells]]] = True
-                one[cells] = True
-                if len(twice):
-                    two[_unpack(twice)] = True
+                    number, parts = own, []
+                parts.append((batch, once, twice))
         yield from done()
-        yield pd.DataFrame({"slice": [-1], "bits": [b""], "bytes": [length]})
 
-    pieces = docs.select("text").mapInPandas(count, "slice int, once binary, twice binary, bytes bigint")
-    merged = pieces.repartition("slice").sortWithinPartitions("slice").mapInPandas(merge, "slice int, bits binary, bytes bigint")
-    out, length = Sketch(rows, cell_bits), 0
-    width = (1 << slice_bits) // 8
-    for r in merged.toLocalIterator():
-        length += r.bytes
-        if r.slice >= 0:
-            row, s = divmod(r.slice, slices)
-            out.bits[row][s * width : (s + 1) * width] = np.frombuffer(r.bits, np.uint8)
-    return out, length
+    sent = dealt.select("doc_id", "text", "batch").groupBy("batch").applyInPandas(count, "batch bigint, slice bigint, once binary, twice binary")
+    sorted_ = sent.repartition("slice").sortWithinPartitions("slice")
+    return sorted_.mapInPandas(merge, "batch bigint, slice bigint, cells binary")
 
 
-def _windows_of(frame: pd.DataFrame, size: int, shared):
-    """Of a batch: its documents in order and the windows estimated to repeat.
-
-    Returns the sorted frame, arrays (document, place, low, high) of the windows, and
-    the documents' doc_ids.
-    """
-    frame = frame.assign(own=frame["text"], text=[t if isinstance(t, str) else "" for t in frame["text"]])
-    frame = frame.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
-    ids = frame["doc_id"].to_numpy(np.int64)
-    sketch_ = shared.value
-    parts = []
-    for i, text in enumerate(frame["text"]):
-        low, high = window_hashes(words(text), size)
-        at = np.flatnonzero(sketch_.repeated(low)) if len(low) else np.zeros(0, np.int64)
-        parts.append((np.full(len(at), i), at, low[at], high[at]))
-    document, place, low, high = (np.concatenate([p[k] for p in parts]) for k in range(4))
-    return frame, document.astype(np.int64), place, low, high, ids
+def _heard(frame: pd.DataFrame, slice_bits: int, cell_bits: int) -> dict[int, np.ndarray]:
+    """The answers of a batch as sorted cells by row of the sketch."""
+    inside, out = np.uint64(cell_bits - slice_bits), {}
+    frame = frame.sort_values("slice")
+    for own, cells in zip(frame["slice"], frame["cells"], strict=True):
+        row, s = divmod(int(own), 1 << slice_bits)
+        out.setdefault(row, []).append(_unpack(cells).astype(np.uint64) + (np.uint64(s) << inside))
+    return {row: np.concatenate(parts) for row, parts in out.items()}
 
 
 def _keys(low: np.ndarray, high: np.ndarray):
@@ -241,23 +217,24 @@ def _keys(low: np.ndarray, high: np.ndarray):
     return a[new], b[new], number
 
 
-def deduplicate(docs: DataFrame, size: int = WINDOW, rows: int = ROWS, cell_bits: int = CELL_BITS, keep: tuple = ()) -> DataFrame:
-    """Every document's kept words: doc_id, n_words, n_removed, kept, and the columns of ``keep``."""
-    return _deduplicate(docs, size, rows, cell_bits, keep, "kept")
+def deduplicate(docs: DataFrame, size: int = WINDOW, bits: tuple[int, int] | None = None, keep: tuple = ()) -> DataFrame:
+    """Every document's kept words: doc_id, n_words, n_removed, kept, and the columns of ``keep``.
+
+    ``bits``: those of the sketch's cells and slices, by default as the corpus asks for.
+    """
+    return _deduplicate(docs, size, bits, keep, "kept")
 
 
 def digests(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``deduplicate`` with the kept words as a digest."""
-    return _deduplicate(docs, size, ROWS, CELL_BITS, (), "kept_sha256")
+    return _deduplicate(docs, size, None, (), "kept_sha256")
 
 
-def _deduplicate(docs, size, rows, cell_bits, keep, result):
+def _deduplicate(docs, size, bits, keep, result):
     """``result``: kept (words), kept_sha256, or text (the text itself where nothing goes)."""
-    spark = docs.sparkSession
-    ship(spark)
-    merged, length = sketch(docs, size, rows, cell_bits)
-    shared = Stored(merged, new_folder(spark, "sketch"))
-    del merged
+    ship(docs.sparkSession)
+    length = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    cell_bits, slice_bits = bits or sketch_bits(length)
     batches = max(1, -(-length // BATCH_BYTES))
     others = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     # Rows without doc_id are dealt by their text.
@@ -266,40 +243,56 @@ def _deduplicate(docs, size, rows, cell_bits, keep, result):
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(LAST))).alias("doc_id"), "text", *others,
         F.pmod(place, F.lit(batches)).alias("batch"),
     )
-
-    def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        _, document, _, low, high, ids = _windows_of(frame[["doc_id", "text", "batch"]], size, shared)
-        a, b, number = _keys(low, high)
+    # Written: both later passes ask for them, and each is a row a slice.
+    heard = stage(answers(dealt, size, cell_bits, slice_bits))
+
+    def flagged(frame: pd.DataFrame, said: pd.DataFrame):
+        """A batch, its windows that may repeat (document, place, hashes) and their number among the different ones."""
+        own = Windows(frame, size)
+        at = own.repeated(_heard(said, slice_bits, cell_bits), cell_bits)
+        document = np.searchsorted(own.edges, at, side="right") - 1
+        a, b, number = _keys(own.low[at], own.high[at])
+        return own, document, at - own.edges[document], a, b, number
+
+    def ask(frame: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        if not len(frame):
+            return pd.DataFrame(columns=["low", "high", "place", "first"])
+        own, document, _, a, b, number = flagged(frame[["doc_id", "text"]], said)
         first = np.full(len(a), LAST)
-        np.minimum.at(first, number, ids[document])
+        np.minimum.at(first, number, own.ids[document])
         return pd.DataFrame(
             # A window's place: its batch, and its number there. Both in one column, as rows are many.
             {"low": a.view(np.int64), "high": b.view(np.int32), "place": (int(frame["batch"].iloc[0]) << 32) + np.arange(len(a)), "first": first}
         )
 
-    asked = dealt.groupBy("batch").applyInPandas(ask, "low bigint, high int, place bigint, first bigint")
+    asked = dealt.groupBy("batch").cogroup(heard.groupBy("batch")).applyInPandas(ask, "low bigint, high int, place bigint, first bigint")
     earlier = F.min("first").over(Window.partitionBy("low", "high"))
-    answers = asked.withColumn("earlier", earlier).where("earlier < first").select(
+    found = asked.withColumn("earlier", earlier).where("earlier < first").select(
         F.shiftright("place", 32).alias("batch"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("idx"), "earlier"
     )
+    # What a batch is told: the sketch's answers and the earlier documents of its windows.
+    none = lambda kind: F.lit(None).cast(kind)
+    told = heard.select("batch", "slice", "cells", none("bigint").alias("idx"), none("bigint").alias("earlier")).unionByName(
+        found.select("batch", none("bigint").alias("slice"), none("binary").alias("cells"), "idx", "earlier")
+    )
 
-    def apply(frame: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+    def apply(frame: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame(columns=names)
-        frame, document, place, low, high, ids = _windows_of(frame, size, shared)
-        a, _, number = _keys(low, high)
+        heard_ = said["cells"].notna()
+        own, document, place, a, _, number = flagged(frame, said[heard_])
         first = np.full(len(a), LAST)
-        np.minimum.at(first, number, ids[document])
-        at = answer["idx"].to_numpy(np.int64)
-        first[at] = np.minimum(first[at], answer["earlier"].to_numpy(np.int64))
-        gone = first[number] < ids[document]
+        np.minimum.at(first, number, own.ids[document])
+        at = said["idx"][~heard_].to_numpy(np.float64).astype(np.int64)
+        first[at] = np.minimum(first[at], said["earlier_"][~heard_].to_numpy(np.int64))
+        gone = first[number] < own.ids[document]
         document, place = document[gone], place[gone]
-        edges = np.searchsorted(document, np.arange(len(frame) + 1))
+        edges = np.searchsorted(document, np.arange(len(own.frame) + 1))
         out = []
-        for i, text in enumerate(frame["text"]):
+        for i, text in enumerate(own.frame["text"]):
             w = words(text)
-            covered = np.zeros(len(w) + 1, np.int64)
             starts = place[edges[i] : edges[i + 1]]
+            covered = np.zeros(len(w) + 1, np.int64)
             np.add.at(covered, starts, 1)
             np.add.at(covered, starts + size, -1)
             stay = np.cumsum(covered[:-1]) == 0
@@ -307,18 +300,20 @@ def _deduplicate(docs, size, rows, cell_bits, keep, result):
             if result == "kept_sha256":
                 kept = hashlib.sha256(kept).hexdigest()
             else:
-                kept = kept.decode("utf-8") if result == "kept" or len(starts) else frame["own"].iat[i]
+                kept = kept.decode("utf-8") if result == "kept" or len(starts) else own.frame["own"].iat[i]
             out.append((len(w), int((~stay).sum()), kept))
         done = pd.DataFrame(out, columns=names[1:4])
-        done.insert(0, "doc_id", frame["doc_id"].values)
+        done.insert(0, "doc_id", own.frame["doc_id"].values)
         for name in names[4:]:
-            done[name] = frame[name].values
+            done[name] = own.frame[name].values
         return done
 
     names = ["doc_id", "n_words", "n_removed", result, *[f"kept_{i}" for i in range(len(keep))]]
     kinds = ["bigint", "bigint", "bigint", "string", *[docs.schema[c].dataType.simpleString() for c in keep]]
+    # Earlier doc_ids are never null; where there is none 0 stands, or pandas would make floats of them all.
+    told = told.withColumn("earlier_", F.coalesce("earlier", F.lit(0))).drop("earlier")
     done = (
-        dealt.groupBy("batch").cogroup(answers.groupBy("batch"))
+        dealt.groupBy("batch").cogroup(told.groupBy("batch"))
         .applyInPandas(apply, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     )
     done = done.withColumn("doc_id", F.nullif("doc_id", F.lit(int(LAST))))
@@ -333,7 +328,7 @@ def trimmed(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     # The operator's own columns come first; further ones by place, as names may clash.
-    done = _deduplicate(docs, size, ROWS, CELL_BITS, others, "text")
+    done = _deduplicate(docs, size, None, others, "text")
     done = done.toDF("doc_id", "words_", "removed_", "text", *[f"own_{i}" for i in range(len(others))])
     place = {"doc_id": "doc_id", "text": "text", **{c: f"own_{i}" for i, c in enumerate(others)}}
 
