@@ -70,3 +70,15 @@ def test_rows_without_doc_id_stay_once_a_class(spark, odd_docs, small):
     for kept in (corpus_pipeline.near_duplicate_stage(spark, docs, small), simhash.representatives(docs)):
         assert sorted(r.text for r in kept.where("doc_id is null").collect()) == sorted({texts[0], texts[3]})
         assert {r.doc_id for r in kept.collect()} >= {0, 4, 8, 9}
+
+
+def test_signatures_of_near_copies_stay_close():
+    """Bits apart follow the Jaccard distance, well inside the limit at 0.8 and well outside at 0.5."""
+    random = np.random.default_rng(5)
+    for j, inside in ((1.0, True), (0.8, True), (0.5, False)):
+        both = random.integers(0, 2**64, 600, dtype=np.uint64)
+        n = int(600 * (1 - j) / (2 * j))
+        a, b = (np.unique(np.concatenate([both, random.integers(0, 2**64, n, dtype=np.uint64)])) for _ in range(2))
+        apart = int(np.bitwise_count((resemblance.signature(a) ^ resemblance.signature(b)).view(np.uint64)).sum())
+        assert (apart <= resemblance.APART) == inside
+        assert abs(apart - resemblance.BITS * (1 - resemblance.jaccard(a, b)) / 2) < 6 * resemblance.BITS**0.5 / 2

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from urna.llm.common import components, split_words, stage
+from urna.llm.common import components, discard, split_words, stage
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints the upper tree is fitted on, and distinct ones it aims at in a shard.
@@ -203,7 +203,7 @@ def shard_stars(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def settle(stars: DataFrame, label: DataFrame) -> DataFrame:
-    """(fp, component): the smallest label reachable over the stars, both written tables."""
+    """(fp, component): the smallest label reachable over the stars, both written tables; ``label`` is removed."""
     while True:
         # Both joins read written tables on both sides, so a large class is a
         # skewed join that can be split; the sums combine before their shuffle.
@@ -216,6 +216,7 @@ def settle(stars: DataFrame, label: DataFrame) -> DataFrame:
         settled = new.join(label.withColumnRenamed("component", "was"), "fp").where(
             ~F.col("component").eqNullSafe(F.col("was"))
         ).isEmpty()
+        discard(low, label)
         label = new
         if settled:
             return label
