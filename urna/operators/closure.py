@@ -129,6 +129,18 @@ def parent_closures(pages: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return closures, mismatches
 
 
+def child_index(edges: DataFrame, closures: DataFrame) -> DataFrame:
+    """(child_url, parent_url, category, election_date) of every closed page, to be stored beside the closures.
+
+    Stored and replaced by election as the closures are, it answers for any child
+    without opening lists of children.
+    """
+    known = closures.select("parent_url", "category", "election_date")
+    return edges.select("child_url", "parent_url").distinct().join(known, "parent_url").select(
+        "child_url", "parent_url", "category", "election_date"
+    )
+
+
 def closures_of_children(closures: DataFrame, edges: DataFrame, children: DataFrame) -> DataFrame:
     """The closure of each given page's parent (children: url)."""
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from urna import fixed_values as fv
 from urna.functions.text import ascii_lower, slug
+from urna.operators.facts import ordered
 
 _NATIONAL_KEYS = (
     "category", "election_date", "region", "constituency", "province", "municipality",
@@ -141,10 +142,13 @@ def municipality_list(raw: DataFrame) -> DataFrame:
     )
 
 
+def nocase_keys() -> tuple:
+    """The order of the municipality list: by name without regard to ASCII case."""
+    return ("category", "election_date", ascii_lower(F.col("comune")).asc_nulls_first(), "comune", "municipality_key")
+
+
 def nocase_order(municipalities: DataFrame) -> DataFrame:
-    return municipalities.orderBy(
-        "category", "election_date", ascii_lower(F.col("comune")), "comune", "municipality_key"
-    )
+    return ordered(municipalities, nocase_keys())
 
 
 def imported_elections(facts: DataFrame, categories: tuple[str, ...]) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urna import fixed_values as fv
 from urna.functions.text import same_nocase, slug, text_key
+from urna.session import stage
 
 RESULT_ORDER = (
     "election_date", "category", "region", "province", "municipality",
@@ -218,18 +219,46 @@ def municipal_output(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(s).alias(o) for s, o in zip(sources, fv.MUNICIPAL_COLUMNS)])
 
 
-def ordered(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Total order, NULLs first."""
-    return df.orderBy(*[F.col(c).asc_nulls_first() for c in order])
+def ordered(df: DataFrame, order: tuple[str | Column, ...]) -> DataFrame:
+    """Total order, NULLs first; a column given as such keeps its own direction."""
+    return df.orderBy(*[F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in order])
 
 
 def page(df: DataFrame, order: tuple[str, ...], *, limit: int = 1000, offset: int = 0) -> DataFrame:
-    """One ordered page (at most 5,000 rows): a top-k, never a full sort."""
+    """One ordered page (at most 5,000 rows): a top-k, never a full sort.
+
+    Every task keeps offset + limit rows; for deep pages see :func:`numbered_page`.
+    """
     if not 1 <= limit <= 5000 or offset < 0:
         raise ValueError("limit must lie between 1 and 5000 and offset must not be negative")
     return ordered(df, order).offset(offset).limit(limit)
 
 
+def numbered(df: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Every row with its ``position`` in the order, from 1.
+
+    A range sort is written once; a row's position is its place in its range plus the
+    rows of all earlier ranges, so no task holds more than its own range.
+    """
+    place = F.monotonically_increasing_id()
+    written = stage(ordered(df, order).withColumn("_place", place))
+    part, at = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    # One row a range: as many as the sort has tasks.
+    counts = written.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_rows")
+    return written.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(
+        "position", F.col("_before") + at + 1
+    ).drop("_place", "_part", "_before")
+
+
+def numbered_page(df: DataFrame, order: tuple[str, ...], *, limit: int = 1000, offset: int = 0) -> DataFrame:
+    """:func:`page` at any depth: the rows at positions offset + 1 to offset + limit, with them."""
+    if not 1 <= limit <= 5000 or offset < 0:
+        raise ValueError("limit must lie between 1 and 5000 and offset must not be negative")
+    return numbered(df, order).where((F.col("position") > offset) & (F.col("position") <= offset + limit))
+
+
 def page_after(df: DataFrame, order: tuple[str, ...], last: dict, *, limit: int = 1000) -> DataFrame:
     """Keyset page: the rows that follow ``last`` in the order.
 

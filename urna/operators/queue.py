@@ -75,13 +75,15 @@ def apply_verifications(queue: DataFrame, verifications: DataFrame) -> DataFrame
     """Status of each item from the stored verification of its place.
 
     A verification under an old bare key counts only if exactly one item of its
-    election ends in that key.
+    election ends in that key.  Its ``source_urls``, if it has them, go to the item.
     """
     election = ["category", "election_date"]
+    carried = "source_urls" in verifications.columns
+    urls = F.col("source_urls") if carried else F.lit(None).cast("array<string>")
     stored = verifications.select(
         *election, "verification_key",
         F.when(F.col("complete_set"), "verified").otherwise("partial").alias("new_status"),
-        "verified_at",
+        "verified_at", urls.alias("urls"),
     )
     bare_item = F.substring_index("municipality_key", "|", -1)
     old = stored.where(~F.col("verification_key").contains(":"))
@@ -97,19 +99,21 @@ def apply_verifications(queue: DataFrame, verifications: DataFrame) -> DataFrame
         .where(F.col("items") == 1)
     )
     by_bare = old.join(sole, [*election, "verification_key"]).select(
-        *QUEUE_KEY, F.col("new_status").alias("bare_status"), F.col("verified_at").alias("bare_at")
+        *QUEUE_KEY, F.col("new_status").alias("bare_status"), F.col("verified_at").alias("bare_at"), F.col("urls").alias("bare_urls")
     )
     by_key = stored.select(
         *election, F.col("verification_key").alias("municipality_key"),
-        "new_status", F.col("verified_at").alias("key_at"),
+        "new_status", F.col("verified_at").alias("key_at"), F.col("urls").alias("key_urls"),
     )
-    return (
+    marked = (
         queue.join(by_key, [*election, "municipality_key"], "left")
         .join(by_bare, list(QUEUE_KEY), "left")
         .withColumn("status", F.coalesce("bare_status", "new_status", "status"))
         .withColumn("updated_at", F.coalesce("bare_at", "key_at"))
-        .drop("bare_status", "new_status", "bare_at", "key_at")
     )
+    if carried:
+        marked = marked.withColumn("source_urls", F.when(F.col("updated_at").isNotNull(), F.coalesce("bare_urls", "key_urls")))
+    return marked.drop("bare_status", "new_status", "bare_at", "key_at", "bare_urls", "key_urls")
 
 
 def list_queue(
@@ -127,26 +131,35 @@ def list_queue(
         out = out.where(F.col("election_date") == F.lit(election_date))
     if status:
         out = out.where(F.col("status") == status)
-    return out.withColumn("round", F.nullif(F.col("round"), F.lit(-1).cast("bigint"))).orderBy(
-        F.col("priority").desc(), "election_date", "category", "municipality"
-    )
+    return out.withColumn("round", F.nullif(F.col("round"), F.lit(-1).cast("bigint"))).orderBy(*urgency())
+
+
+def urgency() -> tuple:
+    """The order of the list: priority, then date, category and municipality."""
+    return (F.col("priority").desc(), "election_date", "category", "municipality")
 
 
 def ledger_merge(ledger: DataFrame, events: DataFrame) -> DataFrame:
     """Fold run events (category, election_date, status, at, sequence) into the ledger.
 
-    The latest event decides status and completion; a run starts at its last
+    The latest event decides status, completion, ``result`` and ``last_error``, where
+    events carry these: an event without them clears them.  A run starts at its last
     ``running`` event, or at the first event ever recorded.
     """
     key = ["category", "election_date"]
-    past = ledger.select(*key, "status", F.col("started_at").alias("at"), F.lit(-1).cast("bigint").alias("sequence"), "completed_at")
-    now = events.select(*key, "status", "at", "sequence", F.when(F.col("status").isin(*_COMPLETED), F.col("at")).alias("completed_at"))
+    notes = [c for c in ("result", "last_error") if c in events.columns]
+    none = lambda c, df: F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
+    past = ledger.select(
+        *key, "status", F.col("started_at").alias("at"), F.lit(-1).cast("bigint").alias("sequence"), "completed_at", *[none(c, ledger) for c in notes]
+    )
+    now = events.select(*key, "status", "at", "sequence", F.when(F.col("status").isin(*_COMPLETED), F.col("at")).alias("completed_at"), *notes)
     both = past.unionByName(now)
     running = F.when((F.col("status") == "running") & (F.col("sequence") >= 0), F.col("sequence"))
+    last = F.max_by(F.struct("completed_at", *notes), "sequence")
     return both.groupBy(*key).agg(
         F.max_by("status", "sequence").alias("status"),
         F.coalesce(F.max_by("at", running), F.min_by("at", "sequence")).alias("started_at"),
-        F.max_by(F.struct("completed_at"), "sequence")["completed_at"].alias("completed_at"),
+        *[last[c].alias(c) for c in ("completed_at", *notes)],
     )
 
 

@@ -10,14 +10,9 @@ from urna.operators import colleges, coverage, facts as reads, layers, queue, re
 from urna.plans.audit_queries import TOTALS_SQL, UNITS_SQL, place_layers, stored_verifications
 from urna.plans.election_view import archives, facts, sql_facts, stored_facts, table
 from urna.plans.shape import plain
-from urna.sinks import exports, manifest as digests
+from urna.sinks import exports
 
 QUERIES, ORACLE = {}, {}
-_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-    "embeddings", "pages", "benchmark", "labels", "conversations",
-)
-
 
 def query(sql: str | None = None):
     def register(function):
@@ -40,7 +35,7 @@ qi AS (SELECT category, election_date, coalesce(round,-1) AS round, place AS mun
 qp AS (SELECT * FROM qi QUALIFY row_number() OVER (PARTITION BY category, election_date, round, municipality_key
          ORDER BY priority DESC, region NULLS FIRST, province NULLS FIRST, constituency NULLS FIRST, municipality) = 1),
 qv AS (SELECT CASE WHEN votes%5=0 AND place LIKE 'p:%' THEN split_part(place,'|',2) ELSE place END AS vkey, category,
-              election_date, votes%3=0 AS complete FROM b
+              election_date, votes%3=0 AS complete, concat('https://elezionistorico.interno.gov.it/?k=', place) AS url FROM b
        QUALIFY row_number() OVER (PARTITION BY vkey, category, election_date ORDER BY votes*100000+coalesce(electors,0) DESC) = 1),
 qm AS (SELECT qp.* EXCLUDE (priority), priority + CASE WHEN category='camera' AND round=-1 THEN 5 ELSE 0 END AS priority,
               CASE WHEN category='camera' THEN 'failed' ELSE 'pending' END AS old_status,
@@ -48,7 +43,8 @@ qm AS (SELECT qp.* EXCLUDE (priority), priority + CASE WHEN category='camera' AN
 qb AS (SELECT qm.category, qm.election_date, split_part(municipality_key,'|',2) AS bare, count(*) AS n
        FROM qm GROUP BY ALL),
 q AS (SELECT qm.* EXCLUDE (old_status), coalesce(CASE WHEN bv.complete THEN 'verified' WHEN NOT bv.complete THEN 'partial' END,
-             CASE WHEN kv.complete THEN 'verified' WHEN NOT kv.complete THEN 'partial' END, old_status) AS status
+             CASE WHEN kv.complete THEN 'verified' WHEN NOT kv.complete THEN 'partial' END, old_status) AS status,
+             coalesce(bv.url, kv.url) AS source_urls
       FROM qm LEFT JOIN qv kv ON kv.category=qm.category AND kv.election_date=qm.election_date AND kv.vkey=qm.municipality_key
       LEFT JOIN qb ON qb.category=qm.category AND qb.election_date=qm.election_date AND qb.bare=split_part(qm.municipality_key,'|',2) AND qb.n=1
       LEFT JOIN qv bv ON bv.category=qm.category AND bv.election_date=qm.election_date AND bv.vkey=qb.bare AND strpos(bv.vkey,':')=0)
@@ -72,14 +68,14 @@ def _queue(spark, sf_dir) -> DataFrame:
 
 @query(sql_facts("," + UNITS_SQL + "," + _QUEUE) + """
 SELECT category, CAST(election_date AS VARCHAR) AS election_date, round, municipality_key, region, province,
-       constituency, municipality, priority, status, attempts FROM q""")
+       constituency, municipality, priority, status, attempts, source_urls FROM q""")
 def queue_seed(spark, sf_dir):
     return plain(_queue(spark, sf_dir))
 
 
 @query(sql_facts("," + UNITS_SQL + "," + _QUEUE) + """
 SELECT category, CAST(election_date AS VARCHAR) AS election_date, nullif(round,-1) AS round, municipality_key, region,
-       province, constituency, municipality, priority, status, attempts FROM q WHERE category='camera' AND status='partial'""")
+       province, constituency, municipality, priority, status, attempts, source_urls FROM q WHERE category='camera' AND status='partial'""")
 def queue_list(spark, sf_dir):
     return plain(queue.list_queue(_queue(spark, sf_dir), category="camera", status="partial"))
 
@@ -190,16 +186,7 @@ def import_totals(spark, sf_dir):
     return coverage.import_totals(raw, rows, ["archive"])
 
 
-# Manifests and exports -----------------------------------------------------------
-
-
-@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows, 'same' AS outcome FROM {t}" for t in _TABLES))
-def manifest(spark, sf_dir):
-    """Manifest of every table, checked against a copy in another row order."""
-    tables = {t: table(spark, sf_dir, t) for t in _TABLES}
-    written = digests.manifest(tables)
-    copies = digests.manifest({t: df.repartition(3) for t, df in tables.items()})
-    return written.select("table", "rows").join(digests.verify_manifest(written, copies), "table")
+# Exports -----------------------------------------------------------
 
 
 def _sql_line(columns: list[str]) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,44 @@ def write_csv(rows: DataFrame, path: str, columns: tuple[str, ...], order: tuple
     )
 
 
+def write_export(
+    rows: DataFrame, path: str, columns: tuple[str, ...], order: tuple[str, ...], renamed: dict[str, str] | None = None
+) -> list[str]:
+    """Write an ordered export of any size whose files, joined end to end, are one CSV file.
+
+    ``path`` gets a file with mark and header, range-sorted parts without either, and
+    ``ORDER``, the names in the order in which they belong together; these are
+    returned. The last file to appear is ``ORDER``: without it an export is not done.
+    """
+    spark = rows.sparkSession
+    export_lines(ordered(rows, order), columns).write.text(f"{path}/parts", lineSep="\n")
+    java = spark._jvm.org.apache.hadoop.fs
+    files = java.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def put(name: str, text: str) -> None:
+        out = files.create(java.Path(f"{path}/{name}"), False)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+
+    put("HEADER", header_line(columns, renamed) + "\n")
+    # As many names as the sort had tasks; a part's name begins with its task's number.
+    found = sorted(x.getPath().getName() for x in files.listStatus(java.Path(f"{path}/parts")))
+    names = ["HEADER", *[f"parts/{n}" for n in found if n.startswith("part-")]]
+    put("ORDER", "\n".join(names) + "\n")
+    return names
+
+
+def read_export(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of a finished export with the number of its file in ``ORDER``."""
+    listed = spark.read.text(f"{path}/ORDER").select(F.col("value").alias("name"), F.monotonically_increasing_id().alias("file"))
+    base = F.regexp_extract(F.input_file_name(), r"((?:parts/)?[^/]+)$", 1)
+    lines = spark.read.text([f"{path}/HEADER", f"{path}/parts"]).select(base.alias("name"), F.col("value").alias("line"))
+    # One name a file: as short as the list of the sort's tasks.
+    return lines.join(F.broadcast(listed), "name").select("file", "line")
+
+
 RESULT_SORT = (
     "data", "tipo_elezione", "regione", "provincia", "comune", "numero_quesito", "tipo_risultato",
     "soggetto", "fonte_file", "fonte_riga",
@@ -62,8 +100,20 @@ MUNICIPAL_SORT = ("data", "regione", "provincia", "comune", "partito", "candidat
 COVERAGE_NAMES = {"file_count": "fonte_file_count"}
 
 
-def write_results(rows: DataFrame, path: str) -> None:
-    write_csv(rows, path, fv.RESULT_COLUMNS, RESULT_SORT)
+def write_results(rows: DataFrame, path: str) -> list[str]:
+    """The full history export: 36 columns in their order, one file after the other."""
+    return write_export(rows, path, fv.RESULT_COLUMNS, RESULT_SORT)
+
+
+def payload_lines(rows: DataFrame) -> DataFrame:
+    """Rows with maps and lists as JSON lines, keys of a map in order; nulls are left out."""
+    columns = []
+    for field in rows.schema.fields:
+        c = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.MapType):
+            c = F.map_from_entries(F.array_sort(F.map_entries(c)))
+        columns.append(c.alias(field.name))
+    return rows.select(F.to_json(F.struct(*columns)).alias("line"))
 
 
 def write_coverage(rows: DataFrame, path: str) -> None:

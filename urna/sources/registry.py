@@ -16,7 +16,8 @@ _WORDS = (
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=_REGISTRY)
+    """Registry rows; a quote inside a field is doubled, as CSV writers do."""
+    return spark.read.csv(path, header=True, schema=_REGISTRY, escape='"')
 
 
 def read_words(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
