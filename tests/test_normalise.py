@@ -78,3 +78,26 @@ def test_sections_are_summed_only_without_aggregate_rows(spark):
 def test_region_comes_from_the_constituency_prefix(spark):
     row = results(spark, "senato", {"circ_reg": "Lombardia 2", "lista": "X", "voti_lista": "1"}, region=None)[0]
     assert (row["region"], row["constituency"]) == ("LOMBARDIA", "Lombardia 2")
+
+
+def test_only_contexts_that_differ_are_filled(spark, monkeypatch):
+    """Contexts with equal figures, with differing ones, and with null keys; the result is the same however crowded the filter."""
+    from urna.operators import normalise as own
+
+    payloads = []
+    for n in range(40):
+        place = {"municipality": f"C{n % 13}", "province": None if n % 5 == 0 else f"P{n % 3}"}
+        figures = {"elettoritot": "1000"} if n % 13 < 6 else {"elettoritot": str(1000 + n)} if n % 2 else {}
+        payloads.append(({"turno": "1", "lista": f"L{n}", "voti_lista": str(n), "votantitot": "600", **figures}, place))
+
+    def expected():
+        first = {}
+        for p, place in payloads:
+            key = (place["municipality"], place["province"])
+            if "elettoritot" in p:
+                first.setdefault(key, int(p["elettoritot"]))
+        return sorted((p["lista"], first.get((place["municipality"], place["province"]))) for p, place in payloads)
+
+    for bits in (1 << 23, 1 << 15):
+        monkeypatch.setattr(own, "_FILTER_BITS", bits)
+        assert sorted((r["subject"], r["electors"]) for r in results(spark, "comunali", *payloads)) == expected()

@@ -118,6 +118,20 @@ def test_scanned_names_prefer_edits_and_refuse_ties(spark):
     assert found["BARANO"][0] is None and found["ZZZZ"] == (None, None)
 
 
+def test_names_are_found_by_pieces_as_by_comparing_all(spark, monkeypatch):
+    import itertools
+
+    official = ["".join(x) for x in itertools.product(("MONTE", "CASTEL", "SAN "), ("ROSSO", "VERDE", "NOVO"), ("", " ALTO"))]
+    scanned = [n[:k] + n[k + 1 :] for n in official for k in (1, 4, 7)] + [n[:3] + "X" + n[3:] for n in official]
+    names = spark.createDataFrame([("g", n) for n in official], "geography string, name string")
+    asked = spark.createDataFrame([("g", t) for t in scanned], "geography string, text string")
+    found = []
+    for direct in (256, 0):
+        monkeypatch.setattr(colleges, "DIRECT", direct)
+        found.append(sorted((r["text"], r["municipality"], round(r["score"] or 0, 9)) for r in colleges.match_names(asked, names).collect()))
+    assert found[0] == found[1] and any(m for _, m, _ in found[0])
+
+
 def test_decree_entries(spark):
     lines = ["( RM-MONTI )", "C RM-PRENESTINO-LABICANO", "{ FI EX-QUART.1 })", "{ PARMA-CIRC.1 )", "PONT-CANAVESE", "SAINT-MARCEL", "BORGARO TORINESE"]
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "college int, line_no int, line string")
