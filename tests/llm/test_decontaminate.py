@@ -120,3 +120,19 @@ def test_items_of_numbers_and_names_are_found_verbatim(spark):
     ], "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(docs, items).collect()}
     assert got == {(0, 1, "verbatim"), (2, 2, "verbatim"), (4, 3, "verbatim")}
+
+
+def test_repetitive_texts_take_no_longer_than_their_length(spark):
+    """Every place of such a text is a diagonal of its own; slots among them share one reading of the text."""
+    import time
+
+    items = spark.createDataFrame(
+        [(1, "go " * 30), (2, "row row row your boat row row row your boat row"), (3, "go " * 9 + "7 " + "go " * 9)], "item_id bigint, text string"
+    )
+    texts = ["go " * 500, "go " * 20_000, "row row row your boat " * 4000, ("go " * 9 + "8 ") * 1500, "x " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    start = time.time()
+    got = {(r.doc_id, r.item_id): (r.covered, r.kind) for r in decontaminate.leaks(docs, items).collect()}
+    assert time.time() - start < 90
+    assert got[0, 1] == got[1, 1] == (30, "verbatim") and got[2, 2] == (11, "verbatim") and got[3, 3] == (19, "reparameterised")
+    assert not any(d == 4 for d, _ in got)

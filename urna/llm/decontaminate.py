@@ -15,8 +15,9 @@ merely has the same shape with unrelated values is not.
 
 Windows that are mostly placeholders say nothing as templates: on both sides their
 key is made of the tokens with their values, so number- or name-heavy items are
-found where they are copied verbatim. Items shorter than a window are compared whole. The benchmark's windows are
-broadcast if there are at most ``BROADCAST_WINDOWS`` of them, else joined by shuffle.
+found where they are copied verbatim. Items shorter than a window are compared whole:
+such an item leaks wherever all its tokens stand in a row, however few they are. The
+benchmark's windows are broadcast if there are at most ``BROADCAST_WINDOWS`` of them, else joined by shuffle.
 
 Defined cases: null and empty texts have no tokens and no leaks; items without
 tokens match nothing; rows without doc_id or item_id are in no pair (and stay in
@@ -155,48 +156,63 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             "doc_id", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("covered"), F.lit(0).alias("n_tokens"),
             F.lit("").alias("kind"),
         ).where(F.lit(False))
+    # Which places of an item are slots: as many rows as the benchmark has items.
+    tokens = benchmark.where(F.col("item_id").isNotNull()).select("item_id", _tokens(_marked(F.col("text"))).alias("t"))
+    slots = tokens.select("item_id", F.filter(
+        F.transform("t", lambda w, i: F.when(~_literal(w), i + 1)), lambda i: i.isNotNull()
+    ).alias("slots")).distinct()
     covered = F.array_sort(F.array_distinct(F.flatten(
         F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1))
     )))
+    pair = ["doc_id", "item_id", "n_tokens"]
     in_turn = Window.partitionBy("doc_id", "item_id").orderBy("diagonal")
-    runs = (
-        found.select("doc_id", "item_id", "diagonal", "n_tokens", covered.alias("cover"))
+    lines = (
+        found.select(*pair, "diagonal", covered.alias("cover"))
         .withColumn("apart", (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(in_turn), F.lit(0)) > GAP).cast("int"))
-        .withColumn("run", F.sum("apart").over(in_turn))
-        .groupBy("doc_id", "item_id", "n_tokens", "run")
-        .agg(F.collect_list(F.struct(F.size("cover").alias("n"), (-F.col("diagonal")).alias("back"), "diagonal", "cover")).alias("parts"))
-        .withColumn("places", F.array_distinct(F.flatten("parts.cover"))).where(F.size("places") >= enough(F.col("n_tokens")))
+        .withColumn("run", F.sum("apart").over(in_turn)).withColumn("n", F.size("cover"))
     )
+    reaches = F.col("covered") >= enough(F.col("n_tokens"))
 
     def cell(place: Column, diagonal: Column) -> Column:
         return F.struct(place.alias("place"), (place + diagonal).alias("at"))
 
-    def longest(place: Column) -> Column:
-        return F.array_max(F.filter("parts", lambda x: F.array_contains(x["cover"], place)))["diagonal"]
-
-    one = F.transform(
-        F.filter("parts", lambda x: x["n"] >= enough(F.col("n_tokens"))), lambda x: F.transform(x["cover"], lambda p: cell(p, x["diagonal"]))
+    one = lines.select(
+        *pair, F.col("n").alias("covered"), F.transform("cover", lambda p: cell(p, F.col("diagonal"))).alias("cells")
+    ).where(reaches)
+    # Of the diagonals that cover a place of the item the one that covers most, place by
+    # place, as a text of few different words has a diagonal for each of its places.
+    best = F.max(F.struct("n", (-F.col("diagonal")).alias("back"), "diagonal"))
+    several = (
+        lines.select(*pair, "run", "n", "diagonal", F.explode("cover").alias("place"))
+        .groupBy(*pair, "run", "place").agg(best.alias("best"), F.min("diagonal").alias("least"), F.max("diagonal").alias("most"))
+        .groupBy(*pair, "run").agg(
+            F.collect_list(cell(F.col("place"), F.col("best.diagonal"))).alias("cells"),
+            (F.min("least") < F.max("most")).alias("more"), F.count(F.lit(1)).cast("int").alias("covered"),
+        )
+        .where(reaches & F.col("more")).select(*pair, "covered", F.array_sort("cells").alias("cells"))
     )
-    several = F.when(F.size("parts") > 1, F.array(F.transform("places", lambda p: cell(p, longest(p))))).otherwise(F.slice(one, 1, 0))
-    likely = runs.select("doc_id", "item_id", "n_tokens", F.explode(F.concat(one, several)).alias("cells")).withColumn("covered", F.size("cells"))
-    # Values of the slots, read only where enough is covered.
-    items = benchmark.select("item_id", _marked(F.col("text")).alias("item"))
-    both = likely.join(items, "item_id").join(docs, "doc_id").withColumn("marked", _marked(F.col("text"))).drop("text")
-    def pairs(cells: Column, item: Column, doc: Column) -> Column:
+    likely = one.unionByName(several).join(slots, "item_id").withColumn("open", F.arrays_overlap("cells.place", "slots"))
+    # Without a slot there are no values to look at; with one, all of a pair's lines share one reading of the text.
+    settled = likely.where(~F.col("open")).groupBy(*pair).agg(F.max(F.struct("covered", F.lit("verbatim").alias("kind"))).alias("best"))
+    asked = likely.where("open").groupBy(*pair).agg(F.collect_list(F.struct("covered", "cells")).alias("lines"))
+    both = asked.join(tokens, "item_id").join(docs, "doc_id")
+
+    def values(cells: Column, item: Column, doc: Column) -> Column:
         return F.array_distinct(F.transform(
-            F.filter(cells, lambda c: F.get(item, c["place"] - 1).rlike(f"^[{NAME}-{UNIT}]")),
+            F.filter(cells, lambda c: ~_literal(F.get(item, c["place"] - 1))),
             lambda c: F.struct(F.get(item, c["place"] - 1).alias("a"), F.get(doc, c["at"] - 1).alias("b")),
         ))
 
-    slots = _let(F.col("cells"), lambda c: _let(_tokens(F.col("item")), lambda i: _let(_tokens(F.col("marked")), lambda d: pairs(c, i, d))))
-    checked = (
-        both.withColumn("slots", slots).drop("marked", "item", "cells")
-        .where(F.size(F.array_distinct(F.col("slots.a"))) == F.size("slots"))
-        .withColumn("kind", F.when(F.forall("slots", lambda s: s.a.eqNullSafe(s.b)), "verbatim").otherwise("reparameterised"))
-    )
-    # Of several diagonals and runs of a pair the longest, a verbatim one first.
-    best = F.max(F.struct("covered", "kind"))
-    return checked.groupBy("doc_id", "item_id", "n_tokens").agg(best.alias("best")).select(
+    def judged(line: Column, met: Column) -> Column:
+        consistent = F.size(F.array_distinct(F.transform(met, lambda v: v["a"]))) == F.size(met)
+        kind = F.when(F.forall(met, lambda v: v["a"].eqNullSafe(v["b"])), "verbatim").otherwise("reparameterised")
+        return F.when(consistent, F.struct(line["covered"].alias("covered"), kind.alias("kind")))
+
+    checked = both.select(*pair, _let(_tokens(_marked(F.col("text"))), lambda d: F.array_max(F.transform(
+        "lines", lambda x: _let(values(x["cells"], F.col("t"), d), lambda v: judged(x, v))
+    ))).alias("best")).where(F.col("best").isNotNull())
+    # Of several lines of a pair the longest, a verbatim one first.
+    return settled.unionByName(checked).groupBy(*pair).agg(F.max("best").alias("best")).select(
         "doc_id", "item_id", F.col("best.covered").alias("covered"), "n_tokens", F.col("best.kind").alias("kind")
     )
 
