@@ -41,6 +41,7 @@ def test_odd_texts_in_many_batches(spark, odd_docs, no_docs, monkeypatch):
     rows = [tuple(r) for r in odd_docs.select("doc_id", "text").collect()]
     assert _got(substring.digests(odd_docs)) == _brute(rows)
     monkeypatch.setattr(substring, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(substring, "BLOCK", 40)
     assert _got(substring.digests(odd_docs)) == _brute(rows)
     assert substring.digests(no_docs).count() == 0
 
@@ -57,25 +58,26 @@ def test_a_crowded_sketch_changes_nothing(spark, small, monkeypatch):
 def test_merged_counts_never_fall_short(spark, small):
     """Every batch hears of all its windows that repeat, and of few that do not."""
     texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect()]
-    frames = [pd.DataFrame({"doc_id": range(b, len(texts), 5), "text": texts[b::5]}) for b in range(5)]
     cells, slices = 22, 4
-    batches = [substring.Windows(f, 13) for f in frames]
+    batches = [list(substring.blocks(texts[b::5], 13)) for b in range(5)]
     by_slice = {}
     for b, own in enumerate(batches):
-        for s, once, twice in substring.pieces(own.distinct(), cells, slices):
-            by_slice.setdefault(s, []).append((b, once, twice))
+        for _, edges, low, _ in own:
+            for s, once, twice in substring.pieces(substring.distinct(edges, low), cells, slices):
+                by_slice.setdefault(s, []).append((b, once, twice))
     heard = {b: [] for b in range(5)}
     for s, parts in by_slice.items():
         for b, found in substring.merged(parts, cells - slices):
             heard[b].append((s, found))
-    keys, times = np.unique(np.concatenate([b.distinct() for b in batches]), return_counts=True)
+    keys, times = np.unique(np.concatenate([substring.distinct(e, low) for own in batches for _, e, low, _ in own]), return_counts=True)
     single = 0
     for b, own in enumerate(batches):
-        said = substring._heard(pd.DataFrame(heard[b], columns=["slice", "cells"]), slices, cells)
-        found = own.low[own.repeated(said, cells)]
-        repeats = times[np.searchsorted(keys, own.low)] > 1
-        assert repeats.any() and np.isin(own.low[repeats], found).all()
-        single += (~np.isin(own.low[~repeats], found)).mean()
+        said = substring.heard_by(pd.DataFrame(heard[b], columns=["slice", "cells"]), cells, slices)
+        all_ = np.concatenate([low for _, _, low, _ in own])
+        found = all_[said.repeated(all_)]
+        repeats = times[np.searchsorted(keys, all_)] > 1
+        assert repeats.any() and np.isin(all_[repeats], found).all()
+        single += (~np.isin(all_[~repeats], found)).mean()
     assert single / 5 > 0.8
 
 

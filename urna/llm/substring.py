@@ -48,8 +48,8 @@ WINDOW = 13
 ROWS, CELLS, WINDOW_BYTES = 2, 8, 6
 #: Slices of a row that are merged apart: windows each should hold, their number, and bits of the cells in one.
 SLICE_WINDOWS, MOST_SLICES, MOST_BITS = 1 << 17, 1 << 13, 26
-#: Bytes of text in one batch, on average.
-BATCH_BYTES = 24_000_000
+#: Bytes of text in one batch, on average, and windows of one that are hashed at a time.
+BATCH_BYTES, BLOCK = 24_000_000, 1 << 19
 #: A doc_id after all others, for null.
 LAST = np.int64(2**63 - 1)
 
@@ -98,45 +98,61 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
 
 
-class Windows:
-    """A batch: its documents in order, and the hashes of their windows."""
+def in_order(frame: pd.DataFrame) -> pd.DataFrame:
+    """A batch's documents in order; ``own`` is the text as it came."""
+    frame = frame.assign(own=frame["text"], text=[t if isinstance(t, str) else "" for t in frame["text"]])
+    return frame.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
 
-    def __init__(self, frame: pd.DataFrame, size: int):
-        frame = frame.assign(own=frame["text"], text=[t if isinstance(t, str) else "" for t in frame["text"]])
-        self.frame = frame.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
-        self.ids = self.frame["doc_id"].to_numpy(np.int64)
-        parts = [window_hashes(words(t), size) for t in self.frame["text"]]
-        self.edges = np.concatenate([[0], np.cumsum([len(low) for low, _ in parts])])
-        self.low = np.concatenate([np.zeros(0, np.uint64), *[low for low, _ in parts]])
-        self.high = np.concatenate([np.zeros(0, np.uint32), *[high for _, high in parts]])
 
-    def distinct(self) -> np.ndarray:
-        """Each document's different windows, one after the other."""
-        own = [np.unique(self.low[a:b]) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
-        return np.concatenate([np.zeros(0, np.uint64), *own])
+def blocks(texts, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first document, edges, low, high): the windows of some documents at a time, ``BLOCK`` or one document's."""
+    held, first, windows = [], 0, 0
 
-    def repeated(self, answers: dict[int, np.ndarray], cell_bits: int) -> np.ndarray:
-        """Numbers of the windows that are estimated to occur at least twice.
+    def sent():
+        low, high = (np.concatenate([h[k] for h in held]) for k in range(2))
+        return first, np.concatenate([[0], np.cumsum([len(x) for x, _ in held])]), low, high
 
-        ``answers``: by row of the sketch the batch's cells that count two or more, sorted.
-        """
-        left = np.arange(len(self.low))
+    for i, text in enumerate(texts):
+        held.append(window_hashes(words(text), size))
+        windows += len(held[-1][0])
+        if windows > BLOCK:
+            yield sent()
+            held, first, windows = [], i + 1, 0
+    if held:
+        yield sent()
+
+
+class Answers:
+    """What a batch heard of the merged sketch: by row its cells that count two or more."""
+
+    def __init__(self, rows: dict[int, np.ndarray], cell_bits: int):
+        self.cell_bits, self.rows = cell_bits, rows
+        bits = min(cell_bits, 24)
+        self.mask, self.seen = np.uint64((1 << bits) - 1), {}
+        for row, known in rows.items():
+            # A small bitmap first: few windows need the search.
+            self.seen[row] = np.zeros(1 << bits, bool)
+            self.seen[row][known & self.mask] = True
+
+    def repeated(self, low: np.ndarray) -> np.ndarray:
+        """Numbers of the windows that are estimated to occur at least twice."""
+        left = np.arange(len(low))
         for row in range(ROWS):
-            known = answers.get(row)
-            if known is None or not len(known):
+            if row not in self.rows:
                 return np.zeros(0, np.int64)
-            # A small bitmap first: few windows need the search.
-            bits = min(cell_bits, 24)
-            mask, seen = np.uint64((1 << bits) - 1), np.zeros(1 << bits, bool)
-            seen[known & mask] = True
-            cells = _cells(self.low[left], row, cell_bits)
-            some = seen[cells & mask]
+            known, cells = self.rows[row], _cells(low[left], row, self.cell_bits)
+            some = self.seen[row][cells & self.mask]
             left, cells = left[some], cells[some]
             at = np.minimum(np.searchsorted(known, cells), len(known) - 1)
             left = left[known[at] == cells]
         return left
 
 
+def distinct(edges: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Each document's different windows, one after the other."""
+    return np.concatenate([np.zeros(0, np.uint64), *[np.unique(low[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]])
+
+
 def pieces(low: np.ndarray, cell_bits: int, slice_bits: int) -> Iterator[tuple[int, bytes, bytes]]:
     """(slice, cells that are touched, those of them touched twice) of a partition's sketch."""
     inside = np.uint64(cell_bits - slice_bits)
@@ -171,8 +187,10 @@ def answers(dealt: DataFrame, size: int, cell_bits: int, slice_bits: int) -> Dat
     bits = cell_bits - slice_bits
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        batch = int(frame["batch"].iloc[0])
-        out = [(batch, *p) for p in pieces(Windows(frame, size).distinct(), cell_bits, slice_bits)]
+        batch, out = int(frame["batch"].iloc[0]), []
+        # One sketch a block of the batch: only packed cells are held.
+        for _, edges, low, _ in blocks(frame["text"], size):
+            out += [(batch, *p) for p in pieces(distinct(edges, low), cell_bits, slice_bits)]
         return pd.DataFrame(out, columns=["batch", "slice", "once", "twice"])
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,14 +215,13 @@ def answers(dealt: DataFrame, size: int, cell_bits: int, slice_bits: int) -> Dat
     return sorted_.mapInPandas(merge, "batch bigint, slice bigint, cells binary")
 
 
-def _heard(frame: pd.DataFrame, slice_bits: int, cell_bits: int) -> dict[int, np.ndarray]:
-    """The answers of a batch as sorted cells by row of the sketch."""
+def heard_by(frame: pd.DataFrame, cell_bits: int, slice_bits: int) -> Answers:
+    """The answers (slice, cells) of a batch."""
     inside, out = np.uint64(cell_bits - slice_bits), {}
-    frame = frame.sort_values("slice")
     for own, cells in zip(frame["slice"], frame["cells"], strict=True):
         row, s = divmod(int(own), 1 << slice_bits)
         out.setdefault(row, []).append(_unpack(cells).astype(np.uint64) + (np.uint64(s) << inside))
-    return {row: np.concatenate(parts) for row, parts in out.items()}
+    return Answers({row: np.unique(np.concatenate(parts)) for row, parts in out.items()}, cell_bits)
 
 
 def _keys(low: np.ndarray, high: np.ndarray):
@@ -247,23 +264,25 @@ def _deduplicate(docs, size, bits, keep, result):
     heard = stage(answers(dealt, size, cell_bits, slice_bits))
 
     def flagged(frame: pd.DataFrame, said: pd.DataFrame):
-        """A batch, its windows that may repeat (document, place, hashes) and their number among the different ones."""
-        own = Windows(frame, size)
-        at = own.repeated(_heard(said, slice_bits, cell_bits), cell_bits)
-        document = np.searchsorted(own.edges, at, side="right") - 1
-        a, b, number = _keys(own.low[at], own.high[at])
-        return own, document, at - own.edges[document], a, b, number
+        """A batch in order, its windows that may repeat (document, place, hashes) and their number among the different ones."""
+        frame, known, parts = in_order(frame), heard_by(said, cell_bits, slice_bits), []
+        for start, edges, low, high in blocks(frame["text"], size):
+            at = known.repeated(low)
+            document = np.searchsorted(edges, at, side="right") - 1
+            parts.append((start + document, at - edges[document], low[at], high[at]))
+        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        document, place, low, high = (np.concatenate([p[k] for p in (empty, *parts)]) for k in range(4))
+        return frame, frame["doc_id"].to_numpy(np.int64), document, place, *_keys(low, high)
 
     def ask(frame: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
         if not len(frame):
             return pd.DataFrame(columns=["low", "high", "place", "first"])
-        own, document, _, a, b, number = flagged(frame[["doc_id", "text"]], said)
+        batch = int(frame["batch"].iloc[0]) << 32
+        _, ids, document, _, a, b, number = flagged(frame[["doc_id", "text"]], said)
         first = np.full(len(a), LAST)
-        np.minimum.at(first, number, own.ids[document])
-        return pd.DataFrame(
-            # A window's place: its batch, and its number there. Both in one column, as rows are many.
-            {"low": a.view(np.int64), "high": b.view(np.int32), "place": (int(frame["batch"].iloc[0]) << 32) + np.arange(len(a)), "first": first}
-        )
+        np.minimum.at(first, number, ids[document])
+        # A window's place: its batch, and its number there. Both in one column, as rows are many.
+        return pd.DataFrame({"low": a.view(np.int64), "high": b.view(np.int32), "place": batch + np.arange(len(a)), "first": first})
 
     asked = dealt.groupBy("batch").cogroup(heard.groupBy("batch")).applyInPandas(ask, "low bigint, high int, place bigint, first bigint")
     earlier = F.min("first").over(Window.partitionBy("low", "high"))
@@ -280,16 +299,16 @@ def _deduplicate(docs, size, bits, keep, result):
         if not len(frame):
             return pd.DataFrame(columns=names)
         heard_ = said["cells"].notna()
-        own, document, place, a, _, number = flagged(frame, said[heard_])
+        frame, ids, document, place, a, _, number = flagged(frame, said[heard_])
         first = np.full(len(a), LAST)
-        np.minimum.at(first, number, own.ids[document])
+        np.minimum.at(first, number, ids[document])
         at = said["idx"][~heard_].to_numpy(np.float64).astype(np.int64)
         first[at] = np.minimum(first[at], said["earlier_"][~heard_].to_numpy(np.int64))
-        gone = first[number] < own.ids[document]
+        gone = first[number] < ids[document]
         document, place = document[gone], place[gone]
-        edges = np.searchsorted(document, np.arange(len(own.frame) + 1))
+        edges = np.searchsorted(document, np.arange(len(frame) + 1))
         out = []
-        for i, text in enumerate(own.frame["text"]):
+        for i, text in enumerate(frame["text"]):
             w = words(text)
             starts = place[edges[i] : edges[i + 1]]
             covered = np.zeros(len(w) + 1, np.int64)
@@ -300,12 +319,12 @@ def _deduplicate(docs, size, bits, keep, result):
             if result == "kept_sha256":
                 kept = hashlib.sha256(kept).hexdigest()
             else:
-                kept = kept.decode("utf-8") if result == "kept" or len(starts) else own.frame["own"].iat[i]
+                kept = kept.decode("utf-8") if result == "kept" or len(starts) else frame["own"].iat[i]
             out.append((len(w), int((~stay).sum()), kept))
         done = pd.DataFrame(out, columns=names[1:4])
-        done.insert(0, "doc_id", own.frame["doc_id"].values)
+        done.insert(0, "doc_id", frame["doc_id"].values)
         for name in names[4:]:
-            done[name] = own.frame[name].values
+            done[name] = frame[name].values
         return done
 
     names = ["doc_id", "n_words", "n_removed", result, *[f"kept_{i}" for i in range(len(keep))]]
