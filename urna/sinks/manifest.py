@@ -111,7 +111,7 @@ def run_counts(ledger: DataFrame) -> DataFrame:
 
 
 def verify_manifest(written: DataFrame, found: DataFrame) -> DataFrame:
-    """Table by table: same, different, missing or unexpected."""
+    """Table by table: same, different, missing or unexpected, with the figures found."""
     a = written.select("table", F.struct("rows", "digest_sum", "digest_xor").alias("w"))
     b = found.select("table", F.struct("rows", "digest_sum", "digest_xor").alias("f"))
     return a.join(b, "table", "full_outer").select(
@@ -121,4 +121,5 @@ def verify_manifest(written: DataFrame, found: DataFrame) -> DataFrame:
         .when(F.col("w") == F.col("f"), "same")
         .otherwise("different")
         .alias("outcome"),
+        "f.*",
     )
