@@ -186,19 +186,24 @@ def shard_stars(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            fp = frame["fp"].to_numpy(np.int64).view(np.uint64)
+            fp, out = frame["fp"].to_numpy(np.int64).view(np.uint64), []
             for shard, rows, home in tree.route(fp, radius):
-                yield pd.DataFrame({"shard": shard, "fp": fp[rows].view(np.int64), "home": home})
+                # Eight bytes a fingerprint, not a row.
+                out.append((shard, fp[rows[home]].tobytes(), fp[rows[~home]].tobytes()))
+            yield pd.DataFrame(out, columns=["shard", "points", "visitors"])
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("fp")
-        fp = frame["fp"].to_numpy(np.int64).view(np.uint64)
-        label = linked(fp, np.flatnonzero(frame["home"].to_numpy(bool)), radius)
+        points, visitors = (np.frombuffer(b"".join(frame[c]), np.uint64) for c in ("points", "visitors"))
+        # In one order, whatever order the rows came in: numbers as they are stored, negative ones first.
+        fp, home = np.concatenate([points, visitors]), np.arange(len(points) + len(visitors)) < len(points)
+        order = np.argsort(fp.view(np.int64), kind="stable")
+        fp, home = fp[order], home[order]
+        label = linked(fp, np.flatnonzero(home), radius)
         members = np.bincount(label, minlength=len(fp))[label] > 1
         star = [xxhash.xxh64_intdigest(f"{frame['shard'].iloc[0]}:{x}") for x in fp[label[members]]]
         return pd.DataFrame({"fp": fp[members].view(np.int64), "star": np.array(star, np.uint64).view(np.int64)})
 
-    routed = nodes.select("fp").mapInPandas(route, "shard bigint, fp bigint, home boolean")
+    routed = nodes.select("fp").mapInPandas(route, "shard bigint, points binary, visitors binary")
     return routed.groupBy("shard").applyInPandas(search, "fp bigint, star bigint")
 
 
