@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -70,6 +71,16 @@ def discard(*staged: DataFrame) -> None:
             df.stage_path = None
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files that no plan refers to any more.
+
+    It does so when the driver's objects are collected, which on an idle driver may
+    come long after a costly step has been written.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application."""
     context = spark.sparkContext
