@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urna.session import discard, shared_folder, ship, stage
+from urna.session import discard, shared_folder, ship, stage, tidy
 
 __all__ = [
-    "as_bytes", "components", "crc_mod", "discard", "file_system", "mix", "new_folder", "only", "read", "ship", "split_words", "stage", "words",
+    "as_bytes", "components", "crc_mod", "discard", "file_system", "mix", "new_folder", "only", "read", "reading", "ship", "split_words", "stage", "tidy", "words",
 ]
 
 
@@ -27,6 +27,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def reading(df: DataFrame, *stages: DataFrame) -> DataFrame:
+    """``df``, which names the written tables it reads: who has written it may discard them."""
+    df.stages = stages
+    return df
+
+
 def file_system(uri: str):
     """A file system and path for an address in shared storage; s3a is s3 here."""
     from pyarrow import fs

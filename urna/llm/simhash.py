@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from urna.llm.common import components, discard, split_words, stage
+from urna.llm.common import components, discard, reading, split_words, stage
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints the upper tree is fitted on, and distinct ones it aims at in a shard.
@@ -260,7 +260,7 @@ def one_each(rows: DataFrame, label: DataFrame, node: str) -> DataFrame:
     groups = stage(nodes.groupBy("_component").agg(F.min("first").alias("first"), F.min(node).alias(node)))
     kept = rows.join(groups.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     nameless = rows.where(F.col("doc_id").isNull()).join(groups.where(F.col("first").isNull()), node, "left_semi")
-    return kept.unionByName(nameless.dropDuplicates([node]))
+    return reading(kept.unionByName(nameless.dropDuplicates([node])), groups)
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -276,4 +276,5 @@ def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     rows = stage(docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("_fp", LongType())))
     nodes = rows.select(F.col("_fp").alias("fp"), F.col("_fp").alias("first")).distinct()
-    return one_each(rows, classes(nodes, radius), "_fp").select(*docs.columns)
+    kept = one_each(rows, classes(nodes, radius), "_fp")
+    return reading(kept.select(*docs.columns), rows, *kept.stages)

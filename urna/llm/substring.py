@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urna.llm.common import mix, ship, stage, words
+from urna.llm.common import mix, reading, ship, stage, tidy, words
 
 WINDOW = 13
 #: The sketch: rows, cells for each window of the corpus, and bytes of text a window stands for.
@@ -262,6 +262,7 @@ def _deduplicate(docs, size, bits, keep, result):
     )
     # Written: both later passes ask for them, and each is a row a slice.
     heard = stage(answers(dealt, size, cell_bits, slice_bits))
+    tidy(docs.sparkSession)
 
     def flagged(frame: pd.DataFrame, said: pd.DataFrame):
         """A batch in order, its windows that may repeat (document, place, hashes) and their number among the different ones."""
@@ -336,7 +337,7 @@ def _deduplicate(docs, size, bits, keep, result):
         .applyInPandas(apply, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     )
     done = done.withColumn("doc_id", F.nullif("doc_id", F.lit(int(LAST))))
-    return done.select(*names[:4], *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
+    return reading(done.select(*names[:4], *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)]), heard)
 
 
 def trimmed(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -347,8 +348,8 @@ def trimmed(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     # The operator's own columns come first; further ones by place, as names may clash.
-    done = _deduplicate(docs, size, None, others, "text")
-    done = done.toDF("doc_id", "words_", "removed_", "text", *[f"own_{i}" for i in range(len(others))])
+    found = _deduplicate(docs, size, None, others, "text")
+    done = found.toDF("doc_id", "words_", "removed_", "text", *[f"own_{i}" for i in range(len(others))])
     place = {"doc_id": "doc_id", "text": "text", **{c: f"own_{i}" for i, c in enumerate(others)}}
 
     def column(c: str):
@@ -357,4 +358,4 @@ def trimmed(docs: DataFrame, size: int = WINDOW) -> DataFrame:
             own = F.when(F.col("removed_") > 0, F.char_length("text")).otherwise(own)
         return own.cast(docs.schema[c].dataType).alias(c)
 
-    return done.select(*[column(c) for c in docs.columns])
+    return reading(done.select(*[column(c) for c in docs.columns]), *found.stages)
