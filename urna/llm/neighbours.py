@@ -5,14 +5,17 @@ are fitted on a bounded sample; every vector is indexed. What a vector adds to i
 centroid is rotated by a random orthogonal matrix and kept as one sign bit a
 dimension, with three scalars: its length, its product with the centroid, and how
 well the signs point along it. A query visits its nearest cells. There packed bits
-and scalars give an estimate of every inner product together with an error bound;
-a vector is reranked, with the original vectors in double precision, unless its
-upper bound lies below the lower bounds of k others. Each cell hands on its k best,
-of which the query keeps k.
-
-A cell is cut into chunks of about ``CHUNK`` vectors, so a vector that a third of
-the rows share is spread over many tasks, and queries come in blocks of about
-``BLOCK``: no task holds more than a chunk and a block.
+and scalars give an estimate of every inner product together with an error bound.
+A vector is out if its upper bound lies below the lower bounds of k others, first
+among those it meets, then over all the query's cells. Only for the others are the
+original vectors fetched, by a join, and compared in double precision.
+
+Codes and scalars travel, not vectors: some 50 bytes each instead of eight a
+dimension. They are dealt into bundles of about ``CHUNK``: neighbouring cells share
+one, a large cell (a vector that a third of the rows share) has several. Queries come
+in blocks of about ``BLOCK``, so no task holds more than a bundle and a block. Codes
+are sent once a block and looked at by every query that visits their cell: work grows
+with the square of the table, as one vector in ``EVERY`` asks.
 
 Defined cases: vectors that are null, zero, of another dimension than most, or hold
 null or non-finite components take no part, as candidate or query; a null vec_id
@@ -31,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urna.llm.common import stage
+from urna.llm.common import mix, ship, stage
 
 #: Every vec_id divisible by this asks.
 EVERY, K = 50, 5
@@ -97,24 +100,53 @@ class Index:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the rows that take part, written."""
+    """(uid, vec_id, embedding) of the rows that take part, written; ``uid`` tells rows of one vec_id apart."""
     good = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(
         F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
     )
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = good.where(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
     sizes = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return stage(good.where(F.size("embedding") == (sizes.d if sizes else -1)))
+    return stage(good.where(F.size("embedding") == (sizes.d if sizes else -1)).withColumn("uid", F.monotonically_increasing_id()).select("uid", "vec_id", "embedding"))
+
+
+class Layout:
+    """Which bundle holds a cell's vectors: neighbouring small cells share one, a large cell has several.
+
+    A bundle has about ``CHUNK`` vectors, so a query travels once for that many.
+    """
+
+    def __init__(self, counts: dict[int, int], cells: int):
+        self.first, self.number = np.zeros(cells, np.int64), np.ones(cells, np.int64)
+        self.bundles, filled = 0, 0
+        for cell in range(cells):
+            n = counts.get(cell, 0)
+            if n > CHUNK:
+                if filled:
+                    self.bundles, filled = self.bundles + 1, 0
+                self.number[cell] = -(-n // CHUNK)
+                self.first[cell] = self.bundles
+                self.bundles += int(self.number[cell])
+            else:
+                if filled + n > CHUNK:
+                    self.bundles, filled = self.bundles + 1, 0
+                self.first[cell], filled = self.bundles, filled + n
+        self.bundles += filled > 0
+
+    def of_cells(self, visited: np.ndarray) -> np.ndarray:
+        """Bundles that hold any of the cells."""
+        return np.unique(np.concatenate([np.arange(f, f + n) for f, n in zip(self.first[visited], self.number[visited], strict=True)]))
 
 
 def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest found."""
     spark = vectors.sparkSession
+    ship(spark)
     rows = usable(vectors)
     count = rows.count()
-    schema = "query_id bigint, vec_id bigint, score double"
     if not count:
-        return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
+        empty = spark.createDataFrame([], "query_id bigint, vec_id bigint, score double")
+        return empty.select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
     sample = rows.orderBy(F.xxhash64("vec_id", "embedding")).limit(SAMPLE).select("embedding").toPandas()["embedding"]
     index = Index(_unit(sample), max(1, min(MOST_CELLS, count // PER_CELL)))
     shared = spark.sparkContext.broadcast(index)
@@ -126,62 +158,79 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
             unit = _unit(frame["embedding"])
             cell = shared.value.cell(unit)
             codes, length, product, align = shared.value.encode(unit, cell)
-            yield frame.assign(cell=cell, code=[c.tobytes() for c in codes], length=length, product=product, align=align)
+            yield frame.drop(columns="embedding").assign(cell=cell, code=[c.tobytes() for c in codes], length=length, product=product, align=align)
 
-    kinds = "vec_id bigint, embedding array<double>, cell int, code binary, length double, product double, align double"
+    kinds = "uid bigint, vec_id bigint, cell int, code binary, length double, product double, align double"
     indexed = stage(rows.mapInPandas(encode, kinds))
-    chunks = indexed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    chunks = F.broadcast(stage(chunks))  # one row a cell, MOST_CELLS at most
+    # One row a cell, MOST_CELLS at most.
+    layout = Layout({r.cell: r["count"] for r in indexed.groupBy("cell").count().collect()}, len(index.centroids))
+    spread = spark.sparkContext.broadcast(layout)
 
-    asking = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asking = stage(asking)
+    asking = stage(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     blocks = max(1, -(-asking.count() // BLOCK))
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            cells = shared.value.visits(_unit(frame["embedding"]))
-            n = cells.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(frame["vec_id"].to_numpy(), n), "cell": cells.ravel(), "query": frame["embedding"].repeat(n).values})
-
-    visits = (
-        asking.mapInPandas(visit, "query_id bigint, cell int, query array<double>").join(chunks, "cell")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).drop("chunks")
-    )
-    held = (
-        indexed.join(chunks, "cell")
-        .withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("chunks")
+            for query_id, query, cells in zip(frame["vec_id"], frame["embedding"], shared.value.visits(_unit(frame["embedding"])), strict=True):
+                bundles = spread.value.of_cells(cells)
+                yield pd.DataFrame({"query_id": query_id, "bundle": bundles, "query": [query] * len(bundles)})
+
+    visits = asking.mapInPandas(visit, "query_id bigint, bundle bigint, query array<double>").withColumn(
+        "block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     )
 
+    @F.pandas_udf("bigint")
+    def bundle_of(cell: pd.Series, uid: pd.Series) -> pd.Series:
+        own = cell.to_numpy(np.int64)
+        return pd.Series(spread.value.first[own] + mix(uid.to_numpy(np.int64).view(np.uint64)).astype(np.uint64) % spread.value.number[own].astype(np.uint64))
+
+    held = indexed.withColumn("bundle", bundle_of("cell", "uid")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
     def near(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """What may be among a query's k nearest, by the bounds of this bundle's vectors."""
         if not len(own) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        own = own.sort_values("vec_id", kind="stable")
-        ids = own["vec_id"].to_numpy(np.int64)
-        original = np.stack([np.asarray(v, np.float64) for v in own["embedding"]])
-        norms = np.sqrt((original * original).sum(axis=1))
+            return pd.DataFrame(columns=["query_id", "uid", "low", "high"])
+        own = own.sort_values(["cell", "uid"], kind="stable")
+        ids, uids, cells = (own[c].to_numpy(np.int64) for c in ("vec_id", "uid", "cell"))
         codes = np.stack([np.frombuffer(c, np.uint8) for c in own["code"]])
         scalars = [own[c].to_numpy(np.float64) for c in ("length", "product", "align")]
+        starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
         out = []
-        for start in range(0, len(asked), 256):
-            part = asked.iloc[start : start + 256]
-            query = np.stack([np.asarray(v, np.float64) for v in part["query"]])
-            size = np.sqrt((query * query).sum(axis=1))
-            guess, error = shared.value.estimate(codes, scalars, int(own["cell"].iloc[0]), query / size[:, None])
-            for j, query_id in enumerate(part["query_id"]):
-                other = ids != query_id
-                low = np.where(other, guess[:, j] - error[:, j], -np.inf)
-                bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-                chosen = np.flatnonzero(other & (guess[:, j] + error[:, j] >= bar))
-                exact = (original[chosen] * query[j]).sum(axis=1) / (norms[chosen] * size[j])
-                best = np.lexsort((ids[chosen], -exact))[:k]
-                out += zip([query_id] * len(best), ids[chosen][best].tolist(), exact[best].tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    keys = ["cell", "chunk", "block"]
-    found = held.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(near, schema)
+        for start in range(0, len(asked), 128):
+            part = asked.iloc[start : start + 128]
+            unit, asker = _unit(part["query"]), part["query_id"].to_numpy(np.int64)
+            visited = shared.value.visits(unit)
+            low, high = np.full((len(own), len(part)), -np.inf), np.full((len(own), len(part)), -np.inf)
+            for a, b in zip(starts, np.append(starts[1:], len(own)), strict=True):
+                there = np.flatnonzero((visited == cells[a]).any(axis=1))
+                if len(there):
+                    guess, error = shared.value.estimate(codes[a:b], [x[a:b] for x in scalars], int(cells[a]), unit[there])
+                    low[a:b, there], high[a:b, there] = guess - error, guess + error
+            other = ids[:, None] != asker[None, :]
+            low, high = np.where(other, low, -np.inf), np.where(other, high, -np.inf)
+            bar = np.partition(low, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(part), -np.inf)
+            vector, query = np.nonzero((high >= bar[None, :]) & (high > -np.inf))
+            out.append(pd.DataFrame({"query_id": asker[query], "uid": uids[vector], "low": low[vector, query], "high": high[vector, query]}))
+        return pd.concat(out)
+
+    keys = ["bundle", "block"]
+    likely = stage(held.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(near, "query_id bigint, uid bigint, low double, high double"))
+    # Over all bundles of a query: who lies below k lower bounds is out.
+    lows = Window.partitionBy("query_id").orderBy(F.desc("low"))
+    bars = likely.select("query_id", "low").withColumn("place", F.row_number().over(lows)).where(F.col("place") == k).select("query_id", F.col("low").alias("bar"))
+    left = likely.join(bars, "query_id", "left").where(F.coalesce(F.col("high") >= F.col("bar"), F.lit(True))).select("query_id", "uid")
+    # The original vectors of those, for the exact measure.
+    queries = asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    pairs = left.join(rows, "uid").join(queries, "query_id")
+
+    @F.pandas_udf("double")
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        x, y = (np.stack([np.asarray(v, np.float64) for v in c]) for c in (a, b))
+        size = lambda m: np.sqrt((m * m).sum(axis=1))
+        return pd.Series((x * y).sum(axis=1) / (size(x) * size(y)))
+
+    found = pairs.select("query_id", "vec_id", cosine("embedding", "query").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
