@@ -29,6 +29,9 @@ def _text(html, known=frozenset()):
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\nb\nc\nd"),
         ("<article><p>x</p><script>never closed", "x"),
         ("<article class='sidebar'><p>kept</p></article>", "kept"),
+        ("<article><div class='post-header'><p>Body text here.</p></div><p>x</p></article>", "Body text here.\nx"),
+        ("<article><div class='post-header'><p>By me</p></div><p>A longer body text.</p></article>", "A longer body text."),
+        ("<article><p>t</p><div class='comments'><p>a reader's very long comment</p></div></article>", "t"),
         ("<ARTICLE><P>Up</P></ARTICLE>", "Up"),
         ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
         ("<article><p title='a>b'>q</p></article", "q"),

@@ -5,7 +5,8 @@ subtree is hashed (tag, class and id, texts and subtrees inside). Spark counts,
 host, on how many different pages a subtree occurs; what recurs on at least
 ``LEAST`` pages, however many the host has, is its template and is deleted, along with elements that say by tag, role or class that they are menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or reader comments.
-What is left of the article (else the main element, else the body) is the text.
+What is left of the article (else the main element, else the body) is the text. A
+class like "header" does not count on an element that holds most of an article.
 
 Paragraphs, headings and inline elements inside an article are never counted: a
 passage that many articles quote is content. Pages with equal content count once,
@@ -62,6 +63,8 @@ OUT_NAMES = re.compile(
     r"skip-?link)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Of these, names that a site also gives to the box around an article's text.
+AROUND_NAMES = re.compile(r"(?:^|[\s_-])(?:headers?|footers?|notices?|alerts?|banner\w*|promo\w*|sponsor\w*|widgets?|modals?|popups?)(?:$|[\s_-])", re.IGNORECASE)
 #: Inside an article these are content, however often they recur.
 PROSE = frozenset(
     "p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th tr tbody thead tfoot caption figcaption a abbr b bdi bdo big cite code del dfn em "
@@ -209,22 +212,37 @@ class Page:
         inside = self._inherit([t in ("article", "main") for t in self.tags])
         return {h for h, t, i in zip(self.hashes, self.tags, inside, strict=True) if t not in ("#", "html", "body", "article", "main") and not (i and t in PROSE)}
 
-    def _says_out(self, i: int) -> bool:
+    def _most_of_an_article(self) -> list[bool]:
+        """Elements inside an article that hold more than half of its text."""
+        size, holder = [0] * len(self.tags), [0] * len(self.tags)
+        for i, piece in self.pieces:
+            size[i] += len(piece.strip()) if piece else 0
+        for i in range(len(size) - 1, 0, -1):
+            size[self.parents[i]] += size[i]
+        for i in range(1, len(size)):
+            outer = self.parents[i]
+            holder[i] = outer if self.tags[outer] in ("article", "main") else holder[outer]
+        return [h > 0 and 2 * size[i] > size[h] for i, h in enumerate(holder)]
+
+    def _says_out(self, i: int, most: list[bool]) -> bool:
         tag, attrs = self.tags[i], self.attrs[i]
         if tag in OUT:
             return True
         if not attrs or tag in ("html", "body", "article", "main", "#"):
             return False
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
+        if most[i]:
+            # A "post-header" around the body of an article is its body.
+            names = AROUND_NAMES.sub(" ", names)
         return "hidden" in attrs or (attrs.get("role") or "").lower() in OUT_ROLES or (names != " " and OUT_NAMES.search(names) is not None) or "comment" in (attrs.get("itemtype") or "").lower()
 
     def text(self, templates: set[int]) -> str:
         """The page's main text without the given subtrees."""
         inside = self._inherit([t in ("article", "main") for t in self.tags])
-        out = [False] * len(self.tags)
+        out, most = [False] * len(self.tags), self._most_of_an_article()
         for i in range(1, len(out)):
             known = self.hashes[i] in templates and self.tags[i] not in ("html", "body", "article", "main") and not (inside[i] and self.tags[i] in PROSE)
-            out[i] = out[self.parents[i]] or known or self._says_out(i)
+            out[i] = out[self.parents[i]] or known or self._says_out(i, most)
         root = next((t for t in ("article", "main") if any(x == t and not o for x, o in zip(self.tags, out, strict=True))), None)
         chosen = self._inherit([root is None or t == root for t in self.tags])
         blocks, own = [], []
