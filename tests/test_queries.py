@@ -8,7 +8,8 @@ FAST = (
     "history_filtered", "national_coverage", "municipality_list", "canonical_places", "map_version_join",
     "municipal_only", "best_layer", "run_ledger", "upsert_merge", "entry_classify", "url_policy_check",
     "catalogue_extract", "fuzzy_names", "import_candidates", "catalogue_entries", "ambiguous_elections",
-    "already_normalised", "raw_rows", "csv_export_compact", "page_set_rejects",
+    "already_normalised", "raw_rows", "csv_export_compact", "page_set_rejects", "history_page_deep", "registry_rows",
+    "verification_store", "registry_file", "tree_levels", "manifest", "csv_export_files", "closure_list",
 )
 
 

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from urna import fixed_values as fv
 from urna.functions.numbers import parse_italian_float
 from urna.operators import closure, colleges, coverage, facts as reads, queue, upsert
+from urna.plans.audit_queries import UNITS_SQL
 from urna.plans.election_view import archives, facts, sql_facts, sql_slug, stored_facts, table
 from urna.plans.shape import plain
 from urna.plans.verify_queries import _TREE, _tree
-from urna.plans.work_queries import _RUNS, _ledger, _queue, _words
+from urna.plans.work_queries import _QUEUE, _RUNS, _ledger, _queue, _words
 from urna.session import shared_folder, stage
 from urna.sinks import exports, manifest as digests, store, tables
 from urna.sources import registry
@@ -106,7 +107,9 @@ def municipality_list_order(spark, sf_dir):
     return plain(reads.numbered(rows, coverage.nocase_keys()).select("position", "category", "election_date", "comune", "municipality_key"))
 
 
-@query()
+@query(sql_facts("," + UNITS_SQL + "," + _QUEUE) + """
+SELECT row_number() OVER (ORDER BY priority DESC, election_date, category, municipality, round, municipality_key) AS position,
+       category, CAST(election_date AS VARCHAR) AS election_date, round, municipality_key, municipality, priority, status FROM q""")
 def queue_order(spark, sf_dir):
     """Every queue item at its place by urgency."""
     ties = ("round", "municipality_key")
