@@ -42,6 +42,7 @@ def test_odd_texts_in_many_batches(spark, odd_docs, no_docs, monkeypatch):
     assert _got(substring.digests(odd_docs)) == _brute(rows)
     monkeypatch.setattr(substring, "BATCH_BYTES", 2000)
     monkeypatch.setattr(substring, "BLOCK", 40)
+    monkeypatch.setattr(substring, "PIECE", 100)
     assert _got(substring.digests(odd_docs)) == _brute(rows)
     assert substring.digests(no_docs).count() == 0
 

@@ -19,10 +19,10 @@ that covers it also starts in a document with a smaller doc_id.
 The sketch has as many cells as the corpus asks for (about ``CELLS`` for each window)
 and is nowhere whole: a task holds one slice, a batch its own answers, the driver
 three numbers. A window that every document holds is one row and two cells a batch, so
-no group exceeds the number of batches. Slices are ``MOST_SLICES`` at most, so that a
-batch's pieces stay larger than their rows' overhead, and 2**``MOST_BITS`` cells each:
-beyond some 450 GB of text cells fill up, more windows reach the exact grouping, and
-the result stays the same.
+no group exceeds the number of batches. A slice holds some ``SLICE_WINDOWS`` windows.
+Slices are twice ``MOST_SLICES`` at most, so that a batch's pieces stay larger than
+their rows' overhead, and of 2**``MOST_BITS`` cells: beyond some 400 GB of text cells
+fill up, more windows reach the exact grouping, and the result stays the same.
 
 Defined cases: null, empty and short texts lose nothing; a window that repeats
 within one document only, or among rows of the same doc_id, does not count; a
@@ -47,7 +47,9 @@ WINDOW = 13
 #: The sketch: rows, cells for each window of the corpus, and bytes of text a window stands for.
 ROWS, CELLS, WINDOW_BYTES = 2, 8, 6
 #: Slices of a row that are merged apart: windows each should hold, their number, and bits of the cells in one.
-SLICE_WINDOWS, MOST_SLICES, MOST_BITS = 1 << 17, 1 << 13, 26
+SLICE_WINDOWS, MOST_SLICES, MOST_BITS = 1 << 21, 1 << 13, 25
+#: Windows that are sent as one sketch.
+PIECE = 1 << 21
 #: Bytes of text in one batch, on average, and windows of one that are hashed at a time.
 BATCH_BYTES, BLOCK = 24_000_000, 1 << 19
 #: A doc_id after all others, for null.
@@ -187,10 +189,15 @@ def answers(dealt: DataFrame, size: int, cell_bits: int, slice_bits: int) -> Dat
     bits = cell_bits - slice_bits
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
-        batch, out = int(frame["batch"].iloc[0]), []
-        # One sketch a block of the batch: only packed cells are held.
+        batch, out, held = int(frame["batch"].iloc[0]), [], []
+        # A batch may send several sketches, so that no more than one is held unpacked.
         for _, edges, low, _ in blocks(frame["text"], size):
-            out += [(batch, *p) for p in pieces(distinct(edges, low), cell_bits, slice_bits)]
+            held.append(distinct(edges, low))
+            if sum(map(len, held)) > PIECE:
+                out += [(batch, *p) for p in pieces(np.concatenate(held), cell_bits, slice_bits)]
+                held = []
+        if held:
+            out += [(batch, *p) for p in pieces(np.concatenate(held), cell_bits, slice_bits)]
         return pd.DataFrame(out, columns=["batch", "slice", "once", "twice"])
 
     def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
