@@ -180,3 +180,28 @@ def archive_files(er: DataFrame) -> DataFrame:
             )
 
     return rows.mapInPandas(pack, "path string, content binary")
+
+
+def encoded_files(rows: DataFrame) -> DataFrame:
+    """ZIP files (path, content) of ``rows`` (key), a member for each encoding and headerless layout of old archives."""
+
+    def members(keys: list[int]) -> Iterator[tuple[str, str, str]]:
+        head = "COMUNE;LISTA;VOTI LISTA"
+        own = lambda kind: [k for k in keys if k % 5 == kind]
+        for kind, name, place, encoding in (
+            (0, "utf8/voti.csv", "Forlì", "utf-8-sig"), (1, "ansi/voti.csv", "Cantù €", "cp1252"), (2, "latino/voti.csv", "Gaetà\x81", "latin-1"),
+        ):
+            yield name, encoding, "\n".join([head, *[f"{place} {k};Più {k};{k * 3}" for k in own(kind)]])
+        # No header: the number of columns and the name of the file tell the layout.
+        yield "referendum/dati.csv", "cp1252", "\n".join(f"LAZIO;ROMA;Cantù {k};1;Sì o no {k};9;4;8;3;{k * 3};7;1" for k in own(3))
+        yield "comunali/dati.csv", "cp1252", "\n".join(f"LAZIO;ROMA;Cantù {k};9;8;1;Più {k};{k * 3};2;ROSSI;ADA;;;;;5" for k in own(4))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            stream = io.BytesIO()
+            with zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as target:
+                for name, encoding, text in members(batch["key"].tolist()):
+                    target.writestr(name, (text + "\n").encode(encoding))
+            yield pd.DataFrame({"path": [f"codifiche-{batch['key'].iloc[0]}.zip"], "content": [stream.getvalue()]})
+
+    return rows.select("key").mapInPandas(pack, "path string, content binary")

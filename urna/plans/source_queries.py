@@ -10,7 +10,7 @@ from urna.functions.text import canonical_municipality
 from urna.functions.urls import query_code, url_policy
 from urna.operators import traversal, verify
 from urna.plans.election_view import archives, election_rows, facts, sql_facts, table
-from urna.plans.encodings import archive_files, dotted
+from urna.plans.encodings import archive_files, dotted, encoded_files
 from urna.plans.shape import plain
 from urna.session import stage
 from urna.sources import archives as zips, catalogue, pages
@@ -72,6 +72,22 @@ def archive_rejects(spark, sf_dir):
     return both.groupBy("error").agg(F.sum("n").alias("balance"))
 
 
+@query("""
+SELECT CASE k WHEN 0 THEN 'utf8/voti.csv' WHEN 1 THEN 'ansi/voti.csv' WHEN 2 THEN 'latino/voti.csv' WHEN 3 THEN 'referendum/dati.csv' ELSE 'comunali/dati.csv' END AS file_name,
+       concat(CASE k WHEN 0 THEN 'Forlì ' WHEN 1 THEN 'Cantù € ' WHEN 2 THEN concat('Gaetà', chr(129), ' ') ELSE 'Cantù ' END, c_custkey) AS comune,
+       concat(CASE k WHEN 3 THEN 'Sì o no ' ELSE 'Più ' END, c_custkey) AS soggetto, c_custkey * 3 AS voti
+FROM (SELECT c_custkey, c_custkey % 5 AS k FROM customer)""")
+def archive_encodings(spark, sf_dir):
+    """Members in every encoding of the ladder and both headerless layouts."""
+    files = encoded_files(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key")))
+    rows, _ = zips.read_archives(files, municipality_level_only=False)
+    first = lambda *names: F.coalesce(*[F.try_element_at("payload", F.lit(n)) for n in names])
+    return rows.select(
+        "file_name", first("comune").alias("comune"), first("lista", "quesito", "descrlista").alias("soggetto"),
+        first("voti_lista", "numvotisi", "votilista").cast("bigint").alias("voti"),
+    )
+
+
 # Pages -------------------------------------------------------------------------
 
 def _code():
