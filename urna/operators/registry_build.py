@@ -31,25 +31,42 @@ def _place(geography: Column) -> Column:
     return F.concat_ws("\x1f", "map_version", geography)
 
 
-def college_entries(lines: DataFrame) -> DataFrame:
-    """Every entry of every college in printed order: lists in prose, described cities, lines."""
-    found = _prose(lines, *_COLLEGE)
+def _entries(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Every entry of every college in printed order; ``found``: the lists and described cities of its text."""
 
-    def exploded(column: str, order: int, description: Column) -> DataFrame:
-        return found.select(*_COLLEGE, "page", description.alias("description"), F.posexplode(column).alias("at", "e")).select(
+    def exploded(column: str, order: int) -> DataFrame:
+        return found.select(*_COLLEGE, "page", F.posexplode(column).alias("at", "e")).select(
             *_COLLEGE, "page", F.struct("college", F.lit(order).alias("part"), F.col("at").cast("bigint").alias("at")).alias("position"),
-            "e.kind", "e.name", "e.raw", "description",
+            "e.kind", "e.name", "e.raw",
         )
 
     none = F.lit(None).cast("string")
-    listed = exploded("whole", 0, F.lit("")).unionByName(exploded("described", 1, F.col("prose")))
+    listed = exploded("whole", 0).unionByName(exploded("described", 1))
     listed = listed.withColumns({"code": none, "prefix": none, "zone": none})
-    printed = line_entries(lines, *_COLLEGE).withColumn("description", F.lit("")).withColumn(
+    printed = line_entries(lines, *_COLLEGE).withColumn(
         "position", F.struct("college", F.lit(2).alias("part"), F.col("line_no").cast("bigint").alias("at"))
     )
     return listed.unionByName(printed.select(listed.columns))
 
 
+def _with_descriptions(entries: DataFrame, found: DataFrame, college: str = "college") -> DataFrame:
+    """``description``: the whole text of its college for a described city, else empty.
+
+    A text is as long as its college, so entries carry it only from here on.
+    """
+    key = lambda number: F.struct("map_version", "section", F.col(number).alias("college")).alias("_key")
+    texts = found.where(F.size("described") > 0).select(key("college"), "prose")
+    return entries.withColumn("_key", key(college)).join(texts, "_key", "left").withColumn(
+        "description", F.when(F.col("kind") == "described_part", F.col("prose")).otherwise("")
+    ).drop("_key", "prose")
+
+
+def college_entries(lines: DataFrame) -> DataFrame:
+    """Every entry of every college in printed order: lists in prose, described cities, lines."""
+    found = stage(_prose(lines, *_COLLEGE))
+    return _with_descriptions(_entries(lines, found), found)
+
+
 def registry_rows(lines: DataFrame, reference: DataFrame) -> DataFrame:
     """(map_version, geography, college, municipality, entry_type, entry_text, source_page, ocr_text, match_score).
 
@@ -57,10 +74,11 @@ def registry_rows(lines: DataFrame, reference: DataFrame) -> DataFrame:
     line_no, line. ``reference``: map_version, geography, name (canonical), college,
     as open data name them. A municipality below the accepted score is empty.
     """
-    entries = stage(college_entries(lines))
-    known = reference.where(F.col("geography").isNotNull() & F.col("name").isNotNull()).select(
+    found = stage(_prose(lines, *_COLLEGE))
+    entries = stage(_entries(lines, found))
+    known = stage(reference.where(F.col("geography").isNotNull() & F.col("name").isNotNull()).select(
         "map_version", "geography", F.upper("name").alias("name"), F.coalesce("college", F.lit("")).alias("college")
-    )
+    ).distinct())
     owners = known.select("map_version", "geography", "name").distinct()
     sections = majority_geography(entries.select("map_version", "section", "position", "name"), owners, "map_version")
     numbered = merge_sections(
@@ -108,7 +126,7 @@ def registry_rows(lines: DataFrame, reference: DataFrame) -> DataFrame:
         .otherwise(F.coalesce("any_score", F.lit(0.0)))
     )
     municipality = F.when(city, F.col("city")).when(described, F.col("part_name")).otherwise(F.col("any_name"))
-    return named.select(
+    return _with_descriptions(named, found, "own_college").select(
         "map_version", F.col("owner").alias("geography"), F.col("number").alias("college"),
         F.when(score >= NAME, F.coalesce(municipality, F.lit(""))).otherwise("").alias("municipality"),
         F.col("kind").alias("entry_type"),
