@@ -53,3 +53,30 @@ def test_filters_reach_the_scan(spark, tmp_path, small):
     plan = wanted._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "category" in plan.split("PartitionFilters")[1]
     assert "EqualTo(municipality_key,roma)" in plan
+
+
+def test_the_view_is_passed_over_once(spark, small):
+    """Pages of all kinds, and all parts of the coverage report, come from one pass over the rows."""
+    from urna.operators import coverage
+    from urna.plans.election_view import archives, facts
+    from urna.plans.source_queries import _site_tree
+
+    view = facts(spark, small)
+    n = view.count()
+
+    def counted():
+        seen = spark.sparkContext.accumulator(0)
+
+        def look(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return view.mapInArrow(look, view.schema), seen
+
+    rows, seen = counted()
+    site, roots = _site_tree(rows)
+    assert site.count() > roots.count() > 0 and seen.value == n
+    rows, seen = counted()
+    asked = spark.createDataFrame([("ASIA", "ROMA")], "region string, municipality string")
+    assert coverage.municipality_coverage(rows, archives(spark, small), asked).count() > 0 and seen.value == n

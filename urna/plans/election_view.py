@@ -83,8 +83,8 @@ def _election_date() -> Column:
     return F.trunc("o_orderdate", "year")
 
 
-def election_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view of ``ELECTION_SQL``, one row per published subject."""
+def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view with the keys of its places and subjects, made once a supplier and part, not once a row."""
     lineitem = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
         "l_linestatus",
@@ -95,18 +95,31 @@ def election_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("s_suppkey", "n_name", "r_name")
     )
+    unit = F.col("s_suppkey")
+    label = F.element_at(
+        F.array(*[F.lit(x) for x in _LABELS]), (unit % 8 + 1).cast("int")
+    )
+    supplier = supplier.withColumns(
+        {
+            "region": F.when(unit % 13 != 0, F.col("r_name")),
+            "province": F.when((unit % 7 != 0) & (unit % 13 != 0), F.col("n_name")),
+            "constituency": F.concat_ws(" ", "r_name", (unit % 3).cast("string")),
+            "municipality": F.when((unit % 11 != 0) & (unit % 26 != 0), label),
+        }
+    ).withColumn("municipality_key", slug(canonical_municipality(F.col("municipality")))).withColumn(
+        "place", place_key(F.col("municipality_key"), F.col("province"), F.col("region"), F.col("constituency"))
+    )
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", slug(F.col("p_brand")).alias("subject_key"))
+    # What carries text joins last: rows are narrow while they are shuffled.
     joined = (
-        lineitem.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(
-            table(spark, sf_dir, "part").select("p_partkey", "p_brand"),
-            F.col("l_partkey") == F.col("p_partkey"),
+            table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate"),
+            F.col("l_orderkey") == F.col("o_orderkey"),
         )
+        .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     )
     unit, year = F.col("l_suppkey"), F.year("o_orderdate").cast("bigint")
-    label = F.element_at(
-        F.array(*[F.lit(x) for x in _LABELS]), (unit % 8 + 1).cast("int")
-    )
     turnout = (unit * 101 + year * 307) % 2400
     return joined.select(
         _category().alias("category"),
@@ -114,10 +127,7 @@ def election_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") % 3 != 0, F.when(F.col("l_linestatus") == "O", 1).otherwise(2))
         .cast("bigint")
         .alias("round"),
-        F.when(unit % 13 != 0, F.col("r_name")).alias("region"),
-        F.when((unit % 7 != 0) & (unit % 13 != 0), F.col("n_name")).alias("province"),
-        F.concat_ws(" ", "r_name", (unit % 3).cast("string")).alias("constituency"),
-        F.when((unit % 11 != 0) & (unit % 26 != 0), label).alias("municipality"),
+        "region", "province", "constituency", "municipality",
         F.when((unit % 52 == 0) | (unit % 44 == 0), F.lit("FRANCIA")).alias("country"),
         F.concat(F.lit("COLLEGIO "), (unit % 4).cast("string")).alias("college"),
         F.when(_category() == "referendum", (F.col("l_partkey") % 3 + 1).cast("string")).alias(
@@ -144,9 +154,15 @@ def election_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             + unit % 10000
         ).alias("source_row"),
         F.col("l_linenumber").cast("bigint").alias("section"),
+        "municipality_key", "place", "subject_key",
     )
 
 
+def election_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view of ``ELECTION_SQL``, one row per published subject."""
+    return _view(spark, sf_dir).drop("municipality_key", "place", "subject_key")
+
+
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive catalogue: one row per category and election date."""
     name = F.concat_ws("-", "category", F.year("election_date").cast("string"))
@@ -168,19 +184,17 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view in the full result-fact schema, labels as stored."""
-    rows = election_rows(spark, sf_dir)
+def facts(spark: SparkSession, sf_dir: str, *, keyed: bool = False) -> DataFrame:
+    """The view in the full result-fact schema, labels as stored; ``keyed``: with the keys that an import stores."""
+    rows = _view(spark, sf_dir)
     text, whole = F.lit(None).cast("string"), F.lit(None).cast("bigint")
     is_list = F.col("result_type") == "list"
-    rows = rows.withColumn(
-        "municipality_key", slug(canonical_municipality(F.col("municipality")))
-    )
+    keys = [F.col("municipality_key").alias("canonical_key"), "place"] if keyed else []
     return rows.select(
         F.concat_ws("-", "category", F.year("election_date").cast("string")).alias("archive"),
         "category", "election_date", "round", "region", "constituency", "province", "municipality",
         "municipality_key", "country", "college", "question_number", text.alias("question"),
-        "result_type", "subject", slug(F.col("subject")).alias("subject_key"),
+        "result_type", "subject", "subject_key",
         F.when(is_list, F.col("subject")).alias("party"),
         F.when(~is_list, F.col("subject")).alias("candidate"),
         text.alias("option"), "votes",
@@ -189,7 +203,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         percentage(F.col("voters"), F.col("electors")).alias("turnout_percentage"),
         "valid_votes", whole.alias("valid_list_votes"), whole.alias("valid_candidate_votes"),
         "blank_ballots", whole.alias("invalid_ballots"), whole.alias("contested_ballots"),
-        "source_file", "source_row",
+        "source_file", "source_row", *keys,
     )
 
 
@@ -198,16 +212,7 @@ def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     For queries that pass over the facts several times.
     """
-    return stage(
-        facts(spark, sf_dir)
-        .withColumn("canonical_key", F.col("municipality_key"))
-        .withColumn(
-            "place",
-            place_key(
-                F.col("municipality_key"), F.col("province"), F.col("region"), F.col("constituency")
-            ),
-        )
-    )
+    return stage(facts(spark, sf_dir, keyed=True))
 
 
 # The same notions for the other engine -------------------------------------

@@ -112,6 +112,17 @@ def _query_value(column: str):
     return F.replace(F.coalesce(F.col(column), F.lit("")), F.lit(" "), F.lit("+"))
 
 
+def page_results(rows: DataFrame) -> DataFrame:
+    """What pages print of the view, written once: votes and figures by place, round and subject.
+
+    Pages add these up again, so sites of several kinds of pages do not pass over the
+    view for each, and places are made canonical by their different labels only.
+    """
+    keys = ["category", "election_date", "region", "province", "municipality", "round", "result_type", "subject"]
+    summed = rows.groupBy(*keys).agg(F.sum("votes").alias("votes"), F.max("electors").alias("electors"), F.max("voters").alias("voters"))
+    return stage(summed.withColumn("city", canonical_municipality(F.col("municipality"))))
+
+
 def page_bodies(rows: DataFrame, *keys: str) -> DataFrame:
     """One result page per value of ``keys``: (keys..., html); lists, candidates and options of every round."""
     kind = F.when(F.col("category") == "referendum", "option").otherwise(F.col("result_type")).alias("kind")
@@ -162,7 +173,7 @@ def page_bodies(rows: DataFrame, *keys: str) -> DataFrame:
 
 def rendered_pages(rows: DataFrame) -> DataFrame:
     """(url, html) of one result page per region, province and municipality, all rows of the view."""
-    named = rows.withColumn("city", canonical_municipality(F.col("municipality")))
+    named = page_results(rows)
     url = F.concat(
         F.lit(f"{_SITE}?tpel="), _code(), F.lit("&dtel="), F.date_format("election_date", "yyyyMMdd"),
         F.lit("&lev1="), _query_value("region"), F.lit("&lev2="), _query_value("province"), F.lit("&lev3="), _query_value("city"),
@@ -289,7 +300,7 @@ def _site_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     depths: every fifth year the region pages of one region, and in odd years the
     municipality pages of some names; every sixth year the site renders another date.
     """
-    named = rows.withColumn("city", canonical_municipality(F.col("municipality")))
+    named = page_results(rows)
     year = F.year("election_date")
     code = lambda c: F.crc32(F.coalesce(F.col(c), F.lit("-")).cast("binary")).cast("string")
     election = F.concat(F.lit(f"{_SITE}?tpel="), _code(), F.lit("&dtel="), F.date_format("election_date", "yyyyMMdd"))
@@ -322,7 +333,7 @@ def _site_tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         ~((year % 2 == 1) & ((F.length(F.coalesce("region", F.lit("-"))) + F.length("city")) % 5 == 2))
     ).select(city_url.alias("url"), "html")
     site = stage(first.select("url", "html").unionByName(regions).unionByName(leaves))
-    return site, first.select("url", "category", "election_date")
+    return site, stage(first.select("url", "category", "election_date"))
 
 
 def _traversed(spark, sf_dir):
