@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from urna import fixed_values as fv
 from urna.functions.text import ascii_lower, slug
 from urna.operators.facts import ordered
+from urna.session import stage
 
 _NATIONAL_KEYS = (
     "category", "election_date", "region", "constituency", "province", "municipality",
@@ -71,7 +72,8 @@ def municipality_coverage(
     meet archives through equi-joins only.
     """
     archive = ["category", "election_date", "archive"]
-    reduced = (
+    # Written once: what follows reads it four times, the facts only here.
+    reduced = stage(
         facts.groupBy(*archive, "region", "municipality_key")
         .agg(
             F.count(F.lit(1)).alias("n"),

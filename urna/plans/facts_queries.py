@@ -160,6 +160,8 @@ LEFT JOIN (SELECT category, election_date, count(municipality) n FROM f GROUP BY
 def _requests(rows: DataFrame) -> DataFrame:
     return (
         rows.where(F.col("region").isNotNull() & F.col("municipality").isNotNull())
+        # Labels are few: rows meet before labels are made canonical.
+        .select("region", "municipality").distinct()
         .select("region", canonical_municipality(F.col("municipality")).alias("municipality"))
         .distinct()
     )
