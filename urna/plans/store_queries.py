@@ -172,7 +172,7 @@ def csv_export_files(spark, sf_dir):
     """
     path = _folder(spark, "export")
     exports.write_results(_history(spark, sf_dir), path)
-    lines = stage(exports.read_export(spark, path))
+    lines = exports.read_export(spark, path)
     fields = F.split("line", ";")
     date = F.when(F.col("file") > 0, fields[1])
     ranges = lines.groupBy("file").agg(F.min(date).alias("least"), F.max(date).alias("most"))
