@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def place_layers(spark, sf_dir) -> DataFrame:
-    return layers.layers(layers.fragment_units(layers.with_keys(facts(spark, sf_dir))))
+    return layers.layers(layers.fragment_units(layers.with_keys(facts(spark, sf_dir, keyed=True))))
 
 
 UNITS_SQL = """
@@ -59,7 +59,7 @@ _LAYER = (
 SELECT place, category, CAST(election_date AS VARCHAR) AS election_date, source_file, result_type,
        round, label, college, constituency, electors, voters, votes FROM u""")
 def fragment_units(spark, sf_dir):
-    return plain(layers.fragment_units(layers.with_keys(facts(spark, sf_dir))).drop("archive"))
+    return plain(layers.fragment_units(layers.with_keys(facts(spark, sf_dir, keyed=True))).drop("archive"))
 
 
 @query(sql_facts("," + UNITS_SQL) + _LAYER + "l")

@@ -180,9 +180,8 @@ vo AS (SELECT vt.*, lw.parts AS pezzi_open_data,
 _VERIFY = sql_facts("," + UNITS_SQL + "," + TOTALS_SQL + "," + _LOCAL)
 
 
-def _parts(spark, sf_dir):
+def _parts(rows: DataFrame):
     # Pages are a stored table; layers and totals serve several comparisons.
-    rows = stored_facts(spark, sf_dir)
     sets = stage(verify.page_sets(official_pages(rows)))
     summaries = stage(verify.set_summaries(sets))
     chosen, local = verify.local_layers(rows, summaries)
@@ -191,7 +190,7 @@ def _parts(spark, sf_dir):
 
 
 def _fields(spark, sf_dir):
-    sets, summaries, chosen, _, totals = _parts(spark, sf_dir)
+    sets, summaries, chosen, _, totals = _parts(stored_facts(spark, sf_dir))
     valid = verify.official_valid_votes(sets, totals)
     return verify.compare_fields(summaries, valid, chosen, tolerance=TOLERANCE)
 
@@ -207,14 +206,14 @@ def verify_fields(spark, sf_dir):
 SELECT place, category, CAST(election_date AS VARCHAR) AS election_date, subject_key, partito_ufficiale,
        partito_ricostruito, voti_ufficiali, voti_ricostruiti, scarto, stato FROM vs""")
 def verify_subjects(spark, sf_dir):
-    _, _, chosen, local, totals = _parts(spark, sf_dir)
+    _, _, chosen, local, totals = _parts(stored_facts(spark, sf_dir))
     return plain(
         verify.compare_subjects(totals, chosen, local, tolerance=TOLERANCE).drop("scarto_relativo")
     )
 
 
-def _status(spark, sf_dir):
-    sets, summaries, chosen, local, totals = _parts(spark, sf_dir)
+def _status(rows: DataFrame):
+    sets, summaries, chosen, local, totals = _parts(rows)
     valid = verify.official_valid_votes(sets, totals)
     fields = verify.compare_fields(summaries, valid, chosen, tolerance=TOLERANCE)
     subjects = verify.compare_subjects(totals, chosen, local, tolerance=TOLERANCE)
@@ -231,7 +230,7 @@ _STATUS = (
 SELECT place, category, CAST(election_date AS VARCHAR) AS election_date, partiti_confrontati,
        partiti_coincidenti, partiti_non_coincidenti, pezzi_open_data, stato FROM vo""")
 def verify_status(spark, sf_dir):
-    return plain(_status(spark, sf_dir)[1].select(*_STATUS))
+    return plain(_status(stored_facts(spark, sf_dir))[1].select(*_STATUS))
 
 
 # Page sets ------------------------------------------------------------------
@@ -372,8 +371,10 @@ def closure_mismatches(spark, sf_dir):
 def _registry(rows: DataFrame) -> DataFrame:
     """A registry of colleges written from the view, without college 3 of Rome."""
     key = slug(canonical_municipality(F.col("municipality")))
+    # Labels are few: rows meet before labels are made canonical.
     return (
         rows.where(F.col("municipality").isNotNull() & F.col("category").isin("camera", "senato"))
+        .select("category", "constituency", "region", "college", "municipality").distinct()
         .select(
             F.concat("category", F.lit("-mattarellum-1993-corrected")).alias("map_version"),
             F.when(F.col("category") == "camera", F.col("constituency")).otherwise(F.col("region")).alias("geography"),
@@ -388,7 +389,10 @@ def _registry(rows: DataFrame) -> DataFrame:
 
 def _college_pages(rows: DataFrame) -> DataFrame:
     placed = layers.with_keys(rows).where(F.col("municipality").isNotNull())
-    return placed.groupBy("place", "category", "election_date", "college").agg(
+    labels = placed.groupBy("place", "category", "election_date", "college", "municipality").agg(
+        F.max("constituency").alias("constituency"), F.max("region").alias("region")
+    )
+    return labels.groupBy("place", "category", "election_date", "college").agg(
         F.max(canonical_municipality(F.col("municipality"))).alias("municipality"),
         F.max("constituency").alias("constituency"),
         F.max("region").alias("region"),
@@ -420,7 +424,10 @@ SELECT place, category, CAST(election_date AS VARCHAR) AS election_date, pagine,
        CASE WHEN category IN ('camera','senato') THEN concat(category,'-mattarellum-1993-corrected') END AS mappa_collegi_versione
 FROM lp""")
 def legal_piece_count(spark, sf_dir):
-    rows = facts(spark, sf_dir)
+    rows = stage(
+        facts(spark, sf_dir, keyed=True)
+        .select("canonical_key", "place", "category", "election_date", "college", "municipality", "constituency", "region").distinct()
+    )
     return plain(verify.legal_piece_count(_college_pages(rows), _registry(rows)))
 
 
@@ -433,8 +440,8 @@ FROM (SELECT vo.*, concat_ws(',', CASE WHEN vo.stato<>'exact_match' THEN 'piece_
         CASE WHEN lp.stato='mismatch' THEN 'legal_piece_count' END) AS reasons
       FROM vo LEFT JOIN lp USING (place, category, election_date)) vo""")
 def completeness(spark, sf_dir):
-    rows = facts(spark, sf_dir)
-    sets, status = _status(spark, sf_dir)
+    rows = stored_facts(spark, sf_dir)
+    sets, status = _status(rows)
     parent = F.concat_ws("/", "category", F.col("election_date").cast("string"))
     edges = sets.select(F.col("url").alias("child_url"), parent.alias("parent_url"))
     closures = (
