@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -27,6 +28,18 @@ def test_slug_equals_a_plain_restatement(spark):
     assert column(spark, texts, slug) == [plain(t) for t in texts]
 
 
+def test_slug_of_long_accented_texts_costs_little_more_than_of_plain_ones(spark):
+    def seconds(word):
+        rows = spark.range(0, 40, 1, 4).select(F.concat(F.lit(word * 4000), F.col("id").cast("string")).alias("x"))
+        start = time.perf_counter()
+        assert rows.select(slug(F.col("x")).alias("k")).agg(F.sum(F.length("k"))).first()[0] > 0
+        return time.perf_counter() - start
+
+    seconds("warm up "), seconds("échauffé ")
+    assert seconds("più città è già ") < 10 * seconds("piu citta e gia ") + 1
+    assert column(spark, ["a b" * 1000 + "ß\n½ \u4e00Ⅳ"], slug) == [re.sub(" ", "_", "a b" * 1000) + "ss_1_2_iv"]
+
+
 def test_places(spark):
     labels = ["Roma centro", "Verona Est", "REGGIO DI CALABRIA", "VERONELLA", "ROMANO CANAVESE", "Milano 10",
               "parte del comune di Trieste", "TRIESTE II", "Roma: Municipio XIV", "  ", None, "Parte di Comune REGGIO DI CALABRIA"]

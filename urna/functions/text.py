@@ -59,6 +59,17 @@ def _folds() -> tuple[str, str, str, dict[str, str]]:
     return "".join(source), "".join(target), "".join(deleted), wide
 
 
+def _ranges(chars) -> str:
+    """A pattern's class of the characters, neighbours as ranges: a class is tried part by part."""
+    parts = []
+    for code in sorted(map(ord, chars)):
+        if parts and parts[-1][1] == code - 1:
+            parts[-1][1] = code
+        else:
+            parts.append([code, code])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in parts) + "]"
+
+
 def slug(value: Column) -> Column:
     """Search key: accents dropped, case folded, other characters become ``_``."""
     source, target, deleted, wide = _folds()
@@ -68,19 +79,25 @@ def slug(value: Column) -> Column:
         F.lit(",".join(f"{char}={spelling}" for char, spelling in wide.items())),
         F.lit(","), F.lit("="),
     )
-    wide_pattern = "[" + "".join(wide) + "]"
+    # No ASCII character is looked up in the class.
+    wide_pattern = r"(?=[^\x00-\x7f])" + _ranges(wide)
+
+    def ascii_only(text: Column) -> Column:
+        # Equal byte and character counts mean ASCII: the common, cheap case.
+        return F.octet_length(text) == F.length(text)
 
     def spell_out(text: Column) -> Column:
-        pieces = F.regexp_extract_all(text, F.lit(r"(?s)(.)"), F.lit(1))
-        spelled = F.transform(pieces, lambda c: F.coalesce(F.try_element_at(lookup, c), c))
-        return F.when(text.rlike(wide_pattern), F.array_join(spelled, "")).otherwise(text)
+        pieces = F.regexp_extract_all(text, F.lit(r"(?s)([\x00-\x7f]+|.)"), F.lit(1))
+        spelled = F.transform(
+            pieces, lambda c: F.when(ascii_only(c), c).otherwise(F.coalesce(F.try_element_at(lookup, c), c))
+        )
+        return (
+            F.when(ascii_only(text), text).when(text.rlike(wide_pattern), F.array_join(spelled, "")).otherwise(text)
+        )
 
     def fold(text: Column) -> Column:
         narrow = F.translate(text, source + deleted, target)
-        # Equal byte and character counts mean ASCII: the common, cheap case.
-        return F.when(F.octet_length(text) == F.length(text), text).otherwise(
-            let(narrow, spell_out)
-        )
+        return F.when(ascii_only(text), text).otherwise(let(narrow, spell_out))
 
     words = F.regexp_replace(F.lower(let(value, fold)), "[^a-z0-9]+", "_")
     return F.trim(words, F.lit("_"))
