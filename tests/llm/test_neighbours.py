@@ -1,7 +1,7 @@
 import numpy as np
 
 from urna.llm import neighbours, queries
-from urna.llm.common import read
+from urna.llm.common import read, stage
 
 
 def _brute(rows, every=50, k=5):
@@ -74,3 +74,25 @@ def test_bounds_hold():
     guess, error = index.estimate(codes, scalars, 0, unit[:50])
     assert codes.shape == (4000, 8)
     assert (np.abs(guess - unit @ unit[:50].T) <= error).mean() > 0.95
+
+
+def test_what_leaves_a_bundle_is_k_rows_a_query(spark, monkeypatch):
+    # Vectors without structure: bounds alone leave a share of all pairs.
+    random = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(random.standard_normal((2000, 16)).astype(np.float32))]
+    df, written = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), []
+    monkeypatch.setattr(neighbours, "CHUNK", 500)
+
+    def counted(table):
+        done = stage(table)
+        written.append((done.columns, done.count()))
+        return done
+
+    monkeypatch.setattr(neighbours, "stage", counted)
+    got, want = _got(neighbours.search(df)), _brute(rows)
+    pairs = [n for columns, n in written if "query_id" in columns]
+    assert pairs and max(pairs) <= 40 * 5 * 5
+    found = [(q, i, score) for q, v in got.items() for i, score in v]
+    truth = {(q, i): score for q, v in want.items() for i, score in v}
+    assert sum((q, i) in truth for q, i, _ in found) / len(truth) >= 0.9
+    assert all(abs(truth[q, i] - score) < 1e-12 for q, i, score in found if (q, i) in truth)

@@ -6,16 +6,18 @@ centroid is rotated by a random orthogonal matrix and kept as one sign bit a
 dimension, with three scalars: its length, its product with the centroid, and how
 well the signs point along it. A query visits its nearest cells. There packed bits
 and scalars give an estimate of every inner product together with an error bound.
-A vector is out if its upper bound lies below the lower bounds of k others, first
-among those it meets, then over all the query's cells. Only for the others are the
-original vectors fetched, by a join, and compared in double precision.
-
-Codes and scalars travel, not vectors: some 50 bytes each instead of eight a
-dimension. They are dealt into bundles of about ``CHUNK``: neighbouring cells share
-one, a large cell (a vector that a third of the rows share) has several. Queries come
-in blocks of about ``BLOCK``, so no task holds more than a bundle and a block. Codes
-are sent once a block and looked at by every query that visits their cell: work grows
-with the square of the table, as one vector in ``EVERY`` asks.
+The k best estimates of those a query meets are compared exactly, on the original
+vectors in double precision; a vector is out if its upper bound lies below the least
+of these k. The others are compared exactly too, and the k nearest of each bundle
+are handed on, so what leaves a task is k rows a query.
+
+Codes travel with their vectors, dealt into bundles of about ``CHUNK``: neighbouring
+cells share one, a large cell (a vector that a third of the rows share) has several.
+Queries come in blocks of about ``BLOCK``, so no task holds more than a bundle and a
+block. A bundle is sent once a block and looked at by every query that visits its
+cells: work grows with the square of the table, as one vector in ``EVERY`` asks. To
+send codes alone and fetch vectors for what the bounds leave is dearer: where vectors
+have little structure, that is a fixed share of all pairs.
 
 Defined cases: vectors that are null, zero, of another dimension than most, or hold
 null or non-finite components take no part, as candidate or query; a null vec_id
@@ -34,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urna.llm.common import mix, ship, stage
+from urna.llm.common import discard, mix, ship, stage
 
 #: Every vec_id divisible by this asks.
 EVERY, K = 50, 5
@@ -45,6 +47,8 @@ SHARE, FEWEST = 0.7, 12
 CHUNK, BLOCK = 8192, 4096
 #: Width of the error bound, in its standard deviations.
 EPSILON = 2.2
+#: Pairs that are compared exactly at a time.
+PAIRS = 1 << 14
 
 
 def _unit(frame: pd.Series) -> np.ndarray:
@@ -52,6 +56,16 @@ def _unit(frame: pd.Series) -> np.ndarray:
     return own / np.sqrt((own * own).sum(axis=1))[:, None] if len(own) else own
 
 
+def cosines(vectors: np.ndarray, queries: np.ndarray, vector: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The exact measure of pairs, given by the numbers of their rows."""
+    size = lambda m: np.sqrt((m * m).sum(axis=1))
+    out = np.empty(len(vector))
+    for at in range(0, len(vector), PAIRS):
+        x, y = vectors[vector[at : at + PAIRS]].astype(np.float64), queries[query[at : at + PAIRS]]
+        out[at : at + PAIRS] = (x * y).sum(axis=1) / (size(x) * size(y))
+    return out
+
+
 class Index:
     """Centroids and the rotation; small, and sent to every task."""
 
@@ -150,6 +164,8 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     sample = rows.orderBy(F.xxhash64("vec_id", "embedding")).limit(SAMPLE).select("embedding").toPandas()["embedding"]
     index = Index(_unit(sample), max(1, min(MOST_CELLS, count // PER_CELL)))
     shared = spark.sparkContext.broadcast(index)
+    # Single components travel as such; their doubles are the same numbers.
+    width = np.float32 if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else np.float64
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -157,10 +173,11 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
                 continue
             unit = _unit(frame["embedding"])
             cell = shared.value.cell(unit)
+            own = [np.asarray(v, width).tobytes() for v in frame["embedding"]]
             codes, length, product, align = shared.value.encode(unit, cell)
-            yield frame.drop(columns="embedding").assign(cell=cell, code=[c.tobytes() for c in codes], length=length, product=product, align=align)
+            yield frame.drop(columns="embedding").assign(cell=cell, code=[c.tobytes() for c in codes], length=length, product=product, align=align, vector=own)
 
-    kinds = "uid bigint, vec_id bigint, cell int, code binary, length double, product double, align double"
+    kinds = "uid bigint, vec_id bigint, cell int, code binary, length double, product double, align double, vector binary"
     indexed = stage(rows.mapInPandas(encode, kinds))
     # One row a cell, MOST_CELLS at most.
     layout = Layout({r.cell: r["count"] for r in indexed.groupBy("cell").count().collect()}, len(index.centroids))
@@ -168,6 +185,7 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
 
     asking = stage(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
     blocks = max(1, -(-asking.count() // BLOCK))
+    discard(rows)
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -189,48 +207,49 @@ def search(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
     held = indexed.withColumn("bundle", bundle_of("cell", "uid")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def near(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        """What may be among a query's k nearest, by the bounds of this bundle's vectors."""
+        """Each query's k nearest of this bundle: by the bounds first, then exactly."""
         if not len(own) or not len(asked):
-            return pd.DataFrame(columns=["query_id", "uid", "low", "high"])
+            return pd.DataFrame(columns=["query_id", "vec_id", "score"])
         own = own.sort_values(["cell", "uid"], kind="stable")
-        ids, uids, cells = (own[c].to_numpy(np.int64) for c in ("vec_id", "uid", "cell"))
+        ids, cells = (own[c].to_numpy(np.int64) for c in ("vec_id", "cell"))
         codes = np.stack([np.frombuffer(c, np.uint8) for c in own["code"]])
+        vectors = np.stack([np.frombuffer(v, width) for v in own["vector"]])
         scalars = [own[c].to_numpy(np.float64) for c in ("length", "product", "align")]
         starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
         out = []
         for start in range(0, len(asked), 128):
             part = asked.iloc[start : start + 128]
             unit, asker = _unit(part["query"]), part["query_id"].to_numpy(np.int64)
+            queries = np.stack([np.asarray(q, np.float64) for q in part["query"]])
             visited = shared.value.visits(unit)
-            low, high = np.full((len(own), len(part)), -np.inf), np.full((len(own), len(part)), -np.inf)
+            likely, high = np.full((len(own), len(part)), -np.inf), np.full((len(own), len(part)), -np.inf)
             for a, b in zip(starts, np.append(starts[1:], len(own)), strict=True):
                 there = np.flatnonzero((visited == cells[a]).any(axis=1))
                 if len(there):
                     guess, error = shared.value.estimate(codes[a:b], [x[a:b] for x in scalars], int(cells[a]), unit[there])
-                    low[a:b, there], high[a:b, there] = guess - error, guess + error
+                    likely[a:b, there], high[a:b, there] = guess, guess + error
             other = ids[:, None] != asker[None, :]
-            low, high = np.where(other, low, -np.inf), np.where(other, high, -np.inf)
-            bar = np.partition(low, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(part), -np.inf)
-            vector, query = np.nonzero((high >= bar[None, :]) & (high > -np.inf))
-            out.append(pd.DataFrame({"query_id": asker[query], "uid": uids[vector], "low": low[vector, query], "high": high[vector, query]}))
+            likely, high = np.where(other, likely, -np.inf), np.where(other, high, -np.inf)
+            compared = high > -np.inf
+            if len(own) > k:
+                first = np.argpartition(-likely, k - 1, axis=0)[:k]
+                columns = np.broadcast_to(np.arange(len(part)), first.shape)
+                best = cosines(vectors, queries, first.ravel(), columns.ravel()).reshape(first.shape)
+                # With fewer than k candidates nothing is out.
+                bar = np.where(compared[first, columns].all(axis=0), best.min(axis=0), -np.inf)
+                met = np.zeros_like(compared)
+                met[first, columns] = True
+                compared &= met | (high >= bar[None, :])
+            vector, query = np.nonzero(compared)
+            score = cosines(vectors, queries, vector, query)
+            order = np.lexsort((ids[vector], -score, query))
+            vector, query, score = vector[order], query[order], score[order]
+            near_ = np.arange(len(query)) - np.searchsorted(query, query) < k
+            out.append(pd.DataFrame({"query_id": asker[query[near_]], "vec_id": ids[vector[near_]], "score": score[near_]}))
         return pd.concat(out)
 
     keys = ["bundle", "block"]
-    likely = stage(held.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(near, "query_id bigint, uid bigint, low double, high double"))
-    # Over all bundles of a query: who lies below k lower bounds is out.
-    lows = Window.partitionBy("query_id").orderBy(F.desc("low"))
-    bars = likely.select("query_id", "low").withColumn("place", F.row_number().over(lows)).where(F.col("place") == k).select("query_id", F.col("low").alias("bar"))
-    left = likely.join(bars, "query_id", "left").where(F.coalesce(F.col("high") >= F.col("bar"), F.lit(True))).select("query_id", "uid")
-    # The original vectors of those, for the exact measure.
-    queries = asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    pairs = left.join(rows, "uid").join(queries, "query_id")
-
-    @F.pandas_udf("double")
-    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = (np.stack([np.asarray(v, np.float64) for v in c]) for c in (a, b))
-        size = lambda m: np.sqrt((m * m).sum(axis=1))
-        return pd.Series((x * y).sum(axis=1) / (size(x) * size(y)))
-
-    found = pairs.select("query_id", "vec_id", cosine("embedding", "query").alias("score"))
+    found = stage(held.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(near, "query_id bigint, vec_id bigint, score double"))
+    discard(indexed, asking)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
