@@ -1,4 +1,6 @@
 import datetime as dt
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from urna import fixed_values as fv
 from urna.operators import facts as reads, queue
 from urna.sinks import exports, manifest, store
+from urna.session import stage
 
 DAY, OTHER = dt.date(1994, 3, 27), dt.date(1996, 4, 21)
 AT = [dt.datetime(2026, 1, d) for d in range(1, 9)]
@@ -183,3 +186,21 @@ def test_source_addresses_reach_the_queue(spark):
                                    "category string, election_date date, verification_key string, complete_set boolean, verified_at timestamp, source_urls array<string>")
     got = {r.municipality_key: (r.status, r.source_urls) for r in queue.apply_verifications(items, stored).collect()}
     assert got == {"p:roma|roma": ("verified", ["u"]), "p:rieti|rieti": ("partial", ["v", "w"]), "p:x|bari": ("pending", None)}
+
+
+def test_a_written_stage_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def files():
+        return {f for d in folders for f in Path(d.getPath()).rglob("shuffle_*")}
+
+    before = files()
+    rows = stage(spark.range(3000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(20):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.25)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert rows.count() == 7

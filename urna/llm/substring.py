@@ -159,9 +159,15 @@ def pieces(low: np.ndarray, cell_bits: int, slice_bits: int) -> Iterator[tuple[i
     """(slice, cells that are touched, those of them touched twice) of a partition's sketch."""
     inside = np.uint64(cell_bits - slice_bits)
     for row in range(ROWS):
-        cells, times = np.unique(_cells(low, row, cell_bits), return_counts=True)
-        edges = np.searchsorted(cells >> inside, np.arange((1 << slice_bits) + 1, dtype=np.uint64))
-        local, twice = cells & np.uint64((1 << int(inside)) - 1), times > 1
+        # Sorted in place: a sketch's arrays are most of what a task holds.
+        cells = _cells(low, row, cell_bits)
+        cells.sort()
+        first = np.append(True, cells[1:] != cells[:-1])[: len(cells)]
+        twice = np.append(~first[1:], False)[: len(cells)][first]
+        cells = cells[first]
+        edges = np.searchsorted(cells, np.arange((1 << slice_bits) + 1, dtype=np.uint64) << inside)
+        cells &= np.uint64((1 << int(inside)) - 1)
+        local = cells
         for s in range(1 << slice_bits):
             a, b = edges[s], edges[s + 1]
             if a < b:
