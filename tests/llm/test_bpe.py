@@ -7,7 +7,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from urna.llm import bpe, queries
+from urna.llm import bpe, common, quality, queries, substring
 
 PATH, PATTERN = queries.vocabulary()
 
@@ -72,3 +72,12 @@ def test_matrix_and_heap_agree():
     for piece, ids in zip(pieces, vocabulary.encode_pieces(pieces), strict=True):
         assert ids.tolist() == vocabulary.merge_long(piece).tolist()
         assert vocabulary.decode(ids.tolist()) == piece
+
+
+def test_other_operators_let_a_workers_coder_go():
+    ranks = bpe._vocabulary_bytes(queries.vocabulary()[0])
+    for other in (lambda: quality._scores(["a text"], np.zeros((1 << 18) + 1)), lambda: list(substring.blocks(["a text"], 13))):
+        coder = bpe.coder_of(ranks, queries.vocabulary()[1])
+        assert bpe.coder_of(ranks, queries.vocabulary()[1]) is coder
+        other()
+        assert not common._KEPT

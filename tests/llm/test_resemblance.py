@@ -82,3 +82,20 @@ def test_signatures_of_near_copies_stay_close():
         apart = int(np.bitwise_count((resemblance.signature(a) ^ resemblance.signature(b)).view(np.uint64)).sum())
         assert (apart <= resemblance.APART) == inside
         assert abs(apart - resemblance.BITS * (1 - resemblance.jaccard(a, b)) / 2) < 6 * resemblance.BITS**0.5 / 2
+
+
+def test_every_pair_that_pivots_leave_is_confirmed(spark, monkeypatch):
+    """Texts that differ in some of the same 30 places; few pairs are near, and most of them meet no pivot."""
+    monkeypatch.setattr(resemblance, "APART", -1)  # what signatures say decides nothing
+    random, rows = np.random.default_rng(8), []
+    base = [f"w{x}" for x in random.integers(0, 10**6, 300)]
+    for k in range(300):
+        edited = {10 * i for i in np.flatnonzero(random.random(30) < 0.5)}
+        rows.append((k, " ".join(f"x{i}" if i in edited else w for i, w in enumerate(base))))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = _brute(rows)
+    assert len(want) < 300
+    assert sorted(r.doc_id for r in resemblance.representatives(docs).collect()) == want
+    # Parts of a key meet in blocks.
+    monkeypatch.setattr(resemblance, "SIDE", 1500)
+    assert sorted(r.doc_id for r in resemblance.representatives(docs).collect()) == want

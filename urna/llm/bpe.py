@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urna.llm.common import ship
+from urna.llm.common import kept, ship
 
 #: Upper byte lengths of the matrix buckets.
 BUCKETS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
@@ -234,16 +234,9 @@ class TextCoder:
             yield [known[r] for r in runs]
 
 
-#: The coder a worker process uses, and of what it was made: building one takes half a second.
-_HELD: dict[tuple[bytes, str], TextCoder] = {}
-
-
 def coder_of(ranks: bytes, pattern: str) -> TextCoder:
-    key = (hashlib.sha256(ranks).digest(), pattern)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = TextCoder(ranks, pattern)
-    return _HELD[key]
+    """The coder a worker process uses: building one takes half a second."""
+    return kept((hashlib.sha256(ranks).digest(), pattern), lambda: TextCoder(ranks, pattern))
 
 
 def _coded(ranks: bytes, pattern: str, with_ids: bool):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urna.llm.common import as_bytes, crc_mod, mix
+from urna.llm.common import as_bytes, crc_mod, let_go, mix
 
 BITS, SHARDS, EPOCHS = 18, 6, 3
 #: Most labelled rows that are learnt from.
@@ -74,6 +74,7 @@ def features(text, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 
 def _learn(frame: pd.DataFrame, bits: int) -> np.ndarray:
     """Weights, the bias last, after the online updates over the rows of a frame."""
+    let_go()
     size = (1 << bits) + 1
     z, n = np.zeros(size), np.zeros(size)
     frame = frame.sort_values(["rank", "doc_id"])
@@ -128,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 def _scores(texts, weights: np.ndarray) -> np.ndarray:
     """Sparse dot products of whole texts with the weights, as probabilities."""
+    let_go()
     bits = (len(weights) - 1).bit_length() - 1
     total = np.full(len(texts), weights[-1], dtype=np.float64)
     for i, text in enumerate(texts):

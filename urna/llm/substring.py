@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from urna.llm.common import mix, reading, ship, stage, tidy, words
+from urna.llm.common import let_go, mix, reading, ship, stage, tidy, words
 
 WINDOW = 13
 #: The sketch: rows, cells for each window of the corpus, and bytes of text a window stands for.
@@ -108,6 +108,7 @@ def in_order(frame: pd.DataFrame) -> pd.DataFrame:
 
 def blocks(texts, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first document, edges, low, high): the windows of some documents at a time, ``BLOCK`` or one document's."""
+    let_go()
     held, first, windows = [], 0, 0
 
     def sent():
@@ -133,8 +134,9 @@ class Answers:
         self.mask, self.seen = np.uint64((1 << bits) - 1), {}
         for row, known in rows.items():
             # A small bitmap first: few windows need the search.
-            self.seen[row] = np.zeros(1 << bits, bool)
-            self.seen[row][known & self.mask] = True
+            some = np.zeros(1 << bits, bool)
+            some[known & self.mask] = True
+            self.seen[row] = np.packbits(some, bitorder="little")
 
     def repeated(self, low: np.ndarray) -> np.ndarray:
         """Numbers of the windows that are estimated to occur at least twice."""
@@ -143,7 +145,8 @@ class Answers:
             if row not in self.rows:
                 return np.zeros(0, np.int64)
             known, cells = self.rows[row], _cells(low[left], row, self.cell_bits)
-            some = self.seen[row][cells & self.mask]
+            low_bits = cells & self.mask
+            some = (self.seen[row][low_bits >> np.uint64(3)] >> (low_bits & np.uint64(7)).astype(np.uint8)) & 1 == 1
             left, cells = left[some], cells[some]
             at = np.minimum(np.searchsorted(known, cells), len(known) - 1)
             left = left[known[at] == cells]

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urna.llm.common import ship
+from urna.llm.common import kept, ship
 
 #: Stands for a blank.
 MARK = "▁"
@@ -145,16 +145,9 @@ class Counter(dict):
         return sum(self[m.group()] for m in _CUT.finditer(marked))
 
 
-#: The counter of the vocabulary a worker process counts with.
-_HELD: dict[str, Counter] = {}
-
-
 def counter_of(name: str, shared) -> Counter:
     """This process's counter; the broadcast is opened once."""
-    if name not in _HELD:
-        _HELD.clear()
-        _HELD[name] = Counter(*shared.value)
-    return _HELD[name]
+    return kept(("counter", name), lambda: Counter(*shared.value))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
