@@ -2,7 +2,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from urna.operators.normalise import normalise
+from urna.functions.numbers import as_int
+from urna.operators.cells import read_int
+from urna.operators.normalise import normalise, read_columns
 
 SCHEMA = (
     "archive string, category string, election_date date, member_index int, file_name string, row_number bigint, "
@@ -101,3 +103,26 @@ def test_only_contexts_that_differ_are_filled(spark, monkeypatch):
     for bits in (1 << 23, 1 << 15):
         monkeypatch.setattr(own, "_FILTER_BITS", bits)
         assert sorted((r["subject"], r["electors"]) for r in results(spark, "comunali", *payloads)) == expected()
+
+
+def test_cells_are_read_as_the_expressions_read_them(spark):
+    texts = ["", "12", "1.234,00", "1.234,5", "-5", "+5", ",00", "-,0", ",", "1\u00a02", " 3\u2003", "\x1c4", "\x004", "a1", "٣", "00012",
+             "9223372036854775807", "9223372036854775808", "-9223372036854775808", "-9223372036854775809", "1" * 30, "0" * 30 + "7", "1,0,0"]
+    rows_ = spark.createDataFrame([(t,) for t in texts], "t string").select("t", as_int(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows_} == {t: read_int(t) for t in texts}
+
+
+def test_numbers_fall_through_to_the_next_alias_and_a_payload_may_be_missing(spark):
+    found = read_columns(rows(spark, "camera", [
+        ({"elettori": "x", "elettoritot": "7", "lista": "", "descrlista": "Y"}, {}),
+        (None, {}),
+        ({"elettori": "5"}, {"numbers": {"elettori": 1.5, "voti_lista": 3.0}}),
+        ({"elettori": "5"}, {"numbers": {"elettori": 2.0**63}, "file": "Preferenze (1).csv"}),
+    ])).orderBy("row_number").collect()
+    assert [(r.electors, r.party, r.party_votes) for r in found] == [(7, "Y", None), (None, None, None), (None, None, None), (2**63 - 1, None, None)]
+    assert [(r.not_aggregate, r.not_results) for r in found] == [(False, False)] * 3 + [(True, True)]
+
+
+def test_the_names_of_a_row_are_not_searched_once_an_alias(spark):
+    plan = read_columns(rows(spark, "camera", [({"lista": "A"}, {})]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "payload" in plan and "element_at(payload" not in plan

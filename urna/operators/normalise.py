@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from urna import fixed_values as fv
 from urna.functions.numbers import as_int, percentage
-from urna.functions.text import canonical_municipality, let, slug
-from urna.session import stage
+from urna.functions.text import canonical_municipality, slug
+from urna.operators.cells import read_cells
+from urna.session import in_compiled_methods, stage
 
 ARCHIVE = ("archive", "category", "election_date")
 SUMMARY_KEY = (
@@ -43,18 +44,6 @@ def first_text(*names: str) -> Column:
     return F.coalesce(*[F.nullif(F.try_element_at("payload", F.lit(n)), F.lit("")) for n in names])
 
 
-def first_int(*names: str) -> Column:
-    """First alias that reads as an integer; unreadable ones fall through."""
-    return F.coalesce(*[_cell_int(n) for n in names])
-
-
-def _cell_int(name: str) -> Column:
-    text = F.try_element_at("payload", F.lit(name))
-    return F.when(
-        text.isNotNull(), as_int(text, F.try_element_at("numbers", F.lit(name)))
-    )
-
-
 def row_order() -> Column:
     """Position of a row in its archive: member, then row.
 
@@ -68,10 +57,6 @@ def _given(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(""))
 
 
-def _file_marked(markers: tuple[str, ...]) -> Column:
-    return slug(F.col("file_name")).rlike("|".join(markers))
-
-
 def with_raw_geography(raw: DataFrame) -> DataFrame:
     """Region, constituency, province and canonical municipality of raw rows."""
     named = {
@@ -83,44 +68,47 @@ def with_raw_geography(raw: DataFrame) -> DataFrame:
     return placed.withColumn("municipality_key", slug(F.col("municipality")))
 
 
+#: Fields of a row that are read from its cells as text, before its own geography is regarded.
+_TEXTS = {
+    **{f"cell_{name}": fv.CONTEXT[name] for name in (
+        "region", "region_prefix", "region_last", "constituency", "province", "municipality", "question_number",
+    )},
+    **{name: fv.CONTEXT[name] for name in ("country", "college", "question", "section")},
+    **{name: fv.SUBJECTS[name] for name in ("party", "surname", "name")},
+}
+_INTEGERS = {
+    "round": fv.CONTEXT["round"],
+    **fv.MEASURES,
+    **{name: fv.SUBJECTS[name] for name in ("party_votes", "candidate_votes", "seats", "yes_votes", "no_votes")},
+}
+_MARKS = {"not_aggregate": fv.NOT_AGGREGATE, "not_results": fv.NOT_RESULTS}
+
+
 def read_columns(raw: DataFrame) -> DataFrame:
     """Resolve context, measures and subjects of every raw row, drop the payload."""
-    names = fv.CONTEXT
+    carried = (
+        *ARCHIVE, "member_index", "file_name", "row_number", "region", "constituency", "province", "municipality",
+        "municipality_key",
+    )
+    cells = read_cells(raw, carried, _TEXTS, _INTEGERS, _MARKS)
     prefix = F.nullif(
-        F.regexp_extract(
-            F.upper(first_text(*names["region_prefix"])), "^(" + "|".join(fv.REGIONS) + ")", 1
-        ),
-        F.lit(""),
+        F.regexp_extract(F.upper("cell_region_prefix"), "^(" + "|".join(fv.REGIONS) + ")", 1), F.lit("")
     )
-    question = first_text(*names["question_number"])
-    surname, name = first_text(*fv.SUBJECTS["surname"]), first_text(*fv.SUBJECTS["name"])
-    resolved = raw.select(
+    question = F.col("cell_question_number")
+    resolved = cells.select(
         *ARCHIVE,
-        "member_index", "file_name", "row_number", "municipality_key",
-        first_int(*names["round"]).alias("round"),
-        F.coalesce(
-            _given("region"), first_text(*names["region"]), prefix, first_text(*names["region_last"])
-        ).alias("region"),
-        F.coalesce(_given("constituency"), first_text(*names["constituency"])).alias("constituency"),
-        F.coalesce(_given("province"), first_text(*names["province"])).alias("province"),
-        canonical_municipality(
-            F.coalesce(_given("municipality"), first_text(*names["municipality"]))
-        ).alias("municipality"),
-        first_text(*names["country"]).alias("country"),
-        first_text(*names["college"]).alias("college"),
+        "member_index", "file_name", "row_number", "municipality_key", "round",
+        F.coalesce(_given("region"), "cell_region", prefix, "cell_region_last").alias("region"),
+        F.coalesce(_given("constituency"), "cell_constituency").alias("constituency"),
+        F.coalesce(_given("province"), "cell_province").alias("province"),
+        canonical_municipality(F.coalesce(_given("municipality"), "cell_municipality")).alias("municipality"),
+        "country", "college",
         F.when(F.col("category") == "referendum", F.coalesce(question, F.lit("1")))
         .otherwise(question)
         .alias("question_number"),
-        first_text(*names["question"]).alias("question"),
-        first_text(*names["section"]).alias("section"),
-        *[first_int(*aliases).alias(measure) for measure, aliases in fv.MEASURES.items()],
-        first_text(*fv.SUBJECTS["party"]).alias("party"),
-        first_int(*fv.SUBJECTS["party_votes"]).alias("party_votes"),
-        let(F.concat_ws(" ", surname, name), lambda n: F.nullif(n, F.lit(""))).alias("candidate"),
-        first_int(*fv.SUBJECTS["candidate_votes"]).alias("candidate_votes"),
-        first_int(*fv.SUBJECTS["seats"]).alias("seats"),
-        first_int(*fv.SUBJECTS["yes_votes"]).alias("yes_votes"),
-        first_int(*fv.SUBJECTS["no_votes"]).alias("no_votes"),
+        "question", "section", *MEASURES, "party", "party_votes",
+        F.nullif(F.concat_ws(" ", "surname", "name"), F.lit("")).alias("candidate"),
+        "candidate_votes", "seats", "yes_votes", "no_votes", *_MARKS,
     )
     return (
         resolved.withColumn(
@@ -299,7 +287,7 @@ def aggregate_results(filled: DataFrame) -> DataFrame:
 def section_results(rows: DataFrame) -> DataFrame:
     """Sum polling-section rows to municipality facts (row number 0)."""
     sections = _with_context_key(
-        rows.where(F.col("section").isNotNull() & ~_file_marked(fv.NOT_RESULTS))
+        rows.where(F.col("section").isNotNull() & ~F.col("not_results"))
     )
     known = sections.groupBy(*_CONTEXT, "section").agg(*[_first_known(m) for m in MEASURES])
     totals = known.groupBy(*_CONTEXT).agg(*[F.sum(m).alias(m) for m in MEASURES])
@@ -348,8 +336,9 @@ def normalise(raw: DataFrame) -> DataFrame:
     The resolved rows serve the summaries, the results and the section path, so
     they are staged once instead of parsing the payload three times.
     """
-    rows = stage(read_columns(raw).withColumn("yields_result", _yields_result()))
-    usable = rows.where(~_file_marked(fv.NOT_AGGREGATE) & F.col("section").isNull())
+    with in_compiled_methods(raw.sparkSession):
+        rows = stage(read_columns(raw).withColumn("yields_result", _yields_result()))
+    usable = rows.where(~F.col("not_aggregate") & F.col("section").isNull())
     served = usable.groupBy(*ARCHIVE).agg(F.max("yields_result").alias("served")).where("served")
     unserved = rows.join(served.select(*ARCHIVE), list(ARCHIVE), "left_anti")
     return aggregate_results(fill_summaries(usable)).unionByName(section_results(unserved))

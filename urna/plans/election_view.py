@@ -106,7 +106,9 @@ def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
             "constituency": F.concat_ws(" ", "r_name", (unit % 3).cast("string")),
             "municipality": F.when((unit % 11 != 0) & (unit % 26 != 0), label),
         }
-    ).withColumn("municipality_key", slug(canonical_municipality(F.col("municipality")))).withColumn(
+    ).withColumn("canonical", canonical_municipality(F.col("municipality"))).withColumn(
+        "municipality_key", slug(F.col("canonical"))
+    ).withColumn(
         "place", place_key(F.col("municipality_key"), F.col("province"), F.col("region"), F.col("constituency"))
     )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", slug(F.col("p_brand")).alias("subject_key"))
@@ -154,13 +156,14 @@ def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
             + unit % 10000
         ).alias("source_row"),
         F.col("l_linenumber").cast("bigint").alias("section"),
-        "municipality_key", "place", "subject_key",
+        "canonical", "municipality_key", "place", "subject_key",
     )
 
 
-def election_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The view of ``ELECTION_SQL``, one row per published subject."""
-    return _view(spark, sf_dir).drop("municipality_key", "place", "subject_key")
+def election_rows(spark: SparkSession, sf_dir: str, *, keyed: bool = False) -> DataFrame:
+    """The view of ``ELECTION_SQL``, one row per published subject; ``keyed``: with canonical label and its key."""
+    rows = _view(spark, sf_dir).drop("place", "subject_key")
+    return rows if keyed else rows.drop("canonical", "municipality_key")
 
 
 def archives(spark: SparkSession, sf_dir: str) -> DataFrame:

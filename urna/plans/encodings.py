@@ -37,10 +37,13 @@ def drifting_payload() -> Column:
 
     is_list = F.col("result_type") == "list"
     referendum = F.col("category") == "referendum"
+    none = F.array().cast("array<struct<key:string,value:string>>")
+
     def entry(key: Column, value: Column) -> Column:
-        return F.struct(key.alias("key"), value.alias("value"))
+        # Joined arrays are compiled; a filter with a lambda would have all entries interpreted.
+        return F.when(value.isNotNull(), F.array(F.struct(key.alias("key"), value.alias("value")))).otherwise(none)
 
-    entries = F.array(
+    entries = F.concat(
         entry(name("regione", "descrreg"), F.col("region")),
         entry(name("circoscrizione", "descrcirc"), F.col("constituency")),
         entry(name("provincia", "descprovincia"), F.col("province")),
@@ -61,7 +64,7 @@ def drifting_payload() -> Column:
         entry(name("seggi_lista", "seggilista"), F.col("seats").cast("string")),
         entry(F.lit("votivalidi_si"), F.when(referendum, printed(F.col("votes")))),
     )
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return F.map_from_entries(entries)
 
 
 def raw_rows(er: DataFrame, *, sections: bool = False) -> DataFrame:
@@ -71,7 +74,12 @@ def raw_rows(er: DataFrame, *, sections: bool = False) -> DataFrame:
         payload = F.map_concat(
             payload, F.create_map(F.lit("sezione"), F.col("section").cast("string"))
         )
-    canonical = canonical_municipality(F.col("municipality"))
+    # A keyed view has the canonical label and its key, made once a supplier.
+    if "canonical" in er.columns:
+        canonical, key = F.col("canonical"), F.col("municipality_key")
+    else:
+        canonical = canonical_municipality(F.col("municipality"))
+        key = slug(canonical)
     return er.select(
         F.concat_ws("-", "category", F.year("election_date").cast("string")).alias("archive"),
         "category", "election_date",
@@ -83,7 +91,7 @@ def raw_rows(er: DataFrame, *, sections: bool = False) -> DataFrame:
         F.col("source_row").alias("row_number"),
         "region", "constituency", "province",
         canonical.alias("municipality"),
-        slug(canonical).alias("municipality_key"),
+        key.alias("municipality_key"),
         payload.alias("payload"),
         F.create_map().cast("map<string,double>").alias("numbers"),
     )

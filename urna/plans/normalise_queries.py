@@ -88,12 +88,12 @@ FROM (SELECT *, unnest([{{'option':'SI','v':votes}}, {{'option':'NO','v':s_valid
 
 @query(sql_facts("," + _SUMMARY) + _FROM_ER + " UNION ALL " + _OPTIONS)
 def normalise_history(spark, sf_dir):
-    return _in_ppm(normalise.normalise(raw_rows(election_rows(spark, sf_dir))))
+    return _in_ppm(normalise.normalise(raw_rows(election_rows(spark, sf_dir, keyed=True))))
 
 
 @query(sql_facts("," + _SUMMARY) + _OPTIONS)
 def referendum_options(spark, sf_dir):
-    er = election_rows(spark, sf_dir).where(F.col("category") == "referendum")
+    er = election_rows(spark, sf_dir, keyed=True).where(F.col("category") == "referendum")
     return _in_ppm(normalise.normalise(raw_rows(er)))
 
 
@@ -148,7 +148,7 @@ SELECT archive, round, region, constituency, province, canonical AS municipality
        concat(source_file,'#municipality-aggregate') AS source_file, CAST(0 AS BIGINT) AS source_row
 FROM j""")
 def normalise_sections(spark, sf_dir):
-    return _in_ppm(normalise.normalise(raw_rows(election_rows(spark, sf_dir), sections=True)))
+    return _in_ppm(normalise.normalise(raw_rows(election_rows(spark, sf_dir, keyed=True), sections=True)))
 
 
 @query(sql_facts() + """
@@ -157,5 +157,5 @@ SELECT concat(category,'-',CAST(year(election_date) AS VARCHAR)) AS archive, reg
        votes, round, CAST(NULL AS VARCHAR) AS candidate, seats, source_file, source_row
 FROM f WHERE category='comunali' AND result_type='list' AND canonical IS NOT NULL""")
 def municipal_only(spark, sf_dir):
-    er = election_rows(spark, sf_dir).where(F.col("category") == "comunali")
+    er = election_rows(spark, sf_dir, keyed=True).where(F.col("category") == "comunali")
     return plain(normalise.municipal_only(raw_rows(er)).drop("category", "election_date"))
