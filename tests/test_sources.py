@@ -196,3 +196,8 @@ def test_separator_is_that_of_the_header_record():
     assert number == 2 and len(payload) == 2000 and payload[text_key("COLONNA 1999")] == "1999,5"
     ((_, payload, _),) = list(archives.delimited_rows(b'"A;B;C;D","E"\n1,2\n', "voti.csv"))
     assert len(payload) == 2
+
+
+def test_cells_are_clean_when_they_leave_the_reader():
+    rows = archives._cells([{"a": " x \t y\x1c"}, None, {}, {"a": None}], archives.pa.string(), archives._clean)
+    assert rows.to_pylist() == [[("a", "x y")], None, [], [("a", None)]]

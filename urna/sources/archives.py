@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import datetime as dt
 import io
+import itertools
 import posixpath
 import re
 import struct
@@ -18,12 +19,14 @@ import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urna import fixed_values as fv
-from urna.functions.text import clean_text, text_key
+from urna.functions.text import text_key
 from urna.operators.normalise import with_raw_geography
 from urna.session import stage
 
@@ -247,15 +250,40 @@ def _rows_of(member: str, raw: bytes) -> Iterator[tuple]:
             yield 0, member, number, payload, numbers
 
 
+def _cells(rows: list[dict | None], items: pa.DataType, read) -> pa.MapArray:
+    """One map a row, from its dict; no dict is null."""
+    ends = [0, *itertools.accumulate(len(row or ()) for row in rows)]
+    keys = pa.array([key for row in rows if row for key in row], pa.string())
+    values = pa.array([read(value) for row in rows if row for value in row.values()], items)
+    missing = np.array([row is None for row in rows])
+    return pa.MapArray.from_arrays(pa.array(ends, pa.int32(), mask=np.append(missing, False)), keys, values)
+
+
+def _clean(text: str | None) -> str | None:
+    """``clean_text`` of one cell: the same white space."""
+    return None if text is None else " ".join(text.split())
+
+
 def read_members(members: DataFrame) -> DataFrame:
-    """Decode members to raw rows; a member that fails yields one error row."""
+    """Decode members to raw rows with clean cells; a member that fails yields one error row.
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["path", "member_index", "file_name", "row_number", "payload", "numbers", "error"]
+    The maps of a batch are built as columns: as objects each would be turned into pairs one by one.
+    """
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        path, index, name, number, payload, numbers, error = map(list, zip(*held))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(path, pa.string()), pa.array(index, pa.int32()), pa.array(name, pa.string()),
+                pa.array(number, pa.int64()), _cells(payload, pa.string(), _clean),
+                _cells(numbers, pa.float64(), lambda value: value), pa.array(error, pa.string()),
+            ],
+            names=["path", "member_index", "file_name", "row_number", "payload", "numbers", "error"],
+        )
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, index, member, method, data in zip(
-                batch["path"], batch["member_index"], batch["member"], batch["method"], batch["data"]
-            ):
+            for path, index, member, method, data in zip(*[batch.column(c).to_pylist() for c in range(5)]):
                 held: list[tuple] = []
                 try:
                     raw = zlib.decompress(data, -15) if method == zipfile.ZIP_DEFLATED else data
@@ -263,15 +291,15 @@ def read_members(members: DataFrame) -> DataFrame:
                         place, *rest = row
                         held.append((path, index * 1000 + place, *rest, None))
                         if len(held) == _BATCH:
-                            yield pd.DataFrame(held, columns=columns)
+                            yield packed(held)
                             held = []
                 except Exception as error:
                     held.append((path, index * 1000, member, None, None, None, str(error)))
                 if held:
-                    yield pd.DataFrame(held, columns=columns).astype({"row_number": "Int64"})
+                    yield packed(held)
 
     spread = members.where(F.col("error").isNull()).repartition("path", "member_index")
-    return spread.select("path", "member_index", "member", "method", "data").mapInPandas(decode, _ROWS)
+    return spread.select("path", "member_index", "member", "method", "data").mapInArrow(decode, _ROWS)
 
 
 def read_archives(
@@ -298,10 +326,7 @@ def read_archives(
     )
     rejects = decoded.where(F.col("error").isNotNull()).groupBy("path").agg(F.min("error").alias("error"))
     readable = decoded.where(F.col("error").isNull()).join(rejects.select("path"), "path", "left_anti")
-    cleaned = readable.drop("error").withColumn(
-        "payload", F.transform_values("payload", lambda _, value: clean_text(value))
-    )
-    return with_raw_geography(cleaned), rejects
+    return with_raw_geography(readable.drop("error")), rejects
 
 
 def load(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
