@@ -3,7 +3,7 @@
 A map column is looked up once an alias and row when it is read by expressions: some
 hundred passes over each row's names. Here the names of a batch are numbered once, and
 each alias that occurs in it takes its cells in one step; a number is read once for each
-of its spellings. The readings are those of ``first_text`` and ``first_int``.
+of its spellings. The readings are those of ``first_text`` and, for the first alias that reads as an integer, ``as_int``.
 """
 
 from __future__ import annotations
