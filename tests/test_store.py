@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import time
 from pathlib import Path
 
@@ -169,6 +170,25 @@ def test_export_files_joined_end_to_end_are_one_file(spark, tmp_path):
     assert exports.payload_lines(maps).first()["line"] in ('{"m":{"a":null,"b":"2"},"l":["x"]}', '{"m":{"b":"2"},"l":["x"]}')
 
 
+def test_packed_export_is_the_same_file_and_sorts_what_it_is_made_of(spark, tmp_path):
+    rows = spark.createDataFrame([(DAY, f"C{i % 17:02d}" if i % 9 else None, i) for i in range(400)], "data date, comune string, voti bigint")
+    marks = F.concat(F.lit('P "'), "voti", F.lit('";\n'))
+    columns, order = fv.MUNICIPAL_COMPACT_COLUMNS, ("comune", "voti")
+    shaped = lambda df: df.withColumn("partito", marks)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        plain = exports.write_export(shaped(rows), str(tmp_path / "plain"), columns, order)
+        packed = exports.write_export(rows, str(tmp_path / "packed"), columns, order, shaped=shaped, packed=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(packed) > 2 and all(n.endswith(".gz") for n in packed)
+    joined = lambda folder, names: b"".join((tmp_path / folder / n).read_bytes() for n in names)
+    assert gzip.decompress(joined("packed", packed)) == joined("plain", plain)
+    assert len(joined("packed", packed)) < len(joined("plain", plain)) / 3
+    lines = lambda folder: sorted(tuple(r) for r in exports.read_export(spark, str(tmp_path / folder)).select("line", F.col("file") == 0).collect())
+    assert lines("packed") == lines("plain")
+
+
 def test_runs_keep_result_and_last_error(spark):
     schema = "category string, election_date date, status string, at timestamp, sequence bigint, result string, last_error string"
     events = spark.createDataFrame([("camera", DAY, "running", AT[0], 1, None, None), ("camera", DAY, "failed", AT[1], 2, "{}", "no page")], schema)

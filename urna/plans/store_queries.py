@@ -15,7 +15,7 @@ from urna.plans.election_view import archives, facts, sql_facts, sql_slug, store
 from urna.plans.shape import plain
 from urna.plans.verify_queries import _TREE, _tree
 from urna.plans.work_queries import _QUEUE, _RUNS, _ledger, _queue, _words
-from urna.session import shared_folder, stage
+from urna.session import discard, shared_folder, stage
 from urna.sinks import exports, manifest as digests, store, tables
 from urna.sources import registry
 
@@ -171,11 +171,14 @@ def csv_export_files(spark, sf_dir):
     The reader drops the mark in front of the header; a test looks at the bytes.
     """
     path = _folder(spark, "export")
-    exports.write_results(_history(spark, sf_dir), path)
+    # Written first: the sort reads its rows twice, and the joins' shuffle files are gone by then.
+    rows = stage(reads.with_archive(facts(spark, sf_dir).drop("municipality_key", "subject_key"), archives(spark, sf_dir)))
+    exports.write_results(rows, path)
+    discard(rows)
     lines = exports.read_export(spark, path)
-    fields = F.split("line", ";")
+    fields = F.split("line", ";", 3)
     date = F.when(F.col("file") > 0, fields[1])
-    ranges = lines.groupBy("file").agg(F.min(date).alias("least"), F.max(date).alias("most"))
+    ranges = stage(lines.groupBy("file").agg(F.min(date).alias("least"), F.max(date).alias("most")))
     # A file's dates must not come before those of any earlier file: a few rows, one a file.
     later = ranges.alias("b").join(ranges.alias("a"), F.col("a.file") < F.col("b.file"))
     bad = later.where(F.col("a.most") > F.col("b.least")).select(F.col("b.file").alias("file")).distinct().withColumn("wrong", F.lit(True))
