@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from urna.llm import mixing, queries
 from urna.llm.common import read
@@ -127,3 +128,58 @@ def test_mixer_learns_from_every_training_token(spark):
     model = mixing.train(vocabulary)
     learnt = model.total.sum() - mixing.Model(model.tables).total.sum()
     assert math.isclose(learnt, sum(8 * (len(w) + 1) * c for w, c in counts.items()))
+
+
+def test_walk_equals_its_sequence():
+    """Token by token, both kinds of strengths weighed by how well they told the text so far."""
+    random = np.random.default_rng(6)
+    words = list(range(6))
+    lp, pair = random.uniform(-6, -0.5, len(words)), random.integers(0, 4, (len(words) + 1, len(words)))
+    pair[:, 2] = 0
+    before = pair.sum(axis=1)
+    texts = [random.choice(words, n) for n in (1, 2, 30, 80)]
+    want = []
+    for text in texts:
+        near, strong = np.full(len(mixing.PAIR_STRENGTHS), 1 / len(mixing.PAIR_STRENGTHS)), np.full(len(mixing.STRENGTHS), 1 / len(mixing.STRENGTHS))
+        total, seen, last = 0.0, Counter(), len(words)
+        for i, w in enumerate(text):
+            ways = np.array([(pair[last, w] + b * 10 ** lp[w]) / (before[last] + b) for b in mixing.PAIR_STRENGTHS])
+            q = (near * ways).sum()
+            near = near * ways / q
+            ways = np.array([(seen[w] + a * q) / (i + a) for a in mixing.STRENGTHS])
+            total += math.log10((strong * ways).sum())
+            strong = strong * ways / (strong * ways).sum()
+            seen[w] += 1
+            last = w
+        want.append(total)
+    length, token = np.array([len(t) for t in texts]), np.concatenate(texts)
+    last, _, _ = mixing._pairs(token, length, len(words))
+    got = mixing.walk(np.repeat(np.arange(len(texts)), length), token, lp[token], pair[last, token], before[last], length)
+    assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_words_in_their_order_cost_less(spark):
+    """Held-out texts of trained phrases against the same words shuffled, which have the same base score."""
+    random = np.random.default_rng(7)
+    phrases = [[f"w{x}" for x in random.integers(0, 500, 12)] for _ in range(40)]
+    rows, held = [], [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 1][:20]
+    for i in range(200):
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            rows.append((i, " ".join(w for p in random.integers(0, 40, 10) for w in phrases[p])))
+    for i, j in zip(held[::2], held[1::2], strict=True):
+        text = [w for p in random.integers(0, 40, 10) for w in phrases[p]]
+        rows += [(i, " ".join(text)), (j, " ".join(random.permutation(text)))]
+    got = {r.doc_id: r for r in mixing.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    for i, j in zip(held[::2], held[1::2], strict=True):
+        assert math.isclose(got[i].base_score, got[j].base_score, rel_tol=1e-9)
+        assert got[i].score > got[j].score + 20
+
+
+def test_pairs_of_all_training_texts_are_counted(spark):
+    """Copies dealt over batches, with held-out ones that are not counted."""
+    docs = spark.createDataFrame([(i, "a b a b c") for i in range(12)], "doc_id bigint, text string").repartition(4)
+    rows = mixing.pair_counts(mixing.hand_in(docs, F.col("doc_id") >= 9)).collect()
+    counts = Counter(int(n) for r in rows for n in mixing._unpack(bytes(r.counts))[0])
+    # start-a, b-a, b-c and c-end once a text, a-b twice; 9 texts, in each of the batches.
+    assert len({r.to for r in rows}) > 1 and set(counts) == {9, 18} and counts[9] == 4 * counts[18]
+    assert len({r.to for r in rows}) == counts[18]
